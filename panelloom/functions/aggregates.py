@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from panelloom.functions.student_t import two_sided_p, two_sided_quantile
 
 _FLOATING = (T.DoubleType, T.FloatType)
+_MOMENTS = {"n": F.count, "mean": F.mean, "sd": F.stddev_samp}
 
 
 def columns_with_prefix(df: DataFrame, prefix: str) -> list[str]:
@@ -38,58 +39,62 @@ def sum_by(df: DataFrame, keys: Sequence[str], measures: Iterable[str]) -> DataF
     return df.groupBy(*keys).agg(*[na_sum(df, m) for m in measures])
 
 
-def _bracket(df: DataFrame, measures: Sequence[str], error: float) -> dict[str, tuple]:
-    """Per measure: moments, a value range that holds the median, and the rows below it.
+def _median_range(
+    values: DataFrame, measure: str, n: int, error: float, max_rows: int
+) -> tuple[float, float, int]:
+    """A value range that holds the middle ranks of a column, and the rows below it.
 
-    ``approxQuantile`` bounds the rank error, so quantiles two errors either
-    side of 0.5 enclose the median; the counts prove it and the range is left
-    open when they do not.
+    Each round a quantile sketch of the current range gives a range of about
+    ``4 * error`` of its rows; exact counts confirm it. It stops when few
+    rows are left, or when equal values keep the range from shrinking.
     """
-    probabilities = [max(0.0, 0.5 - 2 * error), min(1.0, 0.5 + 2 * error)]
-    quantiles = df.approxQuantile(list(measures), probabilities, error)
-    ranges = [tuple(q) if q else (None, None) for q in quantiles]
-    aggregates = []
-    for m, (low, high) in zip(measures, ranges):
-        v = F.col(m)
-        aggregates += [
-            F.count(v).alias(f"{m}:n"),
-            F.mean(v).alias(f"{m}:mean"),
-            F.stddev_samp(v).alias(f"{m}:sd"),
-            F.count_if(v < F.lit(low)).alias(f"{m}:below"),
-            F.count_if(v.between(F.lit(low), F.lit(high))).alias(f"{m}:inside"),
-        ]
-    row = df.agg(*aggregates).first()
-    out = {}
-    for m, (low, high) in zip(measures, ranges):
-        n, below, inside = row[f"{m}:n"], row[f"{m}:below"], row[f"{m}:inside"]
-        first, last = (n + 1) // 2, n // 2 + 1
-        if not below < first <= last <= below + inside:
-            low, high, below = float("-inf"), float("inf"), 0
-        out[m] = (n, row[f"{m}:mean"], row[f"{m}:sd"], low, high, below, first, last)
-    return out
+    first, last = (n + 1) // 2, n // 2 + 1
+    low, high, below, inside = float("-inf"), float("inf"), 0, n
+    v = F.col(measure)
+    while inside > max_rows and low < high:
+        current = values.filter(v.between(low, high))
+        at = ((first + last) / 2 - below) / inside
+        around = [max(0.0, at - 2 * error), min(1.0, at + 2 * error)]
+        lo, hi = current.approxQuantile(measure, around, error)
+        counts = current.agg(
+            F.count_if(v < lo).alias("below"), F.count_if(v.between(lo, hi)).alias("inside")
+        ).first()
+        under = below + counts["below"]
+        if not under < first <= last <= under + counts["inside"] or counts["inside"] == inside:
+            break
+        low, high, below, inside = lo, hi, under, counts["inside"]
+    return low, high, below
 
 
 def summary_statistics(
-    df: DataFrame, measures: Sequence[str], rank_error: float = 1e-3
+    df: DataFrame,
+    measures: Sequence[str],
+    rank_error: float = 1e-3,
+    max_rows: int = 1_000_000,
 ) -> DataFrame:
     """Mean, sample standard deviation and exact median of each measure, one row per measure.
 
-    The exact median never gathers a whole column: a quantile sketch narrows it
-    to a small value range, only that range is counted per distinct value, and
-    the middle ranks are read off the running counts. Two bounded driver rows
-    (sketch quantiles and counts) steer the last pass.
+    The exact median never gathers a whole column: beyond ``max_rows`` it is
+    first narrowed to a small value range, only that range is counted per
+    distinct value, and the middle ranks are read off the running counts.
+    ``df`` is read several times, so pass a stored table.
     """
     spark = df.sparkSession
     values = df.select(*[without_nan(df, m).cast("double").alias(m) for m in measures])
-    brackets = _bracket(values, measures, rank_error)
+    moments = values.agg(
+        *[f(m).alias(f"{i}:{k}") for i, m in enumerate(measures) for k, f in _MOMENTS.items()]
+    ).first()
+    facts = []
+    for i, m in enumerate(measures):
+        n, mean, sd = (moments[f"{i}:{k}"] for k in _MOMENTS)
+        low, high, below = _median_range(values, m, n, rank_error, max_rows)
+        facts.append((m, mean, sd, low, high, below, (n + 1) // 2, n // 2 + 1))
     info = spark.createDataFrame(
-        [(m, *brackets[m]) for m in measures],
-        "variable string, n bigint, mean double, sd double, low double, high double,"
+        facts,
+        "variable string, mean double, sd double, low double, high double,"
         " below bigint, first bigint, last bigint",
     )
-    in_range = values.select(
-        *[F.when(F.col(m).between(brackets[m][3], brackets[m][4]), F.col(m)).alias(m) for m in measures]
-    )
+    in_range = values.select(*[F.when(F.col(f[0]).between(f[3], f[4]), F.col(f[0])).alias(f[0]) for f in facts])
     counts = (
         in_range.unpivot([], list(measures), "variable", "value")
         .filter(F.col("value").isNotNull())
@@ -103,9 +108,8 @@ def summary_statistics(
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    position = F.col("below") + F.sum("rows").over(ascending)
     medians = (
-        ranked.withColumn("upto", position)
+        ranked.withColumn("upto", F.col("below") + F.sum("rows").over(ascending))
         .groupBy("variable")
         .agg(
             F.min(F.when(F.col("upto") >= F.col("first"), F.col("value"))).alias("lo"),
@@ -128,19 +132,25 @@ def regression_moments(
     if y_limits is not None:
         pairs = pairs.filter(F.col("y").between(*y_limits))
     finite = [(F.col(c) > float("-inf")) & (F.col(c) < float("inf")) for c in ("x", "y")]
-    return pairs.filter(finite[0] & finite[1]).agg(
+    sums = pairs.filter(finite[0] & finite[1]).agg(
         F.count("*").alias("n"),
-        F.corr("x", "y").alias("r"),
-        F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"),
-        F.regr_r2("y", "x").alias("r2"),
         F.regr_sxx("y", "x").alias("sxx"),
         F.regr_syy("y", "x").alias("syy"),
         F.regr_sxy("y", "x").alias("sxy"),
         F.avg("x").alias("mean_x"),
+        F.avg("y").alias("mean_y"),
         F.min("x").alias("min_x"),
         F.max("x").alias("max_x"),
     )
+    # corr() and regr_slope() fail under ANSI on a constant column; here they are missing.
+    varies = F.col("sxx") > 0, F.col("syy") > 0
+    r = F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))
+    return (
+        sums.withColumn("slope", F.when(varies[0], F.col("sxy") / F.col("sxx")))
+        .withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x"))
+        .withColumn("r", F.when(varies[0] & varies[1], F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
+        .withColumn("r2", F.col("r") * F.col("r"))
+    )
 
 
 def correlation(
@@ -149,7 +159,8 @@ def correlation(
     """Pearson correlation with its t statistic and p-value, plus the fitted line."""
     m = regression_moments(df, x, y, y_limits)
     r, n = F.col("r"), F.col("n")
-    t = F.when(n > 2, F.when(F.abs(r) < 1, r * F.sqrt((n - 2) / (1 - r * r))).otherwise(r * float("inf")))
+    finite_t = F.when(F.abs(r) < 1, r * F.sqrt((n - 2) / (1 - r * r)))
+    t = F.when(n > 2, finite_t.otherwise(r * float("inf")))
     return m.withColumn("t", t).select(
         "n", "r", "t", two_sided_p("t", n - 2).alias("p"), "slope", "intercept", "r2"
     )
@@ -168,7 +179,7 @@ def regression_band(
     grid = m.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("min_x") + (F.col("max_x") - F.col("min_x")) * F.col("step") / (points - 1)
     # The residual sum of squares is never negative but may round below zero.
-    residual = F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
+    residual = F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))
     spread = 1 / F.col("n") + F.pow(F.col("x") - F.col("mean_x"), 2) / F.col("sxx")
     usable = (F.col("n") > 2) & (F.col("sxx") > 0)
     return (

@@ -39,8 +39,9 @@ def to_number(c: Column | str) -> Column:
 
     The JVM reads ``1d`` and ``1f`` as numbers, which no data file means.
     """
-    text = _col(c).cast("string")
-    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
+    text = F.trim(_col(c).cast("string"))
+    suffixed = F.lower(F.right(text, F.lit(1))).isin("d", "f") & ~F.lower(text).endswith("inf")
+    return F.when(~suffixed, text.try_cast("double"))
 
 
 def european_number(c: Column | str) -> Column:

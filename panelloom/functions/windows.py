@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.sources.sinks import stage
+
 
 def nulls_last(columns: Sequence[str]) -> list[Column]:
     """Ascending sort keys with missing values at the end."""
@@ -34,33 +36,33 @@ def running_sum_blocked(
     value: str,
     alias: str,
     by: Sequence[str],
-    block: Sequence[str],
     order_by: Sequence[str],
+    blocks: int | None = None,
 ) -> DataFrame:
     """``running_sum`` for groups too large for one task.
 
-    ``block`` columns cut each group into consecutive pieces (rows order by
-    ``block`` first, then ``order_by``). Totals per piece combine map-side; a
-    running sum over those few totals gives every piece its opening balance,
-    which enters the piece as one extra leading row. The rows themselves
-    are shuffled once, by (group, piece), so a hot group spreads over its pieces.
+    The rows are range-partitioned on group and order, which cuts a hot group
+    into as many even blocks as its size needs, and stored with their block
+    number. Totals per group and block combine map-side; a running sum over
+    those few totals gives every block its opening balance, which enters the
+    block as one extra leading row. ``blocks`` defaults to the shuffle partitions.
     """
-    pieces = [*by, *block]
-    totals = df.groupBy(*pieces).agg(
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(blocks, *nulls_last([*by, *order_by]))
+    # Stored, because the block number must be the same in every later read.
+    rows = stage(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
+    pieces = [*by, "_block"]
+    totals = rows.groupBy(*pieces).agg(
         F.sum(value).alias("_total"), F.count_if(F.col(value).isNull()).alias("_missing")
     )
-    before = (
-        Window.partitionBy(*by)
-        .orderBy(*nulls_last(block))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     opening = totals.select(
         *pieces,
         F.lit(0).alias("_row"),
         F.sum("_total").over(before).alias("_value"),
         F.coalesce(F.sum("_missing").over(before), F.lit(0)).alias("_missing"),
     )
-    rows = df.select(
+    body = rows.select(
         "*",
         F.lit(1).alias("_row"),
         F.col(value).alias("_value"),
@@ -73,10 +75,10 @@ def running_sum_blocked(
     )
     total = F.when(F.sum("_missing").over(w) == 0, F.sum("_value").over(w))
     return (
-        rows.unionByName(opening, allowMissingColumns=True)
+        body.unionByName(opening, allowMissingColumns=True)
         .withColumn(alias, total)
         .filter(F.col("_row") == 1)
-        .drop("_row", "_value", "_missing")
+        .drop("_row", "_block", "_value", "_missing")
     )
 
 

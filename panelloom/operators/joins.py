@@ -6,8 +6,8 @@ one. Three forms avoid that:
 * ``fold_full`` - tables with one row per key: a union and one aggregate.
 * ``attach_unique`` - many rows per key against one row per key, where the rows
   per key are few: a union and one window.
-* ``full_join`` - anything else, many-to-many included: a left join, whose hot
-  keys AQE splits, plus the right rows whose key is absent on the left.
+* ``full_join`` - anything else, many-to-many included: an inner join, whose hot
+  keys AQE splits on either side, plus the rows of each side without a partner.
 
 The first two check their uniqueness claim while they run and fail on a
 duplicate, so they never return a wrong result.
@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions.windows import nulls_last
+
 
 def _holds(condition: Column, message: str) -> Column:
     """A filter that keeps every row and fails the job when the condition is false."""
@@ -53,11 +55,15 @@ def full_join(
     right: DataFrame,
     by: Sequence[str] | None = None,
     suffixes: tuple[str, str] = ("_x", "_y"),
+    right_unique: bool = False,
 ) -> DataFrame:
     """Full outer join for any multiplicity; ``by`` defaults to the shared columns.
 
-    The left table is read twice, the second time only for its distinct keys
-    (combined map-side), so write a costly left table out first.
+    Spark cannot split a hot key of a full join. Here the matches are an inner
+    join, which AQE can split on both sides, and the rows without a partner are
+    two anti joins against distinct keys (combined map-side); equal shuffles are
+    reused. ``right_unique`` says that no key is hot on the right; matches
+    and left-only rows are then one left join. The result is the same.
     """
     by = list(by) if by is not None else _shared(left, right)
     if not by:
@@ -65,9 +71,14 @@ def full_join(
     clash = [c for c in _shared(left, right) if c not in by]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
-    matched = null_safe_join(left, right, by, "left")
-    unmatched = null_safe_join(right, left.select(*by).distinct(), by, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    right_only = null_safe_join(right, left.select(*by).distinct(), by, "left_anti")
+    if right_unique:
+        joined = null_safe_join(left, right, by, "left")
+    else:
+        left_only = null_safe_join(left, right.select(*by).distinct(), by, "left_anti")
+        matches = null_safe_join(left, right, by, "inner")
+        joined = matches.unionByName(left_only, allowMissingColumns=True)
+    return joined.unionByName(right_only, allowMissingColumns=True)
 
 
 def fold_full(
@@ -87,8 +98,17 @@ def fold_full(
     repeated = sorted({c for c in names if names.count(c) > 1})
     if repeated:
         raise ValueError(f"columns found in more than one table: {repeated}")
-    tagged = [t.withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    kinds = {c: t.schema[c].dataType for t in tables for c in t.columns if c not in by}
+    # Each table gets all columns at once; padding pair by pair would project n times.
+    padded = [
+        t.select(
+            *by,
+            *[f"`{c}`" if c in t.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names],
+            F.lit(i).alias("_table"),
+        )
+        for i, t in enumerate(tables)
+    ]
+    stacked = reduce(DataFrame.union, padded)
     per_table = [
         F.count_if(F.col("_table") == i).alias(f"_rows_{i}") for i in range(len(tables))
     ]
@@ -98,12 +118,16 @@ def fold_full(
     return folded.filter(_holds(single, "fold_full: a table repeats a key")).select(*by, *names)
 
 
-def attach_unique(rows: DataFrame, attributes: DataFrame, by: Sequence[str]) -> DataFrame:
+def attach_unique(
+    rows: DataFrame, attributes: DataFrame, by: Sequence[str], order_by: Sequence[str] = ()
+) -> DataFrame:
     """Full join of rows with a table holding at most one row per key.
 
     Each key's rows share a task, so they must be few (months of a place);
     use ``full_join`` otherwise. When both tables are already partitioned by a
     subset of ``by``, the union keeps that partitioning and nothing is shuffled.
+    ``order_by`` names the order of a later window over ``by``, which then
+    needs no second sort.
     """
     by = list(by)
     names = [c for c in attributes.columns if c not in by]
@@ -114,6 +138,10 @@ def attach_unique(rows: DataFrame, attributes: DataFrame, by: Sequence[str]) ->
         attributes.withColumn("_side", F.lit(1)), allowMissingColumns=True
     )
     whole = Window.partitionBy(*by)
+    if order_by:
+        whole = whole.orderBy(*nulls_last(order_by)).rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing
+        )
     filled = both.select(
         *[c for c in both.columns if c not in names],
         *[F.first(c, ignorenulls=True).over(whole).alias(c) for c in names],

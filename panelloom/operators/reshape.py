@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,24 @@ def pivot_longer(
     return cast.unpivot(list(ids), values, names_to, values_to)
 
 
+def pivot_longer_parsed(
+    df: DataFrame,
+    ids: Sequence[str],
+    parse: Mapping[str, Callable[[str], object]],
+    values_to: str,
+) -> DataFrame:
+    """``pivot_longer`` with the column names already taken apart.
+
+    Each ``parse`` function turns a column name into a literal on the driver, so
+    no regular expression runs per cell. The value columns must have one type.
+    """
+    values = [c for c in df.columns if c not in ids]
+    cells = [
+        part for c in values for part in (*[F.lit(f(c)) for f in parse.values()], F.col(f"`{c}`"))
+    ]
+    return df.select(*ids, F.stack(F.lit(len(values)), *cells).alias(*parse, values_to))
+
+
 def fill_grid(
     long: DataFrame, by: Sequence[str], column: str, levels: Column | Sequence, value: str
 ) -> DataFrame:

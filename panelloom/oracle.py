@@ -269,6 +269,8 @@ from shipped where "year" > {AFTER} group by "year" """,
 r as (select nullif(c_mktsegment, 'MACHINERY') as segment, count(*) as n_customers from customer group by 1)
 select coalesce(l.segment, r.segment) as segment, c_custkey, n_customers
 from l full join r on l.segment is not distinct from r.segment""",
+    "order_lines_full_join": """select coalesce(o_orderkey, l_orderkey) as o_orderkey, o_custkey, o_totalprice,
+  l_partkey, l_quantity from orders full join lineitem on o_orderkey = l_orderkey""",
     "calendar_index": f"""with {SHIPPED}, periods as (select distinct "year", month_number from shipped)
 select *, cast(row_number() over (order by "year", month_number) as integer) as "time" from periods""",
     "densify_grid": f"""with {SHIPPED}, cells as (

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelloom.functions.scalars import code_prefix, extract_first, to_number
 from panelloom.operators.filters import keep_known
 from panelloom.operators.joins import fold_full
 from panelloom.operators.names import clean_names, drop_containing, lower_names
-from panelloom.operators.reshape import pivot_longer
+from panelloom.operators.reshape import pivot_longer_parsed
 from panelloom.sources.delimited import read_delimited, read_family, read_with_preamble
 from panelloom.sources.sinks import write_csv, write_table
 
@@ -22,6 +22,24 @@ def _numeric(df: DataFrame, label: str) -> DataFrame:
     return table.select(label, *[to_number(f"`{c}`").alias(c) for c in table.columns if c != label])
 
 
+def year_in(name: str) -> int | None:
+    """The first run of digits of a column name."""
+    found = re.search("[0-9]+", name)
+    return int(found[0]) if found else None
+
+
+def month_in(name: str) -> str | None:
+    """The first run of letters of a column name."""
+    found = re.search("[a-zA-Z]+", name)
+    return found[0] if found else None
+
+
+def _with_code(df: DataFrame, label: str, place: str) -> DataFrame:
+    """The place code in front of the label's name, parsed once per place, not per cell."""
+    code = to_number(extract_first(label, "[0-9]+")).cast("bigint").alias(place)
+    return df.select(code, *[f"`{c}`" for c in df.columns if c != label])
+
+
 def series_long(
     tables: list[DataFrame],
     name: str,
@@ -37,14 +55,9 @@ def series_long(
     """
     wide = fold_full([_numeric(t, label) for t in tables], [label], duplicates)
     value = f"vacc_{name}"
-    long = pivot_longer(wide, [label], "date", value)
-    parsed = long.select(
-        value,
-        extract_first("date", "[0-9]+").cast("int").alias("year"),
-        extract_first("date", "[a-zA-Z]+").alias("month"),
-        extract_first(label, "[0-9]+").cast("bigint").alias(place),
-    )
-    return keep_known(parsed, place)
+    coded = keep_known(_with_code(wide, label, place), place)
+    long = pivot_longer_parsed(coded, [place], {"year": year_in, "month": month_in}, value)
+    return long.select(value, "year", "month", place)
 
 
 def ingest_series(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
@@ -65,12 +78,8 @@ def annual_long(
     table: DataFrame, value: str = "vacc_cob_polio", label: str = "município", place: str = "cod_mun"
 ) -> DataFrame:
     """Annual doses by place from a wide table; a totals row stays, with a missing place."""
-    long = pivot_longer(_numeric(table, label), [label], "date", value)
-    return long.select(
-        value,
-        to_number(extract_first("date", "[0-9]+")).cast("int").alias("year"),
-        to_number(extract_first(label, "[0-9]+")).cast("bigint").alias(place),
-    )
+    coded = _with_code(_numeric(table, label), label, place)
+    return pivot_longer_parsed(coded, [place], {"year": year_in}, value).select(value, "year", place)
 
 
 def ingest_annual(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -84,12 +93,8 @@ def denominator_long(
     wide = clean_names(table)
     years = [c for c in wide.columns if c != label]
     numbers = wide.select(label, *[to_number(c).alias(c) for c in years])
-    long = pivot_longer(numbers, [label], "year", value)
-    return long.select(
-        to_number(extract_first("year", "[0-9]+")).cast("int").alias("year"),
-        to_number(extract_first(label, "[0-9]+")).cast("bigint").alias(place),
-        value,
-    )
+    coded = _with_code(numbers, label, place)
+    return pivot_longer_parsed(coded, [place], {"year": year_in}, value).select("year", place, value)
 
 
 def ingest_denominator(

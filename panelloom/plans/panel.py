@@ -20,6 +20,7 @@ from panelloom.operators.joins import (
 from panelloom.sources.sinks import stage
 
 PERIOD = ["year", "month_number"]
+MONTH_ORDER = ["month_number", "month"]
 
 
 def monthly_base(
@@ -54,14 +55,12 @@ def add_coverage(df: DataFrame) -> DataFrame:
 def _accumulate_any(df: DataFrame, place: str) -> DataFrame:
     """Running doses when a place and month may repeat without bound.
 
-    Repeated rows have no defined order, so a hash of the row orders them and
-    doubles as the block that splits a hot group.
+    Repeated rows have no defined order, so a hash of the row orders them.
     """
-    slot = F.pmod(F.xxhash64(*df.columns), F.lit(64))
-    ordered = df.withColumn("_hash", F.xxhash64(*df.columns)).withColumn("_slot", slot)
+    hashed = df.withColumn("_hash", F.xxhash64(*df.columns))
     return running_sum_blocked(
-        ordered, "vacc_total", "vacc_accum", ["year", place], ["month_number", "_slot"], ["_hash"]
-    ).drop("_hash", "_slot")
+        hashed, "vacc_total", "vacc_accum", ["year", place], ["month_number", "_hash"]
+    ).drop("_hash")
 
 
 def build_panel(
@@ -79,8 +78,8 @@ def build_panel(
     """Monthly base with calendar index, population, goals, coverage, attributes and events.
 
     All joins are full outer: population-only, attribute-only and event-only rows
-    stay, with missing months or places. ``base`` is read three times, so pass
-    a stored table.
+    stay, with missing months or places. ``base`` and ``events`` are read several
+    times, so pass stored tables.
 
     With unique keys (checked while running) the base, the population and the
     attributes are each shuffled once, by place; both attachments and the
@@ -95,17 +94,17 @@ def build_panel(
         timed, population, attributes = [
             t.repartition(place) for t in (timed, population, attributes)
         ]
-        joined = attach_unique(timed, population, ["year", place])
+        joined = attach_unique(timed, population, ["year", place], MONTH_ORDER)
     else:
         joined = full_join(timed, population, ["year", place])
     doses = joined.withColumn("vacc_total", sum((F.col(c) for c in total[1:]), F.col(total[0])))
     doses = add_goals(doses)
     if unique:
-        running = running_sum("vacc_total", ["year", place], ["month_number", "month"])
+        running = running_sum("vacc_total", ["year", place], MONTH_ORDER)
         covered = add_coverage(doses.withColumn("vacc_accum", running))
         described = attach_unique(covered, attributes, [place])
     else:
-        # Both full joins read their left side twice.
+        # Stored because the full join reads it more than once.
         covered = stage(add_coverage(_accumulate_any(doses, place)), "covered")
         described = full_join(covered, attributes, [place])
     # Stored because the event join reads it twice: for its rows and for its periods.

@@ -72,7 +72,7 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = LATIN1) -> Da
     give every split its offset.
     """
     lines = spark.read.text(path).select(
-        F.decode(F.col("value").cast("binary"), F.lit(encoding)).alias("line"),
+        F.decode(F.col("value").cast("binary"), encoding).alias("line"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("seq"),
     )
@@ -99,7 +99,7 @@ def read_with_preamble(
 
     The driver reads only the preamble and the header. All columns are text.
     """
-    top = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), F.lit(encoding)))
+    top = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding))
     header = top.take(skip + 1)[skip][0]
     names = [n.strip('"') for n in header.rstrip("\r").split(sep)]
     schema = ", ".join(f"_c{i} STRING" for i in range(len(names)))

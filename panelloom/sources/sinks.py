@@ -5,10 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="panelloom-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for staged tables: the session's ``spark.checkpoint.dir``.
 
@@ -20,9 +26,7 @@ def scratch_root(spark: SparkSession) -> str:
         return configured
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="panelloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

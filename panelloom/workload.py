@@ -167,12 +167,16 @@ def stored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(base(spark, sf_dir), "base")
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(busy_days(spark, sf_dir), "events")
+
+
 def panel(spark: SparkSession, sf_dir: str, event_mode: str = "parity") -> DataFrame:
     return build_panel(
         stored_base(spark, sf_dir),
         population(spark, sf_dir),
         attributes(spark, sf_dir),
-        busy_days(spark, sf_dir),
+        stored_events(spark, sf_dir),
         place=PLACE,
         flags=FLAGS,
         event_mode=event_mode,
@@ -185,26 +189,23 @@ def panel(spark: SparkSession, sf_dir: str, event_mode: str = "parity") -> DataF
 def wide_files(spark: SparkSession, sf_dir: str, flag: str) -> list[str]:
     """Write one wide ``;`` Latin-1 table per year: labelled places, month columns, a total."""
     lines = shipped(spark, sf_dir).filter(F.col("l_returnflag") == flag)
-    counts = stage(lines.groupBy(PLACE, "year", "month_number").agg(F.count("*").alias("n")), "counts")
+    months = [
+        F.nullif(F.count_if(F.col("month_number") == i + 1), F.lit(0)).alias(m)
+        for i, m in enumerate(MONTHS_PT)
+    ]
+    counts = lines.groupBy(PLACE, "year").agg(*months, F.count("*").alias("Total"))
     names = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias(PLACE),
         F.concat((F.col("s_suppkey") + 110000).cast("string"), F.lit(" "), "s_name").alias("Município"),
     )
-    first, last = counts.agg(F.min("year"), F.max("year")).first()
+    wide = stage(counts.join(names, PLACE), "wide")
+    first, last = wide.agg(F.min("year"), F.max("year")).first()
     paths = []
     for year in range(first, last + 1):
-        months = [
-            F.max(F.when(F.col("month_number") == i + 1, F.col("n"))).alias(f"{year}/{m.title()}")
-            for i, m in enumerate(MONTHS_PT)
-        ]
-        wide = (
-            counts.filter(F.col("year") == year)
-            .join(names, PLACE)
-            .groupBy("Município")
-            .agg(*months, F.sum("n").alias("Total"))
-        )
+        headed = [F.col(m).alias(f"{year}/{m.title()}") for m in MONTHS_PT]
+        one_year = wide.filter(F.col("year") == year).select("Município", *headed, "Total")
         paths.append(scratch_path(spark, f"wide-{year}"))
-        wide.write.csv(paths[-1], sep=";", header=True, encoding="ISO-8859-1", nullValue="-")
+        one_year.write.csv(paths[-1], sep=";", header=True, encoding="ISO-8859-1", nullValue="-")
     return paths
 
 
@@ -397,7 +398,16 @@ def null_key_full_join(spark, sf_dir):
     right = customers.groupBy(F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("segment")).agg(
         F.count("*").alias("n_customers")
     )
-    return full_join(left, right, ["segment"])
+    return full_join(left, right, ["segment"], right_unique=True)
+
+
+def order_lines_full(spark, sf_dir):
+    """Orders with their lines; orders without lines and lines without an order stay."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity"
+    )
+    return full_join(orders, lines)
 
 
 def calendar(spark, sf_dir):
@@ -486,7 +496,8 @@ def band_limits(spark, sf_dir):
 
 
 def summary_stats(spark, sf_dir):
-    stats = summary_statistics(panel(spark, sf_dir), ["vacc_vip_3_dose", "vacc_vop_3_dose"])
+    rows = stage(panel(spark, sf_dir).select("vacc_vip_3_dose", "vacc_vop_3_dose"), "doses")
+    stats = summary_statistics(rows, ["vacc_vip_3_dose", "vacc_vop_3_dose"])
     return stats.select("variable", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"), "median")
 
 
@@ -502,22 +513,21 @@ def running_sum_na(spark, sf_dir):
         "event_id",
         "user_id",
         "ts",
-        F.to_date("ts").alias("day"),
         F.when(F.col("value") < 200, F.round(F.col("value") * 100).cast("bigint")).alias("cents"),
     )
-    total = running_sum_blocked(rows, "cents", "total", ["user_id"], ["day"], ["ts", "event_id"])
+    total = running_sum_blocked(rows, "cents", "total", ["user_id"], ["ts", "event_id"])
     return total.select("event_id", "user_id", "cents", "total")
 
 
 def event_fanout(spark, sf_dir):
     return attach_events(
-        stored_base(spark, sf_dir), busy_days(spark, sf_dir), ["year", "month_number"]
+        stored_base(spark, sf_dir), stored_events(spark, sf_dir), ["year", "month_number"]
     )
 
 
 def event_collapse(spark, sf_dir):
     return attach_events(
-        stored_base(spark, sf_dir), busy_days(spark, sf_dir), ["year", "month_number"], "collapse"
+        stored_base(spark, sf_dir), stored_events(spark, sf_dir), ["year", "month_number"], "collapse"
     )
 
 
@@ -588,6 +598,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_base": base,
     "natural_full_fold": natural_full_fold,
     "null_key_full_join": null_key_full_join,
+    "order_lines_full_join": order_lines_full,
     "calendar_index": calendar,
     "densify_grid": densify_grid,
     "year_state_grid": year_state_grid,

@@ -1,0 +1,57 @@
+"""Every registered query against DuckDB on the smallest driver tables."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_points
+
+FOLDER = "/root/testdata/sf0.001"
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages"
+    " benchmark labels conversations"
+).split()
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    return con
+
+
+def plain(v):
+    if v is None:
+        return "~"
+    return "nan" if isinstance(v, float) and math.isnan(v) else str(v)
+
+
+@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+def test_query(spark, duck, name):
+    df = entry_points.queries()[name](spark, FOLDER)
+    columns = sorted(df.columns)
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    assert got
+    if name not in entry_points.oracle_sql():
+        return
+    cursor = duck.execute(entry_points.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    at = [names.index(c) for c in columns]
+    assert got == sorted(tuple(plain(r[i]) for i in at) for r in cursor.fetchall())
+
+
+def test_entry(spark):
+    assert entry_points.entry(spark).count() > 0
+
+
+def test_only_special_functions_lack_sql():
+    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == {
+        "correlation_p_value",
+        "regression_band_limits",
+    }

@@ -1,0 +1,179 @@
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelloom.operators.grids import year_state_grid
+from panelloom.plans import ingest
+from panelloom.sources import delimited as D
+from panelloom.sources import sinks as K
+from tests.conftest import rows
+
+
+def put(folder, name, text, encoding="latin-1"):
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / name
+    path.write_bytes(text.encode(encoding))
+    return str(path)
+
+
+def wide_years(folder):
+    put(folder, "a_2016.csv", "Município;2016/Jan;2016/Fev;Total\n110001 ALTA FLORESTA;5;-;5\n110002 SÃO JOÃO;1;2;3\nTotal;6;2;8\n")
+    put(folder, "b_2017.csv", "Município;2017/Jan;Total\n110002 SÃO JOÃO;7;7\n110003 NOVA;NA;0\nTotal;7;7\n")
+    put(folder, "notes.txt", "not a table")
+    return str(folder)
+
+
+def test_family_keeps_each_header(spark, tmp_path):
+    tables = D.read_family(spark, wide_years(tmp_path / "vop"))
+    assert [t.columns for t in tables] == [
+        ["Município", "2016Jan", "2016Fev", "Total"],
+        ["Município", "2017Jan", "Total"],
+    ]
+    assert tables[0].filter("`2016Jan` = '1'").first()["Município"] == "110002 SÃO JOÃO"
+
+
+def test_series_fills_places_missing_from_a_file(spark, tmp_path):
+    long = ingest.ingest_series(spark, "vop_3_dose", wide_years(tmp_path / "vop"))
+    assert long.columns == ["vacc_vop_3_dose", "year", "month", "cod_mun"]
+    assert rows(long, "cod_mun", "year", "month", "vacc_vop_3_dose") == [
+        (110001, 2016, "fev", None), (110001, 2016, "jan", 5.0), (110001, 2017, "jan", None),
+        (110002, 2016, "fev", 2.0), (110002, 2016, "jan", 1.0), (110002, 2017, "jan", 7.0),
+        (110003, 2016, "fev", None), (110003, 2016, "jan", None), (110003, 2017, "jan", None),
+    ]
+
+
+def test_two_spellings_of_a_place_stay_two_rows(spark, tmp_path):
+    put(tmp_path / "s", "a.csv", "Município;2016/Jan\n110001 ALTA;5\n")
+    put(tmp_path / "s", "b.csv", "Município;2017/Jan\n110001 Alta;6\n")
+    long = ingest.ingest_series(spark, "x", str(tmp_path / "s"))
+    assert rows(long, "cod_mun", "year", "vacc_x") == [
+        (110001, 2016, 5.0), (110001, 2016, None), (110001, 2017, 6.0), (110001, 2017, None),
+    ]
+
+
+def test_join_mode_accepts_a_repeated_label(spark, tmp_path):
+    put(tmp_path / "s", "a.csv", "Município;2016/Jan\n110001 ALTA;5\n110001 ALTA;6\n")
+    put(tmp_path / "s", "b.csv", "Município;2017/Jan\n110001 ALTA;7\n")
+    long = ingest.ingest_series(spark, "x", str(tmp_path / "s"), duplicates="join")
+    assert rows(long, "year", "vacc_x") == [(2016, 5.0), (2016, 6.0), (2017, 7.0), (2017, 7.0)]
+
+
+def test_ingest_all_and_hand_off(spark, tmp_path):
+    series = {"vop": wide_years(tmp_path / "vop"), "vip": wide_years(tmp_path / "vip")}
+    for fmt in ("csv", "parquet"):
+        ingest.ingest_all(spark, series, str(tmp_path / fmt), fmt)
+    schema = "vacc_vip double, year int, month string, cod_mun bigint"
+    csv = D.read_handoff(spark, str(tmp_path / "csv" / "vip.csv"), schema)
+    assert rows(csv) == rows(spark.read.parquet(str(tmp_path / "parquet" / "vip.parquet")))
+    text = "".join(p.read_text() for p in (tmp_path / "csv" / "vip.csv").glob("*.csv"))
+    assert "NA,2016,fev,110001" in text
+
+
+def test_annual_table_keeps_its_totals_row_without_a_place(spark, tmp_path):
+    path = put(tmp_path, "annual.csv", "Município;2016;2017;Total\n110001 ALTA;5;x;5\nTotal;5;0;5\n")
+    assert rows(ingest.ingest_annual(spark, path), "year", "cod_mun", "vacc_cob_polio") == [
+        (2016, 110001, 5.0), (2016, None, 5.0), (2017, 110001, None), (2017, None, 0.0),
+    ]
+    plain = put(tmp_path, "plain.csv", "Municipio;2016\n110001 ALTA;5\n")
+    assert ingest.ingest_annual(spark, plain, label="municipio").count() == 1
+
+
+def test_european_numbers_and_text_years(spark, tmp_path):
+    path = put(tmp_path, "br.csv", "Ano;Doses;Total\n2015;9;9\n2016;1.234,5;1\n2017;7,25;1\nTotal;9;9\n")
+    assert rows(D.read_european(spark, path, ("year", "vacc_cob_polio", "total"))) == [(2016, 1234.5), (2017, 7.25)]
+
+
+PREAMBLE = "População residente\nFonte: \"x\n\na;b;c;d\n-\n"
+
+
+def test_preamble_and_row_cap(spark, tmp_path):
+    path = put(tmp_path, "pop.csv", PREAMBLE + '"Município";"2016";"2017"\n"110001 ALTA";10;20\n110002 SÃO;x;40\nTotal;1;2\nFonte: x\n')
+    raw = D.read_with_preamble(spark, path, skip=5, n_max=2)
+    assert raw.columns == ["Município", "2016", "2017"]
+    assert rows(raw) == [("110001 ALTA", "10", "20"), ("110002 SÃO", "x", "40")]
+    assert rows(ingest.ingest_denominator(spark, path, n_max=2), "cod_mun", "year", "pop") == [
+        (110001, 2016, 10.0), (110001, 2017, 20.0), (110002, 2016, None), (110002, 2017, 40.0),
+    ]
+    assert D.read_with_preamble(spark, path, skip=5).count() == 4
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    body = "".join(f"{110000 + i} PLACE {'x' * (i % 50)};{i}\n" for i in range(5000))
+    path = put(tmp_path, "big.csv", PREAMBLE + "Município;2016\n" + body)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    lines = D.numbered_lines(session, path)
+    assert lines.rdd.getNumPartitions() > 8
+    assert lines.select("line_number").distinct().count() == 5006
+    want = [(i + 7, str(i)) for i in range(5000)]
+    got = lines.filter("line_number > 6").select("line_number", F.substring_index("line", ";", -1))
+    assert sorted(map(tuple, got.collect())) == want
+    capped = D.read_with_preamble(session, path, skip=5, n_max=3210)
+    assert capped.agg(F.max(F.col("2016").cast("int")), F.count("*")).first()[:] == (3209, 3210)
+
+
+def test_separator_is_detected(spark, tmp_path):
+    for sep in (",", ";", "\t", "|"):
+        path = put(tmp_path, "votes.csv", sep.join(["id_municipio", "share", "win"]) + "\n" + sep.join(["1100015", "0.71", "1"]) + "\n")
+        assert D.guess_separator(spark, path) == sep
+        votes = D.read_detected(spark, path, "id_municipio bigint, share double, win int")
+        assert rows(ingest.place_attributes(votes)) == [(0.71, 1, 110001)]
+
+
+def test_events_from_csv_and_parquet(spark, tmp_path):
+    path = put(tmp_path, "events.csv", "year,month_number,event_date\n2021,6,2021-06-09\n2021,NA,NA\n")
+    events = D.read_events(spark, path)
+    K.write_table(events, str(tmp_path / "events"))
+    want = [(2021, 6, dt.date(2021, 6, 9)), (2021, None, None)]
+    assert rows(events) == want == rows(D.read_events(spark, str(tmp_path / "events")))
+
+
+def test_named_files_in_one_scan(spark, tmp_path):
+    put(tmp_path / "dn", "DNAC2006.csv", "id,weight\n1,3000\n2,NA\n")
+    put(tmp_path / "dn", "DNSP2007.csv", "id,weight\n3,3100\n")
+    births = D.read_named_files(spark, str(tmp_path / "dn"), "id int, weight int")
+    assert rows(births) == [(1, 3000, "AC", "2006"), (2, None, "AC", "2006"), (3, 3100, "SP", "2007")]
+    out = str(tmp_path / "births")
+    K.write_partitioned(births, out, ["year", "state"])
+    grid = year_state_grid(spark, (2006, 2007), ("AC", "SP"))
+    read = spark.read.parquet(out).groupBy("year", "state").count()
+    assert rows(grid.join(read, ["year", "state"], "left"), "year", "state", "count") == [
+        (2006, "AC", 2), (2006, "SP", None), (2007, "AC", None), (2007, "SP", 1),
+    ]
+
+
+def test_blank_headers(spark, tmp_path):
+    for year in (2010, 2011):
+        cells = ",".join(f'"{i}"' for i in range(36))
+        header = ",".join(['""'] * 37)
+        put(tmp_path / "wide", f"doses_{year}.csv", f'{header}\n"12 - ACRE",{cells}\n"27 - ALAGOAS",{cells}\n')
+    wide = D.read_blank_header(spark, str(tmp_path / "wide"))
+    assert wide.columns == [f"_c{i}" for i in range(37)] + ["year"]
+    assert rows(wide.groupBy("year").agg(F.sum("_c36"))) == [(2010, 70), (2011, 70)]
+
+
+class Conf:
+    """Stands in for a session of which only the settings are read."""
+
+    def __init__(self, **settings):
+        self.settings = {k.replace("_", "."): v for k, v in settings.items()}
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+
+def test_scratch_root_is_the_session_setting():
+    assert K.scratch_root(Conf(spark_checkpoint_dir="hdfs://shared/x", spark_master="yarn")) == "hdfs://shared/x"
+    assert os.path.isdir(K.scratch_root(Conf(spark_master="local[8]")))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        K.scratch_root(Conf(spark_master="yarn"))
+
+
+def test_staged_table_keeps_types_and_missing_values(spark):
+    staged = K.stage(spark.range(3).withColumn("n", F.lit(None).cast("int")))
+    assert all(K.scratch_root(spark) in f for f in staged.inputFiles())
+    assert rows(staged) == [(0, None), (1, None), (2, None)]
