@@ -39,38 +39,49 @@ def sum_by(df: DataFrame, keys: Sequence[str], measures: Iterable[str]) -> DataF
     return df.groupBy(*keys).agg(*[na_sum(df, m) for m in measures])
 
 
-def _median_range(
-    values: DataFrame, measure: str, n: int, error: float, max_rows: int
-) -> tuple[float, float, int]:
-    """A value range that holds the middle ranks of a column, and the rows below it.
-
-    Each round a quantile sketch of the current range gives a range of about
-    ``4 * error`` of its rows; exact counts confirm it. It stops when few
-    rows are left, or when equal values keep the range from shrinking.
+def _median_ranges(
+    values: DataFrame, sizes: dict[str, int], error: float, max_rows: int
+) -> dict[str, tuple[float, float, int]]:
+    """Per column, a value range that holds the middle ranks, and the rows below it.
+
+    Each round a quantile sketch of the current ranges gives ranges of about
+    ``4 * error`` of their rows; exact counts confirm them. A column is done when
+    few rows are left, or when equal values keep its range from shrinking.
     """
-    first, last = (n + 1) // 2, n // 2 + 1
-    low, high, below, inside = float("-inf"), float("inf"), 0, n
-    v = F.col(measure)
-    while inside > max_rows and low < high:
-        current = values.filter(v.between(low, high))
-        at = ((first + last) / 2 - below) / inside
-        around = [max(0.0, at - 2 * error), min(1.0, at + 2 * error)]
-        lo, hi = current.approxQuantile(measure, around, error)
+    ranges = {m: (float("-inf"), float("inf"), 0) for m in sizes}
+    inside = dict(sizes)
+    pending = [m for m, n in sizes.items() if n > max_rows]
+    while pending:
+        current = values.select(
+            *[F.when(F.col(m).between(*ranges[m][:2]), F.col(m)).alias(m) for m in pending]
+        )
+        around = []
+        for m in pending:
+            at = ((sizes[m] + 1) / 2 - ranges[m][2]) / inside[m]
+            around += [min(1.0, max(0.0, at + side * error)) for side in (-2, 2)]
+        sketch = current.approxQuantile(pending, around, error)
+        found = {m: q[2 * i : 2 * i + 2] for i, (m, q) in enumerate(zip(pending, sketch))}
         counts = current.agg(
-            F.count_if(v < lo).alias("below"), F.count_if(v.between(lo, hi)).alias("inside")
+            *[F.count_if(F.col(m) < found[m][0]).alias(f"{i}:below") for i, m in enumerate(pending)],
+            *[F.count_if(F.col(m).between(*found[m])).alias(f"{i}:inside") for i, m in enumerate(pending)],
         ).first()
-        under = below + counts["below"]
-        if not under < first <= last <= under + counts["inside"] or counts["inside"] == inside:
-            break
-        low, high, below, inside = lo, hi, under, counts["inside"]
-    return low, high, below
+        undecided = []
+        for i, m in enumerate(pending):
+            below, within = ranges[m][2] + counts[f"{i}:below"], counts[f"{i}:inside"]
+            first, last = (sizes[m] + 1) // 2, sizes[m] // 2 + 1
+            if below < first <= last <= below + within and within < inside[m]:
+                ranges[m], inside[m] = (*found[m], below), within
+                if within > max_rows and found[m][0] < found[m][1]:
+                    undecided.append(m)
+        pending = undecided
+    return ranges
 
 
 def summary_statistics(
     df: DataFrame,
     measures: Sequence[str],
     rank_error: float = 1e-3,
-    max_rows: int = 1_000_000,
+    max_rows: int = 100_000,
 ) -> DataFrame:
     """Mean, sample standard deviation and exact median of each measure, one row per measure.
 
@@ -84,11 +95,12 @@ def summary_statistics(
     moments = values.agg(
         *[f(m).alias(f"{i}:{k}") for i, m in enumerate(measures) for k, f in _MOMENTS.items()]
     ).first()
-    facts = []
-    for i, m in enumerate(measures):
-        n, mean, sd = (moments[f"{i}:{k}"] for k in _MOMENTS)
-        low, high, below = _median_range(values, m, n, rank_error, max_rows)
-        facts.append((m, mean, sd, low, high, below, (n + 1) // 2, n // 2 + 1))
+    sizes = {m: moments[f"{i}:n"] for i, m in enumerate(measures)}
+    ranges = _median_ranges(values, sizes, rank_error, max_rows)
+    facts = [
+        (m, moments[f"{i}:mean"], moments[f"{i}:sd"], *ranges[m], (sizes[m] + 1) // 2, sizes[m] // 2 + 1)
+        for i, m in enumerate(measures)
+    ]
     info = spark.createDataFrame(
         facts,
         "variable string, mean double, sd double, low double, high double,"

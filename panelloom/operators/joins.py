@@ -165,20 +165,26 @@ def collapse_events(events: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def attach_events(
-    rows: DataFrame, events: DataFrame, by: Sequence[str], mode: str = "parity"
+    rows: DataFrame,
+    events: DataFrame,
+    by: Sequence[str],
+    mode: str = "parity",
+    periods: DataFrame | None = None,
 ) -> DataFrame:
     """Full join of period rows with an event table.
 
     ``parity`` repeats a row for each event of its period; ``collapse`` first
     reduces the events to one row per period, so sums do not grow. All places
     share the few period keys, so a shuffle by period would be skewed: the event
-    table is broadcast when its counted size allows.
+    table is broadcast when its counted size allows. ``periods`` may give the
+    distinct keys of ``rows`` if they are known; otherwise ``rows`` is read twice.
     """
     by = list(by)
     if mode == "collapse":
         events = collapse_events(events, by)
     elif mode != "parity":
         raise ValueError(f"unknown event mode {mode!r}")
+    present = rows.select(*by).distinct() if periods is None else periods.select(*by)
     matched = null_safe_join(rows, broadcast_checked(events), by, "left")
-    only_events = null_safe_join(events, rows.select(*by).distinct(), by, "left_anti")
+    only_events = null_safe_join(events, present, by, "left_anti")
     return matched.unionByName(only_events, allowMissingColumns=True)

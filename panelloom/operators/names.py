@@ -25,7 +25,8 @@ def drop_containing(df: DataFrame, text: str) -> DataFrame:
 
 def clean_name(name: str) -> str:
     """ASCII snake_case form of one name; a leading digit gets an ``x`` in front."""
-    ascii_name = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode("ascii")
+    spelled = name.replace("%", "_percent_").replace("#", "_number_").replace("'", "")
+    ascii_name = unicodedata.normalize("NFKD", spelled).encode("ascii", "ignore").decode("ascii")
     words = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", ascii_name)
     snake = re.sub(r"[^0-9a-zA-Z]+", "_", words).strip("_").lower()
     if not snake or snake[0].isdigit():

@@ -1,4 +1,4 @@
-"""Wide to long, and filling a long table out to its full grid."""
+"""Sorting, wide to long, and filling a long table out to its full grid."""
 
 from __future__ import annotations
 
@@ -7,9 +7,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.functions.windows import nulls_last
 from panelloom.operators.joins import _holds
 
 
+def arrange(df: DataFrame, *columns: str) -> DataFrame:
+    """Ascending sort on several keys, missing values last (Spark puts them first)."""
+    return df.orderBy(*nulls_last(columns))
+
+
 def pivot_longer(
     df: DataFrame, ids: Sequence[str], names_to: str, values_to: str, value_type: str = "double"
 ) -> DataFrame:

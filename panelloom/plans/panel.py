@@ -87,8 +87,8 @@ def build_panel(
     many-to-many joins instead.
     """
     flags = flags or {"flag_70": 0.7, "flag_60": 0.6}
-    calendar = broadcast_checked(calendar_index(base, PERIOD))
-    timed = null_safe_join(base, calendar, PERIOD, "left")
+    calendar = calendar_index(base, PERIOD)
+    timed = null_safe_join(base, broadcast_checked(calendar), PERIOD, "left")
     unique = duplicates == "raise"
     if unique:
         timed, population, attributes = [
@@ -107,8 +107,12 @@ def build_panel(
         # Stored because the full join reads it more than once.
         covered = stage(add_coverage(_accumulate_any(doses, place)), "covered")
         described = full_join(covered, attributes, [place])
-    # Stored because the event join reads it twice: for its rows and for its periods.
-    panel = attach_events(stage(described, "panel"), events, PERIOD, event_mode)
+    dated = events.filter(" or ".join(f"{k} is null" for k in PERIOD)).isEmpty()
+    if dated:
+        # A full year and month occurs in the panel only if it occurs in the base.
+        panel = attach_events(described, events, PERIOD, event_mode, calendar)
+    else:
+        panel = attach_events(stage(described, "panel"), events, PERIOD, event_mode)
     for name, threshold in flags.items():
         panel = panel.withColumn(name, threshold_flag(share, threshold))
     return panel

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +34,22 @@ def read_delimited(
     return repair(spark.read.csv(path, sep=sep, header=True, encoding=encoding, nullValue="NA"))
 
 
+def read_files(
+    spark: SparkSession, paths: Sequence[str], sep: str = ";", encoding: str = LATIN1
+) -> list[DataFrame]:
+    """One DataFrame per file, because the headers differ from file to file.
+
+    Threads overlap the short jobs that fetch the header lines.
+    """
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(lambda p: read_delimited(spark, p, sep, encoding), paths))
+
+
 def read_family(
     spark: SparkSession, path: str, pattern: str = "*.csv", sep: str = ";", encoding: str = LATIN1
 ) -> list[DataFrame]:
-    """One DataFrame per file, because the headers differ from file to file."""
-    return [read_delimited(spark, f, sep, encoding) for f in list_files(spark, path, pattern)]
+    """``read_files`` over the files of a directory."""
+    return read_files(spark, list_files(spark, path, pattern), sep, encoding)
 
 
 def read_handoff(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") -> DataFrame:

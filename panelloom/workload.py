@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ from panelloom.plans import coverage, ingest, reconcile
 from panelloom.plans.panel import build_panel, monthly_base
 from panelloom.sources.delimited import (
     read_blank_header,
-    read_delimited,
     read_european,
+    read_files,
     read_handoff,
     read_named_files,
 )
@@ -200,24 +201,27 @@ def wide_files(spark: SparkSession, sf_dir: str, flag: str) -> list[str]:
     )
     wide = stage(counts.join(names, PLACE), "wide")
     first, last = wide.agg(F.min("year"), F.max("year")).first()
-    paths = []
-    for year in range(first, last + 1):
+
+    def write_year(year: int) -> str:
         headed = [F.col(m).alias(f"{year}/{m.title()}") for m in MONTHS_PT]
         one_year = wide.filter(F.col("year") == year).select("Município", *headed, "Total")
-        paths.append(scratch_path(spark, f"wide-{year}"))
-        one_year.write.csv(paths[-1], sep=";", header=True, encoding="ISO-8859-1", nullValue="-")
-    return paths
+        path = scratch_path(spark, f"wide-{year}")
+        one_year.write.csv(path, sep=";", header=True, encoding="ISO-8859-1", nullValue="-")
+        return path
+
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(write_year, range(first, last + 1)))
 
 
 def series_from_files(spark, sf_dir):
-    tables = [read_delimited(spark, p) for p in wide_files(spark, sf_dir, "N")]
+    tables = read_files(spark, wide_files(spark, sf_dir, "N"))
     long = ingest.series_long(tables, "vop", place=PLACE)
     return long.withColumn("vacc_vop", F.col("vacc_vop").cast("bigint"))
 
 
 def annual_from_wide(spark, sf_dir):
     """Annual source in its wide form, with a totals row whose label holds no code."""
-    counts = annual(spark, sf_dir)
+    counts = stage(annual(spark, sf_dir), "annual")
     first, last = counts.agg(F.min("year"), F.max("year")).first()
     years = [F.sum(F.when(F.col("year") == y, F.col("vacc_cob_polio"))).alias(str(y)) for y in range(first, last + 1)]
     labelled = counts.withColumn("Município", F.concat((F.col(PLACE) + 110000).cast("string"), F.lit(" PLACE")))
@@ -229,7 +233,7 @@ def annual_from_wide(spark, sf_dir):
 
 
 def denominator_from_wide(spark, sf_dir):
-    counts = population(spark, sf_dir)
+    counts = stage(population(spark, sf_dir), "population")
     first, last = counts.agg(F.min("year"), F.max("year")).first()
     years = [F.sum(F.when(F.col("year") == y, F.col("pop"))).cast("string").alias(str(y)) for y in range(first, last + 1)]
     wide = (
@@ -418,6 +422,7 @@ def densify_grid(spark, sf_dir):
     dated = one_series(spark, sf_dir, "vacc_vop_3_dose").select(
         PLACE, F.concat(F.col("year").cast("string"), "month").alias("date"), "vacc_vop_3_dose"
     )
+    dated = stage(dated, "cells")
     levels = dated.agg(F.collect_set("date").alias("dates")).scalar()
     return fill_grid(dated, [PLACE], "date", levels, "vacc_vop_3_dose")
 

@@ -164,3 +164,11 @@ def test_months_add_up_to_the_year(spark):
         F.sum("vacc_total").alias("months"), F.max("vacc_accum").alias("last")
     )
     assert all(r.months == r.last for r in complete.filter("cod_mun = 2").collect())
+
+
+def test_event_without_a_month_matches_rows_without_a_month(spark):
+    odd = events(spark).union(spark.createDataFrame([(2016, None, dt.date(2016, 7, 7))], events(spark).schema))
+    base = P.monthly_base(series(spark))
+    panel = P.build_panel(base, population(spark), attributes(spark), odd, event_mode="collapse")
+    matched = panel.filter("month_number is null and year = 2016")
+    assert rows(matched, PLACE, "event_date") == [(3, dt.date(2016, 7, 7))]

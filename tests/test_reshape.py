@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from panelloom.operators import filters, grids, names
-from panelloom.operators.reshape import fill_grid, pivot_longer, pivot_longer_parsed
+from panelloom.operators.reshape import arrange, fill_grid, pivot_longer, pivot_longer_parsed
 from tests.conftest import rows
 
 
@@ -21,7 +21,7 @@ def test_name_repairs(spark):
 
 @pytest.mark.parametrize(
     "raw, clean",
-    [("Município", "municipio"), ("2016", "x2016"), ("2016/Jan", "x2016_jan"), ("Vote Share (%)", "vote_share"), ("idMunicipio", "id_municipio"), ("%", "x")],
+    [("Município", "municipio"), ("2016", "x2016"), ("2016/Jan", "x2016_jan"), ("Vote Share (%)", "vote_share_percent"), ("idMunicipio", "id_municipio"), ("Olho d'água #", "olho_dagua_number"), ("()", "x")],
 )
 def test_clean_name(raw, clean):
     assert names.clean_name(raw) == clean
@@ -81,3 +81,8 @@ def test_parameter_grid(spark):
     assert rows(years) == [(i, y) for i in range(2) for y in (2006, 2007, 2008)]
     days = [dt.date(2021, 12, 7)] * 2
     assert grids.event_dates(spark, days).count() == 2
+
+
+def test_arrange_puts_missing_last(spark):
+    df = spark.createDataFrame([(None, 1), (2017, 1), (2016, None), (2016, 2)], "y int, m int")
+    assert [tuple(r) for r in arrange(df, "y", "m").collect()] == [(2016, 2), (2016, None), (2017, 1), (None, 1)]
