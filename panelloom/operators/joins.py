@@ -98,17 +98,12 @@ def fold_full(
     repeated = sorted({c for c in names if names.count(c) > 1})
     if repeated:
         raise ValueError(f"columns found in more than one table: {repeated}")
-    kinds = {c: t.schema[c].dataType for t in tables for c in t.columns if c not in by}
-    # Each table gets all columns at once; padding pair by pair would project n times.
-    padded = [
-        t.select(
-            *by,
-            *[f"`{c}`" if c in t.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names],
-            F.lit(i).alias("_table"),
-        )
-        for i, t in enumerate(tables)
-    ]
-    stacked = reduce(DataFrame.union, padded)
+    parts = [t.withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]
+    # Pairs of pairs: the padded plan stays log(n) deep for a long list of tables.
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [p[0].unionByName(p[1], allowMissingColumns=True) if p[1:] else p[0] for p in pairs]
+    stacked = parts[0]
     per_table = [
         F.count_if(F.col("_table") == i).alias(f"_rows_{i}") for i in range(len(tables))
     ]

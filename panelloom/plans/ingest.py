@@ -7,7 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelloom.functions.scalars import code_prefix, extract_first, to_number
+from panelloom.functions.scalars import code_prefix, extract_first, number_columns, to_number
 from panelloom.operators.filters import keep_known
 from panelloom.operators.joins import fold_full
 from panelloom.operators.names import clean_names, drop_containing, lower_names
@@ -19,7 +19,7 @@ from panelloom.sources.sinks import write_csv, write_table
 def _numeric(df: DataFrame, label: str) -> DataFrame:
     """Lower-case names, no totals columns, every column but the label as a number."""
     table = drop_containing(lower_names(df), "total")
-    return table.select(label, *[to_number(f"`{c}`").alias(c) for c in table.columns if c != label])
+    return table.select(label, *number_columns(c for c in table.columns if c != label))
 
 
 def year_in(name: str) -> int | None:
@@ -92,7 +92,7 @@ def denominator_long(
     """Population by year and place from a wide table with one column per year."""
     wide = clean_names(table)
     years = [c for c in wide.columns if c != label]
-    numbers = wide.select(label, *[to_number(c).alias(c) for c in years])
+    numbers = wide.select(label, *number_columns(years))
     coded = _with_code(numbers, label, place)
     return pivot_longer_parsed(coded, [place], {"year": year_in}, value).select("year", place, value)
 

@@ -33,11 +33,10 @@ class Settings:
     annual: str = "doses_aplicadas_cv/doses_cv_2006_2021.csv"
     population: str = "pop_residente_0_4/pop_estimativas_municipios.csv"
     attributes: str = "votos_bolsonaro.csv"
-    attribute_schema: str = "id_municipio bigint, perc_bolso double, win_bolso int"
     events: str = "comunicacao_bolsonaro.csv"
-    event_schema: str = "year int, month_number int, event_date date"
     skip: int = 5
     n_max: int | None = 5570
+    code: str = "id_municipio"
     place: str = "cod_mun"
     second: str = "vacc_cob_polio"
     share: str = "perc_bolso"
@@ -95,9 +94,9 @@ def run(
     base = put("base", monthly_base(doses, s.after, s.place, s.duplicates))
     population = ingest.ingest_denominator(spark, f"{root}/{s.population}", s.skip, s.n_max, place=s.place)
     votes = ingest.place_attributes(
-        read_detected(spark, f"{root}/{s.attributes}", s.attribute_schema), place=s.place
+        read_detected(spark, f"{root}/{s.attributes}", (s.share, s.group)), s.code, place=s.place
     )
-    speeches = put("events", read_events(spark, f"{root}/{s.events}", s.event_schema))
+    speeches = put("events", read_events(spark, f"{root}/{s.events}"))
     panel = put(
         "panel",
         build_panel(

@@ -8,9 +8,10 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions.scalars import european_number
+from panelloom.functions.scalars import european_number, number_columns
 from panelloom.operators.filters import text_after
 from panelloom.operators.names import remove_from_names, set_names
+from panelloom.sources.sinks import stage
 
 LATIN1 = "ISO-8859-1"
 
@@ -81,19 +82,21 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = LATIN1) -> Da
     """Lines of one file with their 1-based number, counted in parallel.
 
     Each split numbers its own lines; the few split sizes are then summed to
-    give every split its offset.
+    give every split its offset. The lines are stored with their split, because a
+    second scan may cut the file elsewhere once executors have come or gone.
     """
-    lines = spark.read.text(path).select(
+    scanned = spark.read.text(path).select(
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("seq"),
     )
+    lines = stage(scanned, "lines")
     sizes = lines.groupBy("split").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    # One row per input split of a single file: as many as the scan has tasks.
+    # One row per input split of a single file: as many as the scan had tasks.
     return lines.join(F.broadcast(offsets), "split").select(
         "line", (F.col("seq") - F.col("first") + F.col("offset") + 1).alias("line_number")
     )
@@ -135,19 +138,30 @@ def guess_separator(
     return max(candidates, key=score)
 
 
-def read_detected(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A delimited file whose separator is detected from its first lines."""
+def _by_name(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """The named columns as numbers, the others as they are, in file order."""
+    numbers = dict(zip(numeric, number_columns(numeric)))
+    return df.select(*[numbers.get(c, F.col(f"`{c}`")) for c in df.columns])
+
+
+def read_detected(spark: SparkSession, path: str, numeric: Sequence[str]) -> DataFrame:
+    """A delimited file whose separator is detected from its first lines.
+
+    Columns are found by name, so further ones may stand anywhere; they stay text.
+    """
     sep = guess_separator(spark, path)
-    return spark.read.schema(schema).csv(path, sep=sep, header=True, nullValue="NA")
+    return _by_name(spark.read.csv(path, sep=sep, header=True, nullValue="NA"), numeric)
 
 
 def read_events(
-    spark: SparkSession, path: str, schema: str = "year int, month_number int, event_date date"
+    spark: SparkSession, path: str, keys: Sequence[str] = ("year", "month_number")
 ) -> DataFrame:
-    """Event table, kept as CSV or Parquet."""
+    """Event table, kept as CSV or Parquet, with integer period keys."""
     if path.endswith(".csv"):
-        return spark.read.schema(schema).csv(path, header=True, nullValue="NA")
-    return spark.read.parquet(path)
+        events = _by_name(spark.read.csv(path, header=True, nullValue="NA"), keys)
+    else:
+        events = spark.read.parquet(path)
+    return events.withColumns({k: F.col(k).cast("int") for k in keys})
 
 
 def read_named_files(
@@ -160,7 +174,7 @@ def read_named_files(
 ) -> DataFrame:
     """All files below a directory in one scan; columns are also taken from the file path.
 
-    Group ``i`` of the pattern becomes column ``names[i]``, as text.
+    The schema lists the columns in file order (a row-name column included). Group ``i`` of the pattern becomes column ``names[i]``, as text.
     """
     rows = (
         spark.read.schema(schema)

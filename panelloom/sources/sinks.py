@@ -29,8 +29,12 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_folder()
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/panelloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/panelloom/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -44,6 +48,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Delete this session's staged tables; DataFrames read from them end with it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(_session_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 

@@ -19,6 +19,7 @@ def test_to_number_gives_null_for_unreadable_text(spark):
     )
     got = [r[0] for r in df.select(S.to_number("c")).collect()]
     assert got == [12.0, 3.5, 1000.0, None, None, None, None, None, None, math.inf]
+    assert [r[0] for r in df.select(*S.number_columns(["c"])).collect()] == got
 
 
 def test_european_number(spark):

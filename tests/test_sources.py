@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 
 import pytest
@@ -117,17 +116,17 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
 
 def test_separator_is_detected(spark, tmp_path):
     for sep in (",", ";", "\t", "|"):
-        path = put(tmp_path, "votes.csv", sep.join(["id_municipio", "share", "win"]) + "\n" + sep.join(["1100015", "0.71", "1"]) + "\n")
+        path = put(tmp_path, "votes.csv", sep.join(["party", "id_municipio", "share", "win"]) + "\n" + sep.join(["x", "1100015", "0.71", "1"]) + "\n")
         assert D.guess_separator(spark, path) == sep
-        votes = D.read_detected(spark, path, "id_municipio bigint, share double, win int")
-        assert rows(ingest.place_attributes(votes)) == [(0.71, 1, 110001)]
+        votes = ingest.place_attributes(D.read_detected(spark, path, ("share", "win")))
+        assert rows(votes, "party", "share", "win", "cod_mun") == [("x", 0.71, 1, 110001)]
 
 
 def test_events_from_csv_and_parquet(spark, tmp_path):
     path = put(tmp_path, "events.csv", "year,month_number,event_date\n2021,6,2021-06-09\n2021,NA,NA\n")
     events = D.read_events(spark, path)
     K.write_table(events, str(tmp_path / "events"))
-    want = [(2021, 6, dt.date(2021, 6, 9)), (2021, None, None)]
+    want = [(2021, 6, "2021-06-09"), (2021, None, None)]
     assert rows(events) == want == rows(D.read_events(spark, str(tmp_path / "events")))
 
 
@@ -177,3 +176,11 @@ def test_staged_table_keeps_types_and_missing_values(spark):
     staged = K.stage(spark.range(3).withColumn("n", F.lit(None).cast("int")))
     assert all(K.scratch_root(spark) in f for f in staged.inputFiles())
     assert rows(staged) == [(0, None), (1, None), (2, None)]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    staged = K.stage(spark.range(3))
+    folder = staged.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    K.clear_staged(spark)
+    assert not os.path.exists(folder)
