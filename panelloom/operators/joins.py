@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from panelloom.functions.windows import nulls_last
 
 
-def _holds(condition: Column, message: str) -> Column:
+def holds(condition: Column, message: str) -> Column:
     """A filter that keeps every row and fails the job when the condition is false."""
     return F.assert_true(condition, message).isNull()
 
@@ -110,7 +110,7 @@ def fold_full(
     folded = stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in names], *per_table)
     most = [F.col(f"_rows_{i}") for i in range(len(tables))]
     single = F.greatest(*most) <= 1 if len(most) > 1 else most[0] <= 1
-    return folded.filter(_holds(single, "fold_full: a table repeats a key")).select(*by, *names)
+    return folded.filter(holds(single, "fold_full: a table repeats a key")).select(*by, *names)
 
 
 def attach_unique(
@@ -144,7 +144,7 @@ def attach_unique(
         F.min("_side").over(whole).alias("_least"),
     )
     return (
-        filled.filter(_holds(F.col("_attributes") <= 1, "attach_unique: the attribute table repeats a key"))
+        filled.filter(holds(F.col("_attributes") <= 1, "attach_unique: the attribute table repeats a key"))
         # Keep the rows, and an attribute row only where its key has no rows.
         .filter(F.col("_side") == F.col("_least"))
         .drop("_side", "_attributes", "_least")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.windows import nulls_last
-from panelloom.operators.joins import _holds
+from panelloom.operators.joins import holds
 
 
 def arrange(df: DataFrame, *columns: str) -> DataFrame:
@@ -64,6 +64,6 @@ def fill_grid(
     return (
         cells.groupBy(*by, column)
         .agg(F.max(value).alias(value), F.sum("_n").alias("_n"))
-        .filter(_holds(F.col("_n") <= 1, "fill_grid: a cell is repeated"))
+        .filter(holds(F.col("_n") <= 1, "fill_grid: a cell is repeated"))
         .drop("_n")
     )

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.scalars import divide, month_number, threshold_flag
-from panelloom.functions.windows import calendar_index, running_sum, running_sum_blocked
+from panelloom.functions.windows import (
+    calendar_index,
+    nulls_last,
+    running_sum,
+    running_sum_blocked,
+)
 from panelloom.operators.joins import (
     attach_events,
     attach_unique,
     broadcast_checked,
     fold_full,
     full_join,
+    holds,
     null_safe_join,
 )
 from panelloom.sources.sinks import stage
@@ -63,6 +69,18 @@ def _accumulate_any(df: DataFrame, place: str) -> DataFrame:
     ).drop("_hash")
 
 
+def _accumulate_months(df: DataFrame, place: str) -> DataFrame:
+    """Running doses of a place's year; a repeated month fails the job."""
+    by = ["year", place]
+    month = F.struct(*MONTH_ORDER)
+    before = F.lag(month).over(Window.partitionBy(*by).orderBy(*nulls_last(MONTH_ORDER)))
+    return (
+        df.withColumns({"vacc_accum": running_sum("vacc_total", by, MONTH_ORDER), "_before": before})
+        .filter(holds(~F.col("_before").eqNullSafe(month), "build_panel: a place repeats a month"))
+        .drop("_before")
+    )
+
+
 def build_panel(
     base: DataFrame,
     population: DataFrame,
@@ -100,8 +118,7 @@ def build_panel(
     doses = joined.withColumn("vacc_total", sum((F.col(c) for c in total[1:]), F.col(total[0])))
     doses = add_goals(doses)
     if unique:
-        running = running_sum("vacc_total", ["year", place], MONTH_ORDER)
-        covered = add_coverage(doses.withColumn("vacc_accum", running))
+        covered = add_coverage(_accumulate_months(doses, place))
         described = attach_unique(covered, attributes, [place])
     else:
         # Stored because the full join reads it more than once.

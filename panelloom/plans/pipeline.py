@@ -20,20 +20,24 @@ from panelloom.sources.sinks import write_table
 
 @dataclass(frozen=True)
 class Settings:
-    """File layout, column names and limits. The defaults are fixed values of the study."""
+    """File layout, column names and limits.
+
+    Default column names, flags, labels, years, limits and event days are fixed values
+    of the study; the paths are only a layout.
+    """
 
     series: Mapping[str, str] = field(
         default_factory=lambda: {
-            "vop_3_dose": "polio_mun_mensal/vop/3_dose",
-            "vip_3_dose": "polio_mun_mensal/vip/3_dose",
-            "hx_3_dose": "polio_mun_mensal/hx/3_dose",
+            "vop_3_dose": "monthly/vop",
+            "vip_3_dose": "monthly/vip",
+            "hx_3_dose": "monthly/hx",
         }
     )
-    national: str = "doses_aplicadas_cv/doses_cv_2006_2021_brasil.csv"
-    annual: str = "doses_aplicadas_cv/doses_cv_2006_2021.csv"
-    population: str = "pop_residente_0_4/pop_estimativas_municipios.csv"
-    attributes: str = "votos_bolsonaro.csv"
-    events: str = "comunicacao_bolsonaro.csv"
+    national: str = "annual/national.csv"
+    annual: str = "annual/places.csv"
+    population: str = "population.csv"
+    attributes: str = "votes.csv"
+    events: str = "events.csv"
     skip: int = 5
     n_max: int | None = 5570
     code: str = "id_municipio"

@@ -16,14 +16,14 @@ def write_inputs(root):
         for year in (2015, 2016, 2021):
             header = ";".join(["Município", *[f"{year}/{m}" for m in MONTHS], "Total"])
             lines = [";".join([p, *[str(k * weight)] * 12, str(12 * k * weight)]) for p, k in PLACES.items()]
-            put(root / "polio_mun_mensal" / name / "3_dose", f"{name}_{year}.csv", "\n".join([header, *lines]) + "\n")
-    cv = root / "doses_aplicadas_cv"
-    put(cv, "doses_cv_2006_2021_brasil.csv", "Ano;Doses;Total\n2015;1;1\n2016;180,0;1\n2021;1.800,0;1\nTotal;1;1\n")
-    put(cv, "doses_cv_2006_2021.csv", "Município;2016;2021;Total\n110001 ALTA;60;61;1\n110002 SÃO JOÃO;120;118;1\nTotal;180;179;1\n")
+            put(root / "monthly" / name, f"{name}_{year}.csv", "\n".join([header, *lines]) + "\n")
+    cv = root / "annual"
+    put(cv, "national.csv", "Ano;Doses;Total\n2015;1;1\n2016;180,0;1\n2021;1.800,0;1\nTotal;1;1\n")
+    put(cv, "places.csv", "Município;2016;2021;Total\n110001 ALTA;60;61;1\n110002 SÃO JOÃO;120;118;1\nTotal;180;179;1\n")
     lines = [f"{p};{120 * k};{240 * k}" for p, k in PLACES.items()]
-    put(root / "pop_residente_0_4", "pop_estimativas_municipios.csv", PREAMBLE + "Município;2016;2021\n" + "\n".join(lines) + "\nFonte\n")
-    put(root, "votos_bolsonaro.csv", "id_municipio;perc_bolso;win_bolso\n1100015;0.71;1\n1100023;0.3;0\n")
-    put(root, "comunicacao_bolsonaro.csv", "year,month_number,event_date\n2021,6,2021-06-09\n2021,6,2021-06-17\n")
+    put(root, "population.csv", PREAMBLE + "Município;2016;2021\n" + "\n".join(lines) + "\nFonte\n")
+    put(root, "votes.csv", "id_municipio;perc_bolso;win_bolso\n1100015;0.71;1\n1100023;0.3;0\n")
+    put(root, "events.csv", "year,month_number,event_date\n2021,6,2021-06-09\n2021,6,2021-06-17\n")
 
 
 @pytest.fixture(scope="module")

@@ -97,6 +97,13 @@ def test_repeated_place_and_month_needs_join_mode(spark):
     assert rows(of_one.filter("month_number = 1"), "vacc_accum") == [(12,), (24,)]
 
 
+def test_repeated_month_in_the_base_fails(spark):
+    base = P.monthly_base(series(spark))
+    doubled = base.union(base.filter("month = 'mar'"))
+    with pytest.raises(PySparkException, match="repeats a month"):
+        P.build_panel(doubled, population(spark), attributes(spark), events(spark)).collect()
+
+
 def test_national_series(spark):
     got = C.coverage_series(build(spark, event_mode="collapse"))
     # Population-only rows (no month) go at the end; February sums skip the missing cell of place 1.
