@@ -81,7 +81,7 @@ def summary_statistics(
     df: DataFrame,
     measures: Sequence[str],
     rank_error: float = 1e-3,
-    max_rows: int = 100_000,
+    max_rows: int = 300_000,
 ) -> DataFrame:
     """Mean, sample standard deviation and exact median of each measure, one row per measure.
 

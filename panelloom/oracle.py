@@ -234,6 +234,9 @@ select "year", sum(l_quantity) / 8 as vacc_cob_polio from shipped where "year" >
   cast(year(o_orderdate) as integer) as "year" from orders join customer on o_custkey = c_custkey""",
     "blank_header_files": f"""with {SHIPPED}
 select cast(unit as varchar) || ' - PLACE' as "_c0", {_blank_cells()}, "year" from shipped group by unit, "year" """,
+    "attributes_detected": f"""with {ATTRIBUTES}
+select unit + 110000 as unit, share, cast(win as double) as win from attributes""",
+    "events_csv": f"""with {EVENTS} select "year", month_number, cast(event_date as varchar) as event_date from busy""",
     "text_scalars": """select doc_id, nullif(regexp_extract("text", '[0-9]+'), '') as first_number,
   nullif(regexp_extract("text", '[a-zA-Z]+'), '') as first_word,
   md5(regexp_replace("text", '/', '')) as without_slash, cast(length(lower("text")) as integer) as lower_length,
@@ -264,6 +267,7 @@ from shipped where "year" > {AFTER} group by "year" """,
     "european_text": "select o_orderkey, round(o_totalprice, 2) as price from orders",
     "monthly_base": f"with {BASE} select * from base",
     "natural_full_fold": _FOLD,
+    "fold_by_joins": _FOLD,
     "null_key_full_join": """with l as (
   select nullif(c_mktsegment, 'BUILDING') as segment, c_custkey from customer),
 r as (select nullif(c_mktsegment, 'MACHINERY') as segment, count(*) as n_customers from customer group by 1)
@@ -285,6 +289,17 @@ bounds as (select min(year(o_orderdate)) as lo, max(year(o_orderdate)) as hi fro
 grid as (select cast(unnest(range(lo, hi + 1)) as integer) as "year", n_nationkey, n_name from bounds, nation)
 select g."year", n_name as state, count(c_nationkey) as n
 from grid g left join o on o."year" = g."year" and c_nationkey = n_nationkey group by g."year", n_name""",
+    "births_grid": f"""with o as (
+  select cast(year(o_orderdate) as integer) as "year", {_list(STATES)}[c_nationkey + 1] as state, count(*) as n
+  from orders join customer on o_custkey = c_custkey group by 1, 2),
+bounds as (select min(year(o_orderdate)) as lo, max(year(o_orderdate)) as hi from orders),
+grid as (
+  select cast("year" as integer) as "year", state
+  from (select unnest(range(lo, hi + 1)) as "year" from bounds), (select unnest({_list(STATES)}) as state))
+select g."year", g.state, n from grid g left join o on o."year" = g."year" and o.state = g.state""",
+    "pivot_longer": f"""with {BASE}
+select unit, "year", month_number, series, doses from
+  (select * exclude ("month") from base) unpivot include nulls (doses for series in ({_VACC}))""",
     "prefix_sum_by_year": _dose_sums('"year"'),
     "prefix_sum_by_unit_year": _dose_sums('"year", unit'),
     "reconcile_national": f"""with {BASE}, {ORDERED}, second as (
@@ -300,6 +315,7 @@ select *, vacc_vip_3_dose + vacc_vop_3_dose as vacc_total,
     "reconcile_unit": f"{_RECONCILED} select * from reconciled",
     "place_attributes": f"with {ATTRIBUTES} select * from attributes",
     "panel": f"with {_panel('busy')} select * from panel",
+    "panel_by_joins": f"with {_panel('busy')} select * from panel",
     "running_sum_na": """with e as (
   select event_id, user_id, ts, case when value < 200 then cast(round(value * 100) as bigint) end as cents from events)
 select event_id, user_id, cents, case when count(*) filter (where cents is null) over w = 0

@@ -37,14 +37,16 @@ from panelloom.functions.scalars import (
 )
 from panelloom.functions.windows import calendar_index, running_sum_blocked
 from panelloom.operators.filters import complete_cases, keep_dates, text_after
-from panelloom.operators.grids import event_dates, expand_years
+from panelloom.operators.grids import event_dates, expand_years, year_state_grid
 from panelloom.operators.joins import attach_events, full_join
-from panelloom.operators.reshape import fill_grid
+from panelloom.operators.reshape import fill_grid, pivot_longer
 from panelloom.plans import coverage, ingest, reconcile
 from panelloom.plans.panel import build_panel, monthly_base
 from panelloom.sources.delimited import (
     read_blank_header,
+    read_detected,
     read_european,
+    read_events,
     read_files,
     read_handoff,
     read_named_files,
@@ -172,7 +174,9 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(busy_days(spark, sf_dir), "events")
 
 
-def panel(spark: SparkSession, sf_dir: str, event_mode: str = "parity") -> DataFrame:
+def panel(
+    spark: SparkSession, sf_dir: str, event_mode: str = "parity", duplicates: str = "raise"
+) -> DataFrame:
     return build_panel(
         stored_base(spark, sf_dir),
         population(spark, sf_dir),
@@ -181,9 +185,15 @@ def panel(spark: SparkSession, sf_dir: str, event_mode: str = "parity") -> DataF
         place=PLACE,
         flags=FLAGS,
         event_mode=event_mode,
+        duplicates=duplicates,
     )
 
 
+def panel_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel by the joins that allow repeated keys."""
+    return panel(spark, sf_dir, duplicates="join")
+
+
 # --- ingest and sinks -----------------------------------------------------------------
 
 
@@ -270,13 +280,16 @@ def panel_parquet(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-def births_by_file(spark, sf_dir):
-    """Orders written per (state, year) and read back with both taken from the folder name."""
-    nations = table(spark, sf_dir, "customer").select(
+def states_of_customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"),
         F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("c_nationkey") + 1).alias("state"),
     )
-    rows = table(spark, sf_dir, "orders").join(nations, "o_custkey").select(
+
+
+def births_by_file(spark, sf_dir):
+    """Orders written per (state, year) and read back with both taken from the folder name."""
+    rows = table(spark, sf_dir, "orders").join(states_of_customers(spark, sf_dir), "o_custkey").select(
         "o_orderkey",
         "o_totalprice",
         F.concat(F.lit("DN"), "state", F.year("o_orderdate").cast("string")).alias("file"),
@@ -287,6 +300,37 @@ def births_by_file(spark, sf_dir):
     return read.withColumn("year", F.col("year").cast("int"))
 
 
+def births_grid(spark, sf_dir):
+    """Number of orders in every cell of the year x state grid, for all listed states."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
+    first, last = orders.agg(F.min("year"), F.max("year")).first()
+    counts = orders.groupBy("o_custkey", "year").agg(F.count("*").alias("n"))
+    per_state = (
+        counts.join(states_of_customers(spark, sf_dir), "o_custkey")
+        .groupBy("year", "state")
+        .agg(F.sum("n").alias("n"))
+    )
+    grid = year_state_grid(spark, range(first, last + 1), STATES)
+    return grid.join(per_state, ["year", "state"], "left")
+
+
+def attributes_detected(spark, sf_dir):
+    """Attributes written with tabs and seven-digit codes, read back with the separator detected."""
+    code = ((F.col(PLACE) + 110000) * 10 + F.col(PLACE) % 10).alias("id")
+    path = scratch_path(spark, "attributes")
+    attributes(spark, sf_dir).select(code, "share", "win").write.csv(
+        path, sep="\t", header=True, nullValue="NA"
+    )
+    votes = read_detected(spark, path, ("share", "win"))
+    return ingest.place_attributes(votes, "id", place=PLACE)
+
+
+def events_csv(spark, sf_dir):
+    path = scratch_path(spark, "days") + ".csv"
+    write_csv(busy_days(spark, sf_dir), path)
+    return read_events(spark, path)
+
+
 def blank_header_files(spark, sf_dir):
     """Wide yearly files of 36 unnamed columns: each month's three series side by side."""
     cells = [
@@ -395,6 +439,11 @@ def natural_full_fold(spark, sf_dir):
     return monthly_base(series, after=AFTER, place=PLACE)
 
 
+def fold_by_joins(spark, sf_dir):
+    series = [one_series(spark, sf_dir, n) for n in SERIES]
+    return monthly_base(series, after=AFTER, place=PLACE, duplicates="join")
+
+
 def null_key_full_join(spark, sf_dir):
     """Customers against segment totals; a different segment is the missing key on each side."""
     customers = table(spark, sf_dir, "customer")
@@ -418,6 +467,12 @@ def calendar(spark, sf_dir):
     return calendar_index(shipped(spark, sf_dir))
 
 
+def series_pivot(spark, sf_dir):
+    """The three series of the base, one below the other, missing cells kept."""
+    wide = base(spark, sf_dir).drop("month")
+    return pivot_longer(wide, [PLACE, "year", "month_number"], "series", "doses", "bigint")
+
+
 def densify_grid(spark, sf_dir):
     dated = one_series(spark, sf_dir, "vacc_vop_3_dose").select(
         PLACE, F.concat(F.col("year").cast("string"), "month").alias("date"), "vacc_vop_3_dose"
@@ -427,8 +482,8 @@ def densify_grid(spark, sf_dir):
     return fill_grid(dated, [PLACE], "date", levels, "vacc_vop_3_dose")
 
 
-def year_state_grid(spark, sf_dir):
-    """Every year and state with its number of orders, zero included."""
+def year_nation_grid(spark, sf_dir):
+    """Every year and nation with its number of orders, zero included."""
     orders = table(spark, sf_dir, "orders")
     bounds = {f: orders.agg(f(F.year("o_orderdate")).alias("y")).scalar() for f in (F.min, F.max)}
     states = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -590,6 +645,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "panel_parquet": panel_parquet,
     "births_by_file": births_by_file,
     "blank_header_files": blank_header_files,
+    "attributes_detected": attributes_detected,
+    "events_csv": events_csv,
     "text_scalars": text_scalars,
     "concat_na": concat_na,
     "month_lookup": month_lookup,
@@ -602,17 +659,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "european_text": european_text,
     "monthly_base": base,
     "natural_full_fold": natural_full_fold,
+    "fold_by_joins": fold_by_joins,
     "null_key_full_join": null_key_full_join,
     "order_lines_full_join": order_lines_full,
     "calendar_index": calendar,
     "densify_grid": densify_grid,
-    "year_state_grid": year_state_grid,
+    "year_state_grid": year_nation_grid,
+    "births_grid": births_grid,
+    "pivot_longer": series_pivot,
     "prefix_sum_by_year": prefix_sum_by_year,
     "prefix_sum_by_unit_year": prefix_sum_by_unit_year,
     "reconcile_national": reconcile_national,
     "reconcile_unit": reconcile_unit,
     "place_attributes": attributes,
     "panel": panel,
+    "panel_by_joins": panel_by_joins,
     "running_sum_na": running_sum_na,
     "event_fanout": event_fanout,
     "event_collapse": event_collapse,
