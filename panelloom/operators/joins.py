@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.windows import nulls_last
+from panelloom.sources.sinks import stage
 
 
 def holds(condition: Column, message: str) -> Column:
@@ -84,16 +85,18 @@ def full_join(
 def fold_full(
     tables: Sequence[DataFrame], by: Sequence[str] | None = None, duplicates: str = "raise"
 ) -> DataFrame:
-    """Full join of many tables on common keys, as one shuffle instead of n - 1 joins.
+    """Full join of many tables on ``by`` (default: the columns all share), as one shuffle.
 
     ``duplicates='raise'`` needs each table to hold a key at most once and fails
-    the job otherwise; ``'join'`` chains exact many-to-many joins.
+    the job otherwise; ``'join'`` chains exact many-to-many joins, storing each
+    step, because a join reads its inputs more than once.
     """
+    if duplicates == "join":
+        stored = [stage(t, "fold") for t in tables]
+        return reduce(lambda left, right: stage(full_join(left, right, by), "fold"), stored)
     if by is None:
         by = [c for c in tables[0].columns if all(c in t.columns for t in tables[1:])]
     by = list(by)
-    if duplicates == "join":
-        return reduce(lambda left, right: full_join(left, right, by), tables)
     names = [c for t in tables for c in t.columns if c not in by]
     repeated = sorted({c for c in names if names.count(c) > 1})
     if repeated:

@@ -114,6 +114,8 @@ def build_panel(
         ]
         joined = attach_unique(timed, population, ["year", place], MONTH_ORDER)
     else:
+        # Stored, because the general join reads its inputs more than once.
+        timed, population, attributes = [stage(t) for t in (timed, population, attributes)]
         joined = full_join(timed, population, ["year", place])
     doses = joined.withColumn("vacc_total", sum((F.col(c) for c in total[1:]), F.col(total[0])))
     doses = add_goals(doses)
@@ -121,7 +123,6 @@ def build_panel(
         covered = add_coverage(_accumulate_months(doses, place))
         described = attach_unique(covered, attributes, [place])
     else:
-        # Stored because the full join reads it more than once.
         covered = stage(add_coverage(_accumulate_any(doses, place)), "covered")
         described = full_join(covered, attributes, [place])
     dated = events.filter(" or ".join(f"{k} is null" for k in PERIOD)).isEmpty()

@@ -15,7 +15,7 @@ from panelloom.plans import coverage, ingest
 from panelloom.plans.panel import build_panel, monthly_base
 from panelloom.plans.reconcile import reconcile
 from panelloom.sources.delimited import read_detected, read_european, read_events
-from panelloom.sources.sinks import write_table
+from panelloom.sources.sinks import write_partitioned, write_table
 
 
 @dataclass(frozen=True)
@@ -86,16 +86,21 @@ def run(
     s = settings or Settings()
     tables: dict[str, DataFrame] = {}
 
-    def put(name: str, df: DataFrame) -> DataFrame:
-        write_table(df, f"{output}/{name}", mode="overwrite")
-        tables[name] = spark.read.schema(df.schema).parquet(f"{output}/{name}")
+    def put(name: str, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        path = f"{output}/{name}"
+        if by:
+            write_partitioned(df, path, by, mode="overwrite")
+        else:
+            write_table(df, path, mode="overwrite")
+        tables[name] = spark.read.schema(df.schema).parquet(path).select(*df.columns)
         return tables[name]
 
     doses = [
         put(f"series_{name}", ingest.ingest_series(spark, name, f"{root}/{path}", duplicates=s.duplicates, place=s.place))
         for name, path in s.series.items()
     ]
-    base = put("base", monthly_base(doses, s.after, s.place, s.duplicates))
+    # Folders per year: the year filters of the series then skip whole folders.
+    base = put("base", monthly_base(doses, s.after, s.place, s.duplicates), ["year"])
     population = ingest.ingest_denominator(spark, f"{root}/{s.population}", s.skip, s.n_max, place=s.place)
     votes = ingest.place_attributes(
         read_detected(spark, f"{root}/{s.attributes}", (s.share, s.group)), s.code, place=s.place
@@ -107,6 +112,7 @@ def run(
             base, population, votes, speeches,
             place=s.place, share=s.share, flags=s.flags, event_mode=s.event_mode, duplicates=s.duplicates,
         ),
+        ["year"],
     )
 
     names = ("year", s.second, "total")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelloom.functions.aggregates import columns_with_prefix, sum_by
 from panelloom.functions.scalars import divide
 from panelloom.operators.joins import fold_full, full_join
+from panelloom.sources.sinks import stage
 
 
 def reconcile(
@@ -32,7 +33,7 @@ def reconcile(
     if duplicates == "raise":
         both = fold_full([sums, annual], by)
     else:
-        both = full_join(sums, annual, by)
+        both = full_join(stage(sums), stage(annual), by)
     out = (
         both.withColumn("vacc_total", sum((F.col(c) for c in total[1:]), F.col(total[0])))
         .withColumn("diff_vacc", F.col("vacc_total") - F.col(second))

@@ -143,6 +143,23 @@ def test_events_repeat_rows_in_parity_mode_only(spark):
     ]
 
 
+def test_events_too_many_to_broadcast_give_the_same_rows(spark, monkeypatch):
+    by = ["year", "month_number"]
+    panel = spark.range(300).selectExpr(
+        "cast(2016 + id % 3 as int) as year", "cast(if(id % 2 = 0, 1, null) as int) as month_number", "id"
+    )
+    many = spark.range(40).selectExpr(
+        "cast(2015 + id % 4 as int) as year", "cast(if(id % 5 < 3, 1, null) as int) as month_number", "id as e"
+    )
+    want = rows(J.attach_events(panel, many, by))
+    monkeypatch.setattr(J, "broadcast_checked", lambda df: df)
+    assert rows(J.attach_events(panel, many, by)) == want
+    assert rows(J.attach_events(panel, many, by, periods=panel.select(*by).distinct())) == want
+    left = [((r.year, r.month_number), r.id) for r in panel.collect()]
+    right = [((r.year, r.month_number), r.e) for r in many.collect()]
+    assert Counter(((y, m), a, b) for y, m, a, b in want) == brute_full(left, right)
+
+
 def test_broadcast_only_below_the_row_limit(spark):
     small = spark.range(10)
     assert "ResolvedHint" in J.broadcast_checked(small, 10)._jdf.queryExecution().analyzed().toString()

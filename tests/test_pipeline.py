@@ -43,6 +43,11 @@ def test_panel(tables):
     assert rows(panel.select("cod_mun", "bolso_70", "bolso_60").distinct()) == [(110001, 1, 1), (110002, 0, 0)]
 
 
+def test_year_filter_skips_folders(tables):
+    plan = tables["panel"].filter("year between 2016 and 2021")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+
+
 def test_reconciliation(tables):
     assert rows(tables["reconciled_national"], "year", "vacc_total", "diff_vacc", "perc_diff") == [
         (2016, 180, 0, 0), (2021, 180, -1620, -90),
