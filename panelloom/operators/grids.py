@@ -27,4 +27,5 @@ def year_state_grid(
 
 def event_dates(spark: SparkSession, dates: Sequence[dt.date], alias: str = "event_date") -> DataFrame:
     """A literal list of dates as a table; repeated dates stay repeated."""
-    return spark.createDataFrame([(d,) for d in dates], f"{alias} date")
+    days = F.array(*[F.lit(d) for d in dates]).cast("array<date>")
+    return spark.range(1).select(F.explode(days).alias(alias))

@@ -81,6 +81,7 @@ def test_parameter_grid(spark):
     assert rows(years) == [(i, y) for i in range(2) for y in (2006, 2007, 2008)]
     days = [dt.date(2021, 12, 7)] * 2
     assert grids.event_dates(spark, days).count() == 2
+    assert grids.event_dates(spark, []).count() == 0
 
 
 def test_arrange_puts_missing_last(spark):

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from panelloom.plans.pipeline import Settings, run
+from panelloom.plans.study import Settings, run
 from tests.conftest import rows
 from tests.test_sources import PREAMBLE, put
 
