@@ -226,6 +226,13 @@ select cast(sum(vacc_cob_polio) as bigint), "year", null from rows_ group by "ye
 labels_ as (select distinct unit from population), years_ as (select distinct "year" from population)
 select y."year", l.unit + 110000 as unit, pop from labels_ l cross join years_ y
   left join population p on p.unit = l.unit and p."year" = y."year" """,
+    "preamble_file": """with o as (
+  select cast(year(o_orderdate) as integer) as "year", c_nationkey, count(*) as n
+  from orders join customer on o_custkey = c_custkey group by 1, 2),
+years_ as (select distinct cast(year(o_orderdate) as integer) as "year" from orders)
+select y."year", cast(k.c_nationkey + 110000 as bigint) as nation, n as pop
+from (select distinct c_nationkey from o) k cross join years_ y
+  left join o on o.c_nationkey = k.c_nationkey and o."year" = y."year" """,
     "annual_european": f"""with {SHIPPED}
 select "year", sum(l_quantity) / 8 as vacc_cob_polio from shipped where "year" > {AFTER} group by "year" """,
     "handoff_csv": f"with {BASE} select * from base",

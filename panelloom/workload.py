@@ -50,6 +50,7 @@ from panelloom.sources.delimited import (
     read_files,
     read_handoff,
     read_named_files,
+    read_with_preamble,
 )
 from panelloom.sources.sinks import (
     scratch_path,
@@ -254,6 +255,40 @@ def denominator_from_wide(spark, sf_dir):
     return ingest.denominator_long(wide, place=PLACE).withColumn("pop", F.col("pop").cast("bigint"))
 
 
+def preamble_file(spark, sf_dir):
+    """Orders per nation and year as one file with a preamble and a footnote, read back.
+
+    The file has one line per nation, so a single task can write it.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
+    first, last = orders.agg(F.min("year"), F.max("year")).first()
+    per_customer = orders.groupBy("o_custkey", "year").agg(F.count("*").alias("n"))
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")
+    )
+    cells = [
+        F.coalesce(F.sum(F.when(F.col("year") == y, F.col("n"))).cast("string"), F.lit("-")).alias(str(y))
+        for y in range(first, last + 1)
+    ]
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    summed = per_customer.join(customers, "o_custkey").groupBy("n_nationkey").agg(*cells)
+    wide = stage(summed.join(nations, "n_nationkey"), "nations")
+    label = F.concat((F.col("n_nationkey") + 110000).cast("string"), F.lit(" "), "n_name")
+    body = wide.select(
+        (F.col("n_nationkey") + 100).alias("at"),
+        F.concat_ws(";", label, *[str(y) for y in range(first, last + 1)]).alias("value"),
+    )
+    header = ";".join(["Município", *map(str, range(first, last + 1))])
+    top = ["Residents", "Source: a; b", "", '"', "-", header]
+    frame = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in top])).alias("at", "value"))
+    note = spark.range(1).select(F.lit(2**31 - 1).alias("at"), F.lit("Total;1").alias("value"))
+    path = scratch_path(spark, "preamble")
+    frame.union(body).union(note).orderBy("at").select("value").coalesce(1).write.text(path)
+    table_rows = read_with_preamble(spark, path, len(top) - 1, wide.count(), encoding="UTF-8")
+    long = ingest.denominator_long(table_rows, place="nation")
+    return long.withColumn("pop", F.col("pop").cast("bigint"))
+
+
 def annual_european(spark, sf_dir):
     """National annual table with decimal commas, written and read back."""
     lines = shipped(spark, sf_dir)
@@ -640,6 +675,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "series_long": series_from_files,
     "annual_long": annual_from_wide,
     "denominator_long": denominator_from_wide,
+    "preamble_file": preamble_file,
     "annual_european": annual_european,
     "handoff_csv": handoff_csv,
     "panel_parquet": panel_parquet,
