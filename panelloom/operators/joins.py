@@ -110,10 +110,11 @@ def fold_full(
     per_table = [
         F.count_if(F.col("_table") == i).alias(f"_rows_{i}") for i in range(len(tables))
     ]
-    folded = stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in names], *per_table)
+    folded = stacked.groupBy(*by).agg(*[F.max(f"`{c}`").alias(c) for c in names], *per_table)
     most = [F.col(f"_rows_{i}") for i in range(len(tables))]
     single = F.greatest(*most) <= 1 if len(most) > 1 else most[0] <= 1
-    return folded.filter(holds(single, "fold_full: a table repeats a key")).select(*by, *names)
+    kept = folded.filter(holds(single, "fold_full: a table repeats a key"))
+    return kept.drop(*[f"_rows_{i}" for i in range(len(tables))])
 
 
 def attach_unique(

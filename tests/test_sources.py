@@ -43,6 +43,13 @@ def test_series_fills_places_missing_from_a_file(spark, tmp_path):
     ]
 
 
+def test_dots_in_headers(spark, tmp_path):
+    put(tmp_path / "s", "a.csv", "Município;2016.Jan;Sub.Total\n110001 ALTA;5;5\n")
+    put(tmp_path / "s", "b.csv", "Município;2017.Jan\n110001 ALTA;6\n")
+    long = ingest.ingest_series(spark, "x", str(tmp_path / "s"))
+    assert rows(long, "year", "month", "vacc_x") == [(2016, "jan", 5.0), (2017, "jan", 6.0)]
+
+
 def test_two_spellings_of_a_place_stay_two_rows(spark, tmp_path):
     put(tmp_path / "s", "a.csv", "Município;2016/Jan\n110001 ALTA;5\n")
     put(tmp_path / "s", "b.csv", "Município;2017/Jan\n110001 Alta;6\n")
