@@ -1,21 +1,49 @@
-"""A corpus from raw documents: near copies removed."""
+"""A training set from raw documents: language filter, near copies out, source mix, packing.
+
+Every stage takes the documents its predecessor kept. ``run`` stores each
+stage in the shared scratch folder and reads it back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelloom.llm import language, mixing, packing, simhash
+from panelloom.llm.common import fresh, stored
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised; those without a letter go."""
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    out = fresh(docs, "found_language")
+    found = language.with_language(docs, model, F.col("text"), out)
+    return found.where(F.col(out)["lang"] != language.UNKNOWN).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of each group within 4 bits on 4-word shingles."""
+    return simhash.keep_first(docs, shingle=4, distance=4)
+
 
-from panelloom.llm.common import stored
-from panelloom.llm.simhash import keep_first
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources come near weights 5, 2, 1, repeating."""
+    return mixing.mix(docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return keep_first(docs)
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' words in sequences of 512 to 4096."""
+    return packing.pack(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+STAGES = [
+    ("language ID", known_language),
+    ("simhash near-dedup", without_near_copies),
+    ("mixing sources", mixed_sources),
+    ("best-fit packing", packed),
+]
 
-#: SimHash is not expressible in DuckDB SQL; tests compare with brute force.
+#: SimHash and learned models are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

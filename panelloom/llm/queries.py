@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelloom.llm import language, mixing, packing
 from panelloom.llm.simhash import simhash_components
 
 
@@ -12,14 +13,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = language.held_out(F.col("doc_id"))
+    model = language.train(docs.where(~apart))
+    found = language.with_language(docs, model, F.col("text"), "found")
+    return found.select(
+        "doc_id",
+        apart.alias("held_out"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+        F.col("found.ambiguous").alias("ambiguous"),
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
+    "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_mixing": mixing.MIXED_SQL.format(docs="documents"),
+}
