@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import imatch, language, mixing, packing
+from panelloom.llm import imatch, katz, language, mixing, packing
 from panelloom.llm.simhash import simhash_components
 
 
@@ -42,6 +42,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = language.held_out(F.col("doc_id"), 7, 2)
+    return katz.scores(table(spark, sf_dir, "documents"), apart)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_imatch": op3_imatch,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op9_katz": op9_katz,
     "op10_packing": op10_packing,
 }
 
