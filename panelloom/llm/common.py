@@ -21,7 +21,7 @@ def put(df: DataFrame, name: str) -> str:
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "67108864")  # long texts
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")  # long texts
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return path

@@ -23,7 +23,7 @@ from panelloom.llm.common import put, stored, with_rank
 
 END = b"\n"  # no word contains it
 BLOCK_TOKENS = 1_000_000  # a block closes at so many tokens; one longer document is a block
-PART_TOKENS = 3_000_000  # tokens for each partition of the bigram table
+PART_TOKENS = 2_000_000  # tokens for each partition of the bigram table
 DEEPEST = 5  # counts above it are trusted as they are
 UNKNOWN = (1 << 32) - 1
 
