@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import imatch, katz, language, mixing, neighbours, packing, pages
+from panelloom.llm import imatch, katz, language, licenses, mixing, neighbours, packing, pages
 from panelloom.llm.simhash import simhash_components
 
 
@@ -26,6 +26,10 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_mixing": op2_mixing,
     "op3_imatch": op3_imatch,
+    "op4_licenses": op4_licenses,
     "op6_pages": op6_pages,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
