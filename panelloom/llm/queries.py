@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import imatch, katz, language, licenses, mixing, neighbours, packing, pages
+from panelloom.llm import chat, imatch, katz, language, licenses, mixing, neighbours, packing, pages
 from panelloom.llm.simhash import simhash_components
 
 
@@ -30,6 +30,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = chat.linked(chat.as_events(turns), chat.ANSWER)
+    return found.withColumn("problems", F.array_join("problems", "; "))
+
+
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_imatch": op3_imatch,
     "op4_licenses": op4_licenses,
+    "op5_chat": op5_chat,
     "op6_pages": op6_pages,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
@@ -77,4 +84,5 @@ QUERIES = {
 
 ORACLE = {
     "op2_mixing": mixing.MIXED_SQL.format(docs="documents"),
+    "op5_chat": chat.LINKED_SQL,
 }
