@@ -24,6 +24,7 @@ from panelloom.llm.common import put, stored, with_rank
 END = b"\n"  # no word contains it
 BLOCK_TOKENS = 1_000_000  # a block closes at so many tokens; one longer document is a block
 PART_TOKENS = 2_000_000  # tokens for each partition of the bigram table
+LEAST_HOT = 10_000  # tokens after one word that a partition takes at any rate
 DEEPEST = 5  # counts above it are trusted as they are
 UNKNOWN = (1 << 32) - 1
 
@@ -362,7 +363,7 @@ def scores(
     tokens = amount.first()[0] or 0
     parts = max(8, -(-tokens // PART_TOKENS))
     ends = texts.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    limit = max(10_000, tokens // (2 * parts))  # a history above it is dealt out by pairs
+    limit = max(LEAST_HOT, tokens // (2 * parts))  # a history above it is dealt out by pairs
     heavy = next(iter(words.starts[words.counts <= limit].tolist()), words.types)
     hot = np.array([*range(heavy), *([words.types] if ends > limit else [])], np.int64)
 

@@ -113,23 +113,28 @@ def train(
     """Learn from all rows with a language and a letter.
 
     N-gram counts cover every row: each task sums its rows by language before the shuffle. The
-    reliability of bits is measured on at most ``sample`` rows, the first by the hash of their text.
+    reliability of bits is measured on about ``sample`` rows, chosen by the hash of their text.
     """
     labelled = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     labelled = labelled.where("text is not null and lang is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+        rows = 0
         for batch in batches:
+            rows += len(batch)
             for x, of in zip(batch["text"], batch["lang"], strict=True):
                 got = histogram(letters(x))
                 sums[of] = sums[of] + got if of in sums else got
         for of, total in sums.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": of, "bucket": at.astype(np.int32), "n": total[at]})
+        yield pd.DataFrame({"lang": [None], "bucket": np.int32(-1), "n": rows})
 
     counted = labelled.mapInPandas(count, "lang string, bucket int, n long")
     counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    all_rows = max(1, int(counted.loc[counted["bucket"] < 0, "n"].sum()))
+    counted = counted[counted["bucket"] >= 0]
     languages = sorted(counted["lang"].unique())
     code = codewords(len(languages))
     rate = np.full((len(languages), 1 << DIM_BITS), 0.1)
@@ -150,7 +155,7 @@ def train(
                     right = model.margins(words) * code[languages.index(of)] > 0
                     yield pd.DataFrame({"lang": of, "bit": range(len(right)), "ok": right})
 
-    picked = labelled.orderBy(F.xxhash64("text"), "lang").limit(sample).repartition(8)
+    picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(2**30)) < int(2**30 * min(1, sample / all_rows)))
     judged = picked.mapInPandas(judge, "lang string, bit int, ok boolean")
     judged = judged.groupBy("lang", "bit").agg(F.sum(F.col("ok").cast("int")), F.count("*"))
     right = np.ones_like(code)

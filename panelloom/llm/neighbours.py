@@ -255,7 +255,9 @@ def nearest(
     )
 
     def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([NOTHING, *_search(asked, rows, k + 1)])
+        of, own = rows["vector"].map(len), asked["vector"].map(len)
+        found = [x for d in of.unique() for x in _search(asked[own == d], rows[of == d], k + 1)]
+        return pd.concat([NOTHING, *found])
 
     found = visits.groupBy("part").cogroup(entered.groupBy("part"))
     found = stored(found.applyInPandas(search, FOUND_DDL), "nearest-found")

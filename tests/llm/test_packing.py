@@ -1,0 +1,83 @@
+import random
+
+import pytest
+
+from panelloom.llm.packing import LENGTHS, pack, plan_bins
+
+
+def expanded(plan, counts):
+    """(size, bin, offset) of each piece of a plan."""
+    out, rank = [], 0
+    runs = list(zip(plan.rank, plan.size, plan.each, plan.bin, plan.offset, strict=True))
+    ends = plan.rank[1:] + [sum(counts.values())]
+    for (first, size, each, bin_, offset), end in zip(runs, ends, strict=True):
+        assert first == rank
+        for r in range(end - first):
+            out.append((size, bin_ + r // each, offset + r % each * size))
+        rank = end
+    return out
+
+
+def best_fit(sizes, length):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= s]
+        if fits:
+            i = min(fits, key=lambda i: rooms[i])
+            rooms[i] -= s
+        else:
+            rooms.append(length - s)
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_one_length_is_plain_best_fit(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([rng.randrange(1, 101), rng.randrange(1, 20), 50, 33]) for _ in range(rng.choice([1, 30, 400]))]
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    pieces = expanded(plan_bins(counts, [100]), counts)
+    assert sorted(s for s, _, _ in pieces) == sorted(sizes)
+    used = {}
+    for s, b, o in sorted(pieces, key=lambda p: (p[1], p[2])):
+        assert o == used.get(b, 0)
+        used[b] = o + s
+    assert sorted(100 - u for u in used.values()) == best_fit(sizes, 100)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_several_lengths(seed):
+    rng = random.Random(seed)
+    sizes = [min(4096, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(3000)]
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    plan = plan_bins(counts)
+    pieces = expanded(plan, counts)
+    used = {}
+    for s, b, _ in pieces:
+        used[b] = used.get(b, 0) + s
+    assert sorted(used) == list(range(len(used)))
+    capacity = [next(c for f, c in zip(reversed(plan.first), reversed(plan.capacity), strict=True) if f <= b) for b in sorted(used)]
+    for b, c in enumerate(capacity):
+        assert c == min(x for x in LENGTHS if x >= used[b])
+    assert sum(used.values()) / sum(capacity) > 0.98
+
+
+def test_pack(spark):
+    rows = [(i, " ".join(["w"] * n), 1) for i, n in enumerate([3, 10, 25, 7, 7, 1, 20, 0, 10])]
+    rows += [(None, "a b", 1), (4, "w w w w w w w", 1), (100, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank int")
+    found = pack(docs, lengths=(5, 10)).collect()
+    assert sum(r.n_tokens for r in found) == sum(len((t or "").split()) for _, t, _ in rows)
+    bins = {}
+    for r in sorted((r for r in found if r.n_tokens), key=lambda r: (r.bin_id, r.bin_offset)):
+        assert r.bin_offset == bins.get(r.bin_id, 0)
+        bins[r.bin_id] = r.bin_offset + r.n_tokens
+        assert r.start == 10 * r.piece
+    for r in found:
+        if r.n_tokens:
+            assert r.capacity == (5 if bins[r.bin_id] <= 5 else 10)
+        else:
+            assert (r.bin_id, r.bin_offset, r.capacity) == (None, None, None)
+    assert sorted((r.piece, r.n_tokens) for r in found if r.doc_id == 2) == [(0, 10), (1, 10), (2, 5)]
+    assert sorted(r.doc_id for r in found if not r.n_tokens) == [7, 100]
+    assert pack(docs.where("false")).count() == 0
+    assert pack(docs.where("doc_id = 100")).count() == 1
