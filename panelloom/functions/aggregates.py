@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelloom.functions.student_t import two_sided_p, two_sided_quantile
+from panelloom.functions.windows import running_sum_blocked
 
 _FLOATING = (T.DoubleType, T.FloatType)
 _MOMENTS = {"n": F.count, "mean": F.mean, "sd": F.stddev_samp}
@@ -39,68 +40,37 @@ def sum_by(df: DataFrame, keys: Sequence[str], measures: Iterable[str]) -> DataF
     return df.groupBy(*keys).agg(*[na_sum(df, m) for m in measures])
 
 
-def _median_ranges(
-    values: DataFrame, sizes: dict[str, int], error: float, max_rows: int
-) -> dict[str, tuple[float, float, int]]:
-    """Per column, a value range that holds the middle ranks, and the rows below it.
-
-    Each round a quantile sketch of the current ranges gives ranges of about
-    ``4 * error`` of their rows; exact counts confirm them. A column is done when
-    few rows are left, or when equal values keep its range from shrinking.
-    """
-    ranges = {m: (float("-inf"), float("inf"), 0) for m in sizes}
-    inside = dict(sizes)
-    pending = [m for m, n in sizes.items() if n > max_rows]
-    while pending:
-        current = values.select(
-            *[F.when(F.col(m).between(*ranges[m][:2]), F.col(m)).alias(m) for m in pending]
-        )
-        around = []
-        for m in pending:
-            at = ((sizes[m] + 1) / 2 - ranges[m][2]) / inside[m]
-            around += [min(1.0, max(0.0, at + side * error)) for side in (-2, 2)]
-        sketch = current.approxQuantile(pending, around, error)
-        found = {m: q[2 * i : 2 * i + 2] for i, (m, q) in enumerate(zip(pending, sketch))}
-        counts = current.agg(
-            *[F.count_if(F.col(m) < found[m][0]).alias(f"{i}:below") for i, m in enumerate(pending)],
-            *[F.count_if(F.col(m).between(*found[m])).alias(f"{i}:inside") for i, m in enumerate(pending)],
-        ).first()
-        undecided = []
-        for i, m in enumerate(pending):
-            below, within = ranges[m][2] + counts[f"{i}:below"], counts[f"{i}:inside"]
-            first, last = (sizes[m] + 1) // 2, sizes[m] // 2 + 1
-            if below < first <= last <= below + within and within < inside[m]:
-                ranges[m], inside[m] = (*found[m], below), within
-                if within > max_rows and found[m][0] < found[m][1]:
-                    undecided.append(m)
-        pending = undecided
-    return ranges
-
-
 def summary_statistics(
-    df: DataFrame,
-    measures: Sequence[str],
-    rank_error: float = 1e-3,
-    max_rows: int = 300_000,
+    df: DataFrame, measures: Sequence[str], rank_error: float = 1e-3
 ) -> DataFrame:
     """Mean, sample standard deviation and exact median of each measure, one row per measure.
 
-    The exact median never gathers a whole column: beyond ``max_rows`` it is
-    first narrowed to a small value range, only that range is counted per
-    distinct value, and the middle ranks are read off the running counts.
-    ``df`` is read several times, so pass a stored table.
+    The first pass takes the moments and, from a quantile sketch, a value range around each median of
+    about ``4 * rank_error`` of the rows; the second counts the rows below and inside. Only
+    the distinct values inside are ranked, in blocks, and the middle ranks read off. Should a sketch
+    miss, or equal values on both sides keep its range wide, more values are ranked; the result is the same.
     """
     spark = df.sparkSession
     values = df.select(*[without_nan(df, m).cast("double").alias(m) for m in measures])
-    moments = values.agg(
-        *[f(m).alias(f"{i}:{k}") for i, m in enumerate(measures) for k, f in _MOMENTS.items()]
+    around = F.array(F.lit(0.5 - 2 * rank_error), F.lit(0.5 + 2 * rank_error))
+    sketch = lambda m: F.percentile_approx(m, around, int(1 / rank_error))
+    first = values.agg(
+        *[f(m).alias(f"{i}:{k}") for i, m in enumerate(measures) for k, f in _MOMENTS.items()],
+        *[sketch(m).alias(f"{i}:range") for i, m in enumerate(measures)],
     ).first()
-    sizes = {m: moments[f"{i}:n"] for i, m in enumerate(measures)}
-    ranges = _median_ranges(values, sizes, rank_error, max_rows)
-    facts = [
-        (m, moments[f"{i}:mean"], moments[f"{i}:sd"], *ranges[m], (sizes[m] + 1) // 2, sizes[m] // 2 + 1)
-        for i, m in enumerate(measures)
-    ]
+    sizes = [first[f"{i}:n"] for i in range(len(measures))]
+    ranges = [first[f"{i}:range"] or [0.0, 0.0] for i in range(len(measures))]
+    second = values.agg(
+        *[F.count_if(F.col(m) < ranges[i][0]).alias(f"{i}:below") for i, m in enumerate(measures)],
+        *[F.count_if(F.col(m).between(*ranges[i])).alias(f"{i}:inside") for i, m in enumerate(measures)],
+    ).first()
+    facts = []
+    for i, m in enumerate(measures):
+        low, high = (sizes[i] + 1) // 2, sizes[i] // 2 + 1
+        below, inside = second[f"{i}:below"], second[f"{i}:inside"]
+        if not below < low <= high <= below + inside:
+            ranges[i], below = [float("-inf"), float("inf")], 0
+        facts.append((m, first[f"{i}:mean"], first[f"{i}:sd"], *ranges[i], below, low, high))
     info = spark.createDataFrame(
         facts,
         "variable string, mean double, sd double, low double, high double,"
@@ -113,19 +83,15 @@ def summary_statistics(
         .groupBy("variable", "value")
         .agg(F.count("*").alias("rows"))
     )
+    upto = running_sum_blocked(counts, "rows", "upto", ["variable"], ["value"])
     # info has one row per measure named by the caller, so its size is fixed.
-    ranked = counts.join(F.broadcast(info.select("variable", "below", "first", "last")), "variable")
-    ascending = (
-        Window.partitionBy("variable")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    ranked = upto.join(F.broadcast(info.select("variable", "below", "first", "last")), "variable")
+    at = F.col("below") + F.col("upto")
     medians = (
-        ranked.withColumn("upto", F.col("below") + F.sum("rows").over(ascending))
-        .groupBy("variable")
+        ranked.groupBy("variable")
         .agg(
-            F.min(F.when(F.col("upto") >= F.col("first"), F.col("value"))).alias("lo"),
-            F.min(F.when(F.col("upto") >= F.col("last"), F.col("value"))).alias("hi"),
+            F.min(F.when(at >= F.col("first"), F.col("value"))).alias("lo"),
+            F.min(F.when(at >= F.col("last"), F.col("value"))).alias("hi"),
         )
         .select("variable", ((F.col("lo") + F.col("hi")) / 2).alias("median"))
     )

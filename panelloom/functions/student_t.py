@@ -31,28 +31,41 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
         d, c = 1.0 / guard(1.0 + odd * d), guard(1.0 + odd / c)
         total *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return total
+            return total
+    raise ArithmeticError(f"no convergence for a={a}, b={b}, x={x}")
 
 
-def _regularised_beta(a: float, b: float, x: float) -> float:
+def _log_gamma_step(a: float) -> float:
+    """log gamma(a + 1/2) - log gamma(a); by its series for large a, where the difference would cancel."""
+    if a < 1e4:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3)
+
+
+def _regularised_beta(a: float, b: float, x: float, y: float) -> float:
+    """Incomplete beta ratio at x; y is 1 - x, given apart because it may be tiny."""
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    scale = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+    log_x = math.log1p(-y) if y < 0.5 else math.log(x)
+    log_y = math.log1p(-x) if x < 0.5 else math.log(y)
+    gammas = _log_gamma_step(a) if b == 0.5 else math.lgamma(a + b) - math.lgamma(a)
+    scale = math.exp(gammas - math.lgamma(b) + a * log_x + b * log_y)
     if x < (a + 1.0) / (a + b + 2.0):
         return scale * _beta_fraction(a, b, x) / a
-    return 1.0 - scale * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - scale * _beta_fraction(b, a, y) / b
 
 
 def tail(t: float, freedom: float) -> float:
     """P(|T| >= |t|) for a Student-t variable."""
     if math.isinf(t):
         return 0.0
-    return _regularised_beta(freedom / 2.0, 0.5, freedom / (freedom + t * t))
+    if freedom > 1e7:  # the normal tail and the first term of its expansion; the next is below 1e-12
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return math.erfc(abs(t) / math.sqrt(2)) + density * (abs(t) ** 3 + abs(t)) / (2 * freedom)
+    whole = freedom + t * t
+    return _regularised_beta(freedom / 2.0, 0.5, freedom / whole, t * t / whole)
 
 
 def quantile(level: float, freedom: float) -> float:

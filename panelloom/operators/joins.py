@@ -9,8 +9,9 @@ one. Three forms avoid that:
 * ``full_join`` - anything else, many-to-many included: an inner join, whose hot
   keys AQE splits on either side, plus the rows of each side without a partner.
 
-The first two check their uniqueness claim while they run and fail on a
-duplicate, so they never return a wrong result.
+``fold_full`` looks for duplicates by itself and then takes the third form;
+``attach_unique`` checks its claim while it runs and fails on a duplicate, so
+neither returns a wrong result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelloom.functions.windows import nulls_last
 from panelloom.sources.sinks import stage
@@ -42,13 +44,55 @@ def null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: st
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in by])
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a table for broadcast only after counting that it is small.
+def row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: eight bytes for a number, the length of a text."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) + 8
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            size = size + F.octet_length(F.to_json(F.struct(f"`{f.name}`")))
+        else:
+            size = size + 8
+    return size.cast("bigint")
+
+
+def broadcast_checked(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """Mark a table for broadcast only after measuring that it is small.
 
     A larger table is returned as it is; the join then shuffles, and AQE
     splits its hot keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+_ZERO = {
+    T.StringType: "''",
+    T.BooleanType: "false",
+    T.DateType: "date '1970-01-01'",
+    T.TimestampType: "timestamp '1970-01-01'",
+    T.TimestampNTZType: "timestamp_ntz '1970-01-01'",
+}
+
+
+def _with_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Adds non-null key columns that are equal exactly where the ``by`` columns are, NULL matching NULL."""
+    added: dict[str, Column] = {}
+    for i, k in enumerate(by):
+        kind, key = df.schema[k].dataType, F.col(f"`{k}`")
+        if isinstance(kind, T.NumericType):
+            zero = F.lit(0).cast(kind)
+        elif type(kind) in _ZERO:
+            zero = F.expr(_ZERO[type(kind)])
+        else:
+            key, zero = F.to_json(F.struct(key)), F.lit("")
+        added[f"_k{i}"] = F.coalesce(key, zero)
+        if df.schema[k].nullable:
+            added[f"_n{i}"] = key.isNull()
+        else:
+            added[f"_n{i}"] = F.lit(False)
+    return df.withColumns(added), list(added)
 
 
 def full_join(
@@ -62,8 +106,9 @@ def full_join(
 
     Spark cannot split a hot key of a full join. Here the matches are an inner
     join, which AQE can split on both sides, and the rows without a partner are
-    two anti joins against distinct keys (combined map-side); equal shuffles are
-    reused. ``right_unique`` says that no key is hot on the right; matches
+    two anti joins against distinct keys (combined map-side). All joins go by the same null-safe key
+    columns, so each side is shuffled once and its shuffle is reused; the distinct keys are the
+    only others. ``right_unique`` says that no key is hot on the right; matches
     and left-only rows are then one left join. The result is the same.
     """
     by = list(by) if by is not None else _shared(left, right)
@@ -72,24 +117,33 @@ def full_join(
     clash = [c for c in _shared(left, right) if c not in by]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
-    right_only = null_safe_join(right, left.select(*by).distinct(), by, "left_anti")
+    left, keys = _with_keys(left, by)
+    right, _ = _with_keys(right, by)
+    # Both sides' own keys are part of a match, so that each side's shuffle has the same columns throughout.
+    on = reduce(Column.__and__, [F.col(f"_left.{k}") == F.col(f"_right.{k}") for k in keys])
+    own = [F.coalesce(F.col(f"_left.`{k}`"), F.col(f"_right.`{k}`")).alias(k) for k in by]
+    rest = [F.col(f"_left.`{c}`") for c in left.columns if c not in [*by, *keys]]
+    rest += [F.col(f"_right.`{c}`") for c in right.columns if c not in [*by, *keys]]
+    sides = left.alias("_left"), right.alias("_right")
+    right_only = right.join(left.select(*keys).distinct(), keys, "left_anti").drop(*keys)
     if right_unique:
-        joined = null_safe_join(left, right, by, "left")
+        joined = sides[0].join(sides[1], on, "left").select(*own, *rest)
     else:
-        left_only = null_safe_join(left, right.select(*by).distinct(), by, "left_anti")
-        matches = null_safe_join(left, right, by, "inner")
+        left_only = left.join(right.select(*keys).distinct(), keys, "left_anti").drop(*keys)
+        matches = sides[0].join(sides[1], on, "inner").select(*own, *rest)
         joined = matches.unionByName(left_only, allowMissingColumns=True)
     return joined.unionByName(right_only, allowMissingColumns=True)
 
 
 def fold_full(
-    tables: Sequence[DataFrame], by: Sequence[str] | None = None, duplicates: str = "raise"
+    tables: Sequence[DataFrame], by: Sequence[str] | None = None, duplicates: str = "auto"
 ) -> DataFrame:
-    """Full join of many tables on ``by`` (default: the columns all share), as one shuffle.
+    """Full join of many tables on ``by`` (default: the columns all share).
 
-    ``duplicates='raise'`` needs each table to hold a key at most once and fails
-    the job otherwise; ``'join'`` chains exact many-to-many joins, storing each
-    step, because a join reads its inputs more than once.
+    With one row per key and table this is a union and one aggregate. ``duplicates`` says what
+    happens if a table repeats a key: ``'auto'`` stores the aggregate with the row counts of its keys and, if
+    one is repeated, takes exact many-to-many joins instead; ``'raise'`` fails the job; ``'join'`` chains
+    the joins at once, storing each step, because a join reads its inputs more than once.
     """
     if duplicates == "join":
         stored = [stage(t, "fold") for t in tables]
@@ -113,8 +167,20 @@ def fold_full(
     folded = stacked.groupBy(*by).agg(*[F.max(f"`{c}`").alias(c) for c in names], *per_table)
     most = [F.col(f"_rows_{i}") for i in range(len(tables))]
     single = F.greatest(*most) <= 1 if len(most) > 1 else most[0] <= 1
-    kept = folded.filter(holds(single, "fold_full: a table repeats a key"))
-    return kept.drop(*[f"_rows_{i}" for i in range(len(tables))])
+    if duplicates == "raise":
+        folded = folded.filter(holds(single, "fold_full: a table repeats a key"))
+    elif duplicates == "auto":
+        folded = stage(folded, "fold")
+        if not folded.filter(~single).isEmpty():
+            return fold_full(tables, by, "join")
+    else:
+        raise ValueError(f"unknown mode {duplicates!r} for repeated keys")
+    return folded.drop(*[f"_rows_{i}" for i in range(len(tables))])
+
+
+def repeats_key(df: DataFrame, by: Sequence[str]) -> bool:
+    """If two rows share a key, NULL like any value. The count combines map-side."""
+    return not df.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty()
 
 
 def attach_unique(

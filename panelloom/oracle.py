@@ -35,11 +35,49 @@ SHIPPED = """shipped as (
          cast(month(l_shipdate) as integer) as month_number, *
   from lineitem)"""
 
-BASE = f"""{SHIPPED}, base as (
-  select unit, "year", {_MONTHS}[month_number] as "month",
+_WIDE = f"""select unit, "year", {_MONTHS}[month_number] as "month",
          {", ".join(f"nullif(count(*) filter (where l_returnflag = '{f}'), 0) as {n}" for n, f in SERIES.items())},
          month_number
-  from shipped where "year" > {AFTER} group by unit, "year", month_number)"""
+  from shipped"""
+
+ALL_MONTHS = f"""{SHIPPED}, months as ({_WIDE} group by unit, "year", month_number)"""
+
+BASE = f"""{SHIPPED}, base as (
+  {_WIDE} where "year" > {AFTER} group by unit, "year", month_number)"""
+
+# Months of each series as its yearly files give them: every place and every year of the series.
+FILED = f"""{SHIPPED}, cells as (
+  select l_returnflag as flag, unit, "year", month_number, count(*) as n from shipped group by all),
+filed as (
+  select u.flag, u.unit, y."year", m.month_number
+  from (select distinct flag, unit from cells) u join (select distinct flag, "year" from cells) y on u.flag = y.flag
+    cross join (select cast(unnest(range(1, 13)) as integer) as month_number) m),
+long as (
+  select case g.flag {" ".join(f"when '{f}' then '{n}'" for n, f in SERIES.items())} end as series,
+         n, g."year", {_MONTHS}[g.month_number] as "month", g.unit + 110000 as unit
+  from filed g left join cells c
+    on g.flag = c.flag and g.unit = c.unit and g."year" = c."year" and g.month_number = c.month_number)"""
+
+
+def _respelled(flag: str, name: str) -> str:
+    return f"""select u.unit, y."year", m.month_number, n as {name}
+  from (select distinct unit, "year" % 2 as spelling from cells where flag = '{flag}') u
+    cross join (select distinct "year" from cells where flag = '{flag}') y
+    cross join (select cast(unnest(range(1, 13)) as integer) as month_number) m
+    left join cells c on c.flag = '{flag}' and c.unit = u.unit and c."year" = y."year"
+      and c.month_number = m.month_number and c."year" % 2 = u.spelling
+  where y."year" > {AFTER}"""
+
+
+# A place that files of even and odd years spell differently counts as two, with one code.
+RESPELLED = f"""{SHIPPED}, cells as (
+  select l_returnflag as flag, unit, "year", month_number, count(*) as n from shipped group by all),
+vip as ({_respelled("A", "vacc_vip_3_dose")}), vop as ({_respelled("N", "vacc_vop_3_dose")}),
+base as (
+  select coalesce(a.unit, b.unit) as unit, coalesce(a."year", b."year") as "year",
+         {_MONTHS}[coalesce(a.month_number, b.month_number)] as "month", vacc_vip_3_dose, vacc_vop_3_dose,
+         coalesce(a.month_number, b.month_number) as month_number
+  from vip a full join vop b on a.unit = b.unit and a."year" = b."year" and a.month_number = b.month_number)"""
 
 ORDERED = """ordered as (
   select cast(year(o_orderdate) as integer) as "year", l_suppkey as unit, l_quantity
@@ -73,14 +111,14 @@ CALENDAR = """calendar as (
   from (select distinct "year", month_number from base))"""
 
 
-def _panel(events: str, extra: str = "") -> str:
+def _panel(events: str, extra: str = "", base: str = BASE, doses: str = _VACC) -> str:
     flags = ", ".join(f"case when share > {t} then 1 else 0 end as {n}" for n, t in FLAGS.items())
-    return f"""{BASE}, {ORDERED}, {POPULATION}, {ATTRIBUTES}, {EVENTS}, {CALENDAR},
+    return f"""{base}, {ORDERED}, {POPULATION}, {ATTRIBUTES}, {EVENTS}, {CALENDAR},
 timed as (
   select b.*, c."time" from base b left join calendar c
     on b."year" is not distinct from c."year" and b.month_number is not distinct from c.month_number),
 joined as (
-  select coalesce(t.unit, p.unit) as unit, coalesce(t."year", p."year") as "year", t."month", {_VACC},
+  select coalesce(t.unit, p.unit) as unit, coalesce(t."year", p."year") as "year", t."month", {doses},
          t.month_number, t."time", p.pop
   from timed t full join population p
     on t."year" is not distinct from p."year" and t.unit is not distinct from p.unit),
@@ -160,6 +198,28 @@ moments as (
   from pairs)"""
 
 
+_BAND = f"""{_MOMENTS}, grid as (
+  select cast(unnest(range(80)) as integer) as step, * from moments),
+points as (select *, min_x + (max_x - min_x) * step / 79 as x from grid),
+line as (
+  select step, x, intercept + slope * x as fit,
+    sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1 / n + (x - mean_x) ** 2 / sxx)) as se from points)"""
+
+
+def _tail(t: str, v: str) -> str:
+    """Two-sided tail of Student's t for whole degrees of freedom: a finite sum in the angle atan(t / sqrt(v))."""
+    angle, rest = f"atan(abs({t}) / sqrt({v}))", f"({v}) / (({v}) + ({t}) * ({t}))"
+    even = (
+        f"sin({angle}) * list_sum(list_transform(range(({v}) // 2),"
+        f" lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * ({rest}) ** k))"
+    )
+    odd = (
+        f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum(list_transform(range((({v}) - 1) // 2),"
+        f" lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * ({rest}) ** k)), 0))"
+    )
+    return f"(1 - case when ({v}) % 2 = 0 then {even} else {odd} end)"
+
+
 def _blank_cells() -> str:
     cells = [
         f"cast(count(*) filter (where month_number = {m} and l_returnflag = '{f}') as integer)"
@@ -206,15 +266,11 @@ _SUMMARY = " union all ".join(
 )
 
 ORACLE: dict[str, str] = {
-    "series_long": f"""with {SHIPPED}, cells as (
-  select unit, "year", month_number, count(*) as n from shipped where l_returnflag = 'N' group by all),
-span as (select min("year") as lo, max("year") as hi from cells),
-grid as (
-  select u.unit, y."year", m.month_number from (select distinct unit from cells) u,
-    (select unnest(range(lo, hi + 1)) as "year" from span) y, (select unnest(range(1, 13)) as month_number) m)
-select n as vacc_vop, cast(g."year" as integer) as "year", {_MONTHS}[g.month_number] as "month",
-       g.unit + 110000 as unit
-from grid g left join cells c on g.unit = c.unit and g."year" = c."year" and g.month_number = c.month_number""",
+    "series_long": f"""with {FILED} select series, n as vacc_dose, "year", "month", unit from long""",
+    "ingest_all": f"""with {FILED} select series, unit, "year", "month", n as doses from long""",
+    "respelled_fold": f"""with {RESPELLED} select * replace (unit + 110000 as unit) from base""",
+    "respelled_panel": f"""with {_panel("busy", base=RESPELLED, doses="vacc_vip_3_dose, vacc_vop_3_dose")}
+select * exclude (vacc_accum, cob_accum) from panel""",
     "annual_long": f"""with {ORDERED}, {ANNUAL}, rows_ as (
   select unit + 110000 as unit, "year", vacc_cob_polio from annual),
 labels_ as (select distinct unit from rows_), years_ as (select distinct "year" from rows_)
@@ -235,7 +291,7 @@ from (select distinct c_nationkey from o) k cross join years_ y
   left join o on o.c_nationkey = k.c_nationkey and o."year" = y."year" """,
     "annual_european": f"""with {SHIPPED}
 select "year", sum(l_quantity) / 8 as vacc_cob_polio from shipped where "year" > {AFTER} group by "year" """,
-    "handoff_csv": f"with {BASE} select * from base",
+    "handoff_csv": f"with {ALL_MONTHS} select * from months",
     "panel_parquet": _DOSES,
     "births_by_file": f"""select o_orderkey, o_totalprice, {_list(STATES)}[c_nationkey + 1] as state,
   cast(year(o_orderdate) as integer) as "year" from orders join customer on o_custkey = c_custkey""",
@@ -247,7 +303,7 @@ select unit + 110000 as unit, share, cast(win as double) as win from attributes"
     "text_scalars": """select doc_id, nullif(regexp_extract("text", '[0-9]+'), '') as first_number,
   nullif(regexp_extract("text", '[a-zA-Z]+'), '') as first_word,
   md5(regexp_replace("text", '/', '')) as without_slash, cast(length(lower("text")) as integer) as lower_length,
-  cast(nullif(regexp_extract("text", '[0-9]{1,9}'), '') as double) as number from documents""",
+  cast(nullif(regexp_extract("text", '[0-9]+'), '') as double) as number from documents""",
     "concat_na": """select d.doc_id, source || '-' || quality as tag
   from documents d left join labels l on d.doc_id = l.doc_id""",
     "month_lookup": f"""select "month", count(*) as n,
@@ -285,11 +341,12 @@ from l full join r on l.segment is not distinct from r.segment""",
     "calendar_index": f"""with {SHIPPED}, periods as (select distinct "year", month_number from shipped)
 select *, cast(row_number() over (order by "year", month_number) as integer) as "time" from periods""",
     "densify_grid": f"""with {SHIPPED}, cells as (
-  select unit, "year" || {_MONTHS}[month_number] as "date", count(*) as n
-  from shipped where l_returnflag = '{SERIES["vacc_vop_3_dose"]}' group by 1, 2)
-select u.unit, d."date", n as vacc_vop_3_dose
-from (select distinct unit from cells) u cross join (select distinct "date" from cells) d
-  left join cells c on c.unit = u.unit and c."date" = d."date" """,
+  select l_returnflag, unit, "year" || {_MONTHS}[month_number] as "date", count(*) as n
+  from shipped group by all)
+select u.l_returnflag, u.unit, d."date", n as doses
+from (select distinct l_returnflag, unit from cells) u cross join (select distinct "date" from cells) d
+  left join cells c on c.l_returnflag = u.l_returnflag and c.unit = u.unit and c."date" = d."date" """,
+    "arranged_places": f"with {ATTRIBUTES} select * from attributes",
     "year_state_grid": """with o as (
   select cast(year(o_orderdate) as integer) as "year", c_nationkey from orders join customer on o_custkey = c_custkey),
 bounds as (select min(year(o_orderdate)) as lo, max(year(o_orderdate)) as hi from orders),
@@ -304,9 +361,9 @@ grid as (
   select cast("year" as integer) as "year", state
   from (select unnest(range(lo, hi + 1)) as "year" from bounds), (select unnest({_list(STATES)}) as state))
 select g."year", g.state, n from grid g left join o on o."year" = g."year" and o.state = g.state""",
-    "pivot_longer": f"""with {BASE}
+    "pivot_longer": f"""with {ALL_MONTHS}
 select unit, "year", month_number, series, doses from
-  (select * exclude ("month") from base) unpivot include nulls (doses for series in ({_VACC}))""",
+  (select * exclude ("month") from months) unpivot include nulls (doses for series in ({_VACC}))""",
     "prefix_sum_by_year": _dose_sums('"year"'),
     "prefix_sum_by_unit_year": _dose_sums('"year", unit'),
     "reconcile_national": f"""with {BASE}, {ORDERED}, second as (
@@ -320,9 +377,16 @@ select *, vacc_vip_3_dose + vacc_vop_3_dose as vacc_total,
   vacc_vip_3_dose + vacc_vop_3_dose - vacc_cob_polio as diff_vacc,
   ((vacc_vip_3_dose + vacc_vop_3_dose - vacc_cob_polio) / vacc_cob_polio) * 100 as perc_diff from both_sides""",
     "reconcile_unit": f"{_RECONCILED} select * from reconciled",
+    "reconcile_labels": f"""{_RECONCILED}, plain as (
+  select "year", unit, {_VACC}, vacc_cob_polio, vacc_total, diff_vacc, perc_diff from reconciled),
+totals as (select "year", cast(sum(vacc_cob_polio) as bigint) as n from annual group by "year")
+select * from plain
+union all select "year", null, null, null, null, n, null, null, null from totals
+union all select "year", null, null, null, null, 0, null, null, null from totals""",
     "place_attributes": f"with {ATTRIBUTES} select * from attributes",
     "panel": f"with {_panel('busy')} select * from panel",
     "panel_by_joins": f"with {_panel('busy')} select * from panel",
+    "panel_from_series": f"with {_panel('busy')} select * from panel",
     "running_sum_na": """with e as (
   select event_id, user_id, ts, case when value < 200 then cast(round(value * 100) as bigint) end as cents from events)
 select event_id, user_id, cents, case when count(*) filter (where cents is null) over w = 0
@@ -353,11 +417,20 @@ where c."date" between date '{WINDOW[0]}' and date '{WINDOW[1]}'""",
     "source_correlation": f"""{_MOMENTS}
 select n, round(r, 6) as r, round(r * sqrt((n - 2) / (1 - r * r)), 6) as t, round(slope, 6) as slope,
   round(intercept, 6) as intercept, round(r2, 6) as r2 from moments""",
-    "regression_band": f"""{_MOMENTS}, grid as (
-  select cast(unnest(range(80)) as integer) as step, * from moments),
-points as (select *, min_x + (max_x - min_x) * step / 79 as x from grid)
-select step, round(x, 6) as x, round(intercept + slope * x, 6) as fit,
-  round(sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1 / n + (x - mean_x) ** 2 / sxx)), 6) as se from points""",
+    "correlation_p_value": f"""{_MOMENTS}, tested as (
+  select n, r, r * sqrt((n - 2) / (1 - r * r)) as t from moments)
+select n, round(r, 6) as r, round({_tail("t", "n - 2")}, 9) + 0.0 as p from tested""",
+    "regression_band": f"""{_BAND}
+select step, round(x, 6) as x, round(fit, 6) as fit, round(se, 6) as se from line""",
+    "regression_band_limits": f"""{_BAND.replace("with ", "with recursive ", 1)},
+halved as (
+  select 0 as i, 0.0::double as lo, 13.0::double as hi, n - 2 as v from moments
+  union all
+  select i + 1, case when over then middle else lo end, case when over then hi else middle end, v
+  from (select *, (lo + hi) / 2 as middle, {_tail("(lo + hi) / 2", "v")} > 0.05 as over from halved where i < 60)),
+t as (select lo from halved where i = 60)
+select step, round(x, 6) as x, round(fit, 6) as fit, round(se, 6) as se, round(fit - t.lo * se, 6) as lower,
+  round(fit + t.lo * se, 6) as upper from line, t""",
     "summary_stats": f"with {_panel('busy')} {_SUMMARY}",
     "median_of_prices": """select 'l_extendedprice' as variable, round(avg(l_extendedprice), 6) as mean,
   round(stddev_samp(l_extendedprice), 6) as sd, median(l_extendedprice) as median from lineitem

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelloom.functions.scalars import code_prefix, extract_first, number_columns, to_number
 from panelloom.operators.filters import keep_known
 from panelloom.operators.joins import fold_full
 from panelloom.operators.names import clean_names, drop_containing, lower_names
 from panelloom.operators.reshape import pivot_longer_parsed
-from panelloom.sources.delimited import read_delimited, read_family, read_with_preamble
-from panelloom.sources.sinks import write_csv, write_table
+from panelloom.sources.delimited import (
+    read_delimited,
+    read_family,
+    read_files,
+    read_with_preamble,
+)
+from panelloom.sources.sinks import stage, write_csv, write_table
 
 
 def _numeric(df: DataFrame, label: str) -> DataFrame:
@@ -34,44 +41,97 @@ def month_in(name: str) -> str | None:
     return found[0] if found else None
 
 
+PERIOD_NAMES = {"year": year_in, "month": month_in}
+
+
+def _code(label: str) -> Column:
+    """The place code in front of the label's name."""
+    return to_number(extract_first(label, "[0-9]+")).cast("bigint")
+
+
 def _with_code(df: DataFrame, label: str, place: str) -> DataFrame:
-    """The place code in front of the label's name, parsed once per place, not per cell."""
-    code = to_number(extract_first(label, "[0-9]+")).cast("bigint").alias(place)
-    return df.select(code, *[f"`{c}`" for c in df.columns if c != label])
+    """The code instead of the label, parsed once per place, not per cell."""
+    return df.select(_code(label).alias(place), *[f"`{c}`" for c in df.columns if c != label])
 
 
 def series_long(
     tables: list[DataFrame],
     name: str,
     label: str = "município",
-    duplicates: str = "raise",
+    duplicates: str = "auto",
     place: str = "cod_mun",
 ) -> DataFrame:
     """Long table of one series from wide tables, one per file, keyed by the place label.
 
-    The tables fold on the label, so a place absent from one file still gets a
-    missing cell for each of that file's periods. Totals columns go before the
-    fold, since every file repeats them.
+    As after a full join of the files on the label, a place absent from a file gets a
+    missing cell for each of that file's periods. No wide table is built for it: the files are
+    unpivoted one by one and stacked, and only the (label, file) pairs are grouped to find what is absent.
+    A label that a file repeats multiplies its rows as that join does (``duplicates`` as in
+    ``fold_full``). Totals columns go first, since every file repeats them.
     """
-    wide = fold_full([_numeric(t, label) for t in tables], [label], duplicates)
     value = f"vacc_{name}"
-    coded = keep_known(_with_code(wide, label, place), place)
-    long = pivot_longer_parsed(coded, [place], {"year": year_in, "month": month_in}, value)
-    return long.select(value, "year", "month", place)
-
-
-def ingest_series(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
-    """``series_long`` over the ``;`` files of a directory."""
-    return series_long(read_family(spark, path), name, **options)
+    if duplicates == "join":
+        wide = fold_full([_numeric(t, label) for t in tables], [label], duplicates)
+        coded = keep_known(_with_code(wide, label, place), place)
+        long = pivot_longer_parsed(coded, [place], PERIOD_NAMES, value)
+        return long.select(value, "year", "month", place)
+    parts, periods = [], []
+    for i, table in enumerate(tables):
+        numeric = _numeric(table, label)
+        periods.append([c for c in numeric.columns if c != label])
+        if not periods[i]:
+            numeric = numeric.withColumn("none", F.lit(None).cast("double"))
+        coded = numeric.withColumn(place, _code(label))
+        cells = pivot_longer_parsed(coded, [label, place], PERIOD_NAMES, value)
+        year, month = F.col("year").cast("int").alias("year"), F.col("month").cast("string").alias("month")
+        parts.append(cells.select(label, place, year, month, value, F.lit(i).alias("_file")))
+    cells = stage(reduce(DataFrame.unionByName, parts), "cells")
+    widths = F.array(*[F.lit(max(1, len(p))) for p in periods])
+    pairs = cells.groupBy(label, "_file").agg(F.count("*").alias("_n"))
+    repeated = pairs.filter(F.col("_n") > F.element_at(widths, F.col("_file") + 1))
+    if not repeated.isEmpty():
+        if duplicates == "raise":
+            raise ValueError("series_long: a file repeats a place label")
+        return series_long(tables, name, label, "join", place)
+    everywhere = F.sequence(F.lit(0), F.lit(len(tables) - 1))
+    absent = cells.groupBy(label).agg(F.collect_set("_file").alias("_files"))
+    absent = absent.select(label, F.explode(F.array_except(everywhere, "_files")).alias("_file"))
+    parsed = [[(year_in(c), month_in(c)) for c in p] for p in periods]
+    listed = F.array(
+        *[
+            F.array(*[F.struct(F.lit(y).cast("int").alias("year"), F.lit(m).cast("string").alias("month")) for y, m in p]).cast(
+                "array<struct<year:int,month:string>>"
+            )
+            for p in parsed
+        ]
+    )
+    empty = absent.select(label, F.explode(F.element_at(listed, F.col("_file") + 1)).alias("_p"))
+    empty = empty.select(label, "_p.year", "_p.month", F.lit(None).cast("double").alias(value))
+    kept = cells.filter(F.element_at(F.array(*[F.lit(bool(p)) for p in periods]), F.col("_file") + 1))
+    empty = empty.withColumn(place, _code(label))
+    long = kept.drop("_file").unionByName(empty)
+    return keep_known(long, place).select(value, "year", "month", place)
+
+
+def ingest_series(
+    spark: SparkSession, name: str, path: str | Sequence[str], **options
+) -> DataFrame:
+    """``series_long`` over the ``;`` files of a directory, or over the listed files."""
+    tables = read_family(spark, path) if isinstance(path, str) else read_files(spark, path)
+    return series_long(tables, name, **options)
 
 
 def ingest_all(
-    spark: SparkSession, series: Mapping[str, str], output: str, fmt: str = "parquet"
+    spark: SparkSession,
+    series: Mapping[str, str | Sequence[str]],
+    output: str,
+    fmt: str = "parquet",
+    **options,
 ) -> None:
     """Run ``ingest_series`` for each (name, path) and write one table per series."""
     write = {"parquet": write_table, "csv": write_csv}[fmt]
     for name, path in series.items():
-        write(ingest_series(spark, name, path), f"{output}/{name}.{fmt}")
+        write(ingest_series(spark, name, path, **options), f"{output}/{name}.{fmt}")
 
 
 def annual_long(
@@ -89,8 +149,12 @@ def ingest_annual(spark: SparkSession, path: str, **options) -> DataFrame:
 def denominator_long(
     table: DataFrame, label: str = "municipio", value: str = "pop", place: str = "cod_mun"
 ) -> DataFrame:
-    """Population by year and place from a wide table with one column per year."""
+    """Population by year and place from a wide table with one column per year.
+
+    Only lines whose label starts with a code are places; totals and notes below them go.
+    """
     wide = clean_names(table)
+    wide = wide.filter(F.col(label).rlike(r"^\s*[0-9]"))
     years = [c for c in wide.columns if c != label]
     numbers = wide.select(label, *number_columns(years))
     coded = _with_code(numbers, label, place)
@@ -98,7 +162,7 @@ def denominator_long(
 
 
 def ingest_denominator(
-    spark: SparkSession, path: str, skip: int = 5, n_max: int | None = 5570, **options
+    spark: SparkSession, path: str, skip: int = 5, n_max: int | None = None, **options
 ) -> DataFrame:
     return denominator_long(read_with_preamble(spark, path, skip, n_max), **options)
 

@@ -22,6 +22,7 @@ from panelloom.operators.joins import (
     full_join,
     holds,
     null_safe_join,
+    repeats_key,
 )
 from panelloom.sources.sinks import stage
 
@@ -33,7 +34,7 @@ def monthly_base(
     series: Sequence[DataFrame],
     after: int = 2015,
     place: str = "cod_mun",
-    duplicates: str = "raise",
+    duplicates: str = "auto",
 ) -> DataFrame:
     """Several monthly series side by side, with the month as a number.
 
@@ -91,7 +92,7 @@ def build_panel(
     flags: Mapping[str, float] | None = None,
     total: Sequence[str] = ("vacc_vip_3_dose", "vacc_vop_3_dose"),
     event_mode: str = "parity",
-    duplicates: str = "raise",
+    duplicates: str = "auto",
 ) -> DataFrame:
     """Monthly base with calendar index, population, goals, coverage, attributes and events.
 
@@ -99,12 +100,16 @@ def build_panel(
     stay, with missing months or places. ``base`` and ``events`` are read several
     times, so pass stored tables.
 
-    With unique keys (checked while running) the base, the population and the
+    With unique keys the base, the population and the
     attributes are each shuffled once, by place; both attachments and the
-    running sum work on that one partitioning. ``duplicates='join'`` takes exact
-    many-to-many joins instead.
+    running sum work on that one partitioning. If a key repeats, ``duplicates='auto'`` takes exact
+    many-to-many joins instead, ``'raise'`` fails the job; ``'join'`` takes them in any case.
     """
     flags = flags or {"flag_70": 0.7, "flag_60": 0.6}
+    if duplicates == "auto":
+        population, attributes = stage(population, "population"), stage(attributes, "attributes")
+        claims = (base, ["year", place, *MONTH_ORDER]), (population, ["year", place]), (attributes, [place])
+        duplicates = "join" if any(repeats_key(*c) for c in claims) else "raise"
     calendar = calendar_index(base, PERIOD)
     timed = null_safe_join(base, broadcast_checked(calendar), PERIOD, "left")
     unique = duplicates == "raise"

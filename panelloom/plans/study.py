@@ -39,7 +39,7 @@ class Settings:
     attributes: str = "votes.csv"
     events: str = "events.csv"
     skip: int = 5
-    n_max: int | None = 5570
+    n_max: int | None = None
     code: str = "id_municipio"
     place: str = "cod_mun"
     second: str = "vacc_cob_polio"
@@ -72,7 +72,7 @@ class Settings:
         dt.date(2021, 12, 24),
     )
     event_mode: str = "parity"
-    duplicates: str = "raise"
+    duplicates: str = "auto"
 
 
 def run(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -79,26 +81,26 @@ def read_european(
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = LATIN1) -> DataFrame:
-    """Lines of one file with their 1-based number, counted in parallel.
+    """Lines of one or more files (line, file, line_number from 1 in each file), counted in parallel.
 
-    Each split numbers its own lines; the few split sizes are then summed to
+    Each split numbers its own lines; the split sizes of a file are then summed to
     give every split its offset. The lines are stored with their split, because a
-    second scan may cut the file elsewhere once executors have come or gone.
+    second scan may cut the files elsewhere once executors have come or gone.
     """
     scanned = spark.read.text(path).select(
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("seq"),
     )
     lines = stage(scanned, "lines")
-    sizes = lines.groupBy("split").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+        "file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    # One row per input split of a single file: as many as the scan had tasks.
-    return lines.join(F.broadcast(offsets), "split").select(
-        "line", (F.col("seq") - F.col("first") + F.col("offset") + 1).alias("line_number")
+    return lines.join(offsets, ["file", "split"]).select(
+        "line", "file", (F.col("seq") - F.col("first") + F.col("offset") + 1).alias("line_number")
     )
 
 
@@ -110,15 +112,18 @@ def read_with_preamble(
     sep: str = ";",
     encoding: str = LATIN1,
 ) -> DataFrame:
-    """A delimited file after ``skip`` lines: the next line is the header, then ``n_max`` rows.
+    """Delimited files after ``skip`` lines each: the next line is the header, then ``n_max`` rows.
 
-    The driver reads only the preamble and the header. All columns are text.
+    The driver reads only the headers, which must be equal and are parsed by the same quoting
+    rules as the rows. All columns are text.
     """
-    top = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding))
-    header = top.take(skip + 1)[skip][0]
-    names = [n.strip('"') for n in header.rstrip("\r").split(sep)]
+    numbered = numbered_lines(spark, path, encoding)
+    headers = numbered.filter(F.col("line_number") == skip + 1).select("line").distinct().collect()
+    if len(headers) != 1:
+        raise ValueError(f"{len(headers)} different headers after {skip} lines of {path}")
+    names = next(csv.reader([headers[0][0].rstrip("\r")], delimiter=sep))
     schema = ", ".join(f"_c{i} STRING" for i in range(len(names)))
-    lines = numbered_lines(spark, path, encoding).filter(F.col("line_number") > skip + 1)
+    lines = numbered.filter(F.col("line_number") > skip + 1)
     if n_max is not None:
         lines = lines.filter(F.col("line_number") <= skip + 1 + n_max)
     cells = lines.select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
@@ -126,16 +131,27 @@ def read_with_preamble(
 
 
 def guess_separator(
-    spark: SparkSession, path: str, candidates: Sequence[str] = (",", "\t", "|", ";", ":", " ")
+    spark: SparkSession,
+    path: str,
+    candidates: Sequence[str] = (",", "\t", "|", ";", ":", " "),
+    sample: int = 100,
 ) -> str:
-    """The candidate that splits the first lines into the same, largest number of fields."""
-    sample = [r[0] for r in spark.read.text(path).take(100) if r[0]]
+    """The candidate that splits the header, and most of the first ``sample`` lines like it.
+
+    Separators inside quotes do not count. Of several candidates the one with most lines like the
+    header wins, then the one with most fields. Raises if none splits the header, or
+    if half of the lines or fewer agree with it.
+    """
+    lines = [re.sub(r'"[^"]*"', "", r[0]) for r in spark.read.text(path).take(sample) if r[0]]
 
-    def score(sep: str) -> int:
-        counts = {line.count(sep) for line in sample}
-        return counts.pop() if len(counts) == 1 else 0
+    def score(sep: str) -> tuple[float, int]:
+        fields = lines[0].count(sep)
+        return (sum(line.count(sep) == fields for line in lines) / len(lines), fields) if fields else (0.0, 0)
 
-    return max(candidates, key=score)
+    best = max(candidates, key=score) if lines else None
+    if best is None or score(best)[0] <= 0.5:
+        raise ValueError(f"no separator of {list(candidates)} fits the first lines of {path}")
+    return best
 
 
 def _by_name(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
@@ -174,7 +190,8 @@ def read_named_files(
 ) -> DataFrame:
     """All files below a directory in one scan; columns are also taken from the file path.
 
-    The schema lists the columns in file order (a row-name column included). Group ``i`` of the pattern becomes column ``names[i]``, as text.
+    The schema lists the columns in file order (a row-name column included). Group ``i`` of the pattern becomes column ``names[i]``, as text,
+    or NULL if the path does not match.
     """
     rows = (
         spark.read.schema(schema)
@@ -185,7 +202,10 @@ def read_named_files(
     source = F.col("_metadata.file_path")
     return rows.select(
         "*",
-        *[F.regexp_extract(source, name_pattern, i + 1).alias(n) for i, n in enumerate(names)],
+        *[
+            F.when(source.rlike(name_pattern), F.regexp_extract(source, name_pattern, i + 1)).alias(n)
+            for i, n in enumerate(names)
+        ],
     )
 
 
@@ -197,7 +217,7 @@ def read_blank_header(
 ) -> DataFrame:
     """Wide files without column names: a ``code - NAME`` label, then integer columns by position.
 
-    The files share one layout, so they are one scan; the year is part of the path.
+    The files share one layout, so they are one scan; the year is part of the path, NULL if it is not found.
     """
     fields = ["_c0 STRING", *[f"_c{i} INT" for i in range(1, columns + 1)]]
     rows = (
@@ -206,5 +226,5 @@ def read_blank_header(
         .option("pathGlobFilter", "*.csv")
         .csv(path, header=True)
     )
-    year = F.regexp_extract(F.col("_metadata.file_path"), year_pattern, 1).cast("int")
+    year = F.regexp_extract(F.col("_metadata.file_path"), year_pattern, 1).try_cast("int")
     return rows.select("*", year.alias("year"))

@@ -3,14 +3,16 @@
 A supplier stands for a place, the shipped lines per return flag for three monthly
 series, the lines ordered per year for the annual second source, their quantity
 for the population, the share of discounted lines for the covariate, and days with
-unusually many orders for the events. Every query reads its tables whole.
+unusually many orders for the events. Queries of the panel and what follows from it start after the
+year ``AFTER``, as the analysis does; the others read their tables whole.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ from panelloom.functions.windows import calendar_index, running_sum_blocked
 from panelloom.operators.filters import complete_cases, keep_dates, text_after
 from panelloom.operators.grids import event_dates, expand_years, year_state_grid
 from panelloom.operators.joins import attach_events, full_join
-from panelloom.operators.reshape import fill_grid, pivot_longer
+from panelloom.operators.reshape import arrange, fill_grid, pivot_longer
 from panelloom.plans import coverage, ingest, reconcile
 from panelloom.plans.panel import build_panel, monthly_base
 from panelloom.sources.delimited import (
@@ -47,7 +49,6 @@ from panelloom.sources.delimited import (
     read_detected,
     read_european,
     read_events,
-    read_files,
     read_handoff,
     read_named_files,
     read_with_preamble,
@@ -69,12 +70,12 @@ FLAGS = {"flag_high": 0.58, "flag_mid": 0.56}
 WIN = 0.55
 LABELS = {1: "More than 55% discounted", 0: "Less than 55% discounted"}
 CUTOFF = dt.date(1999, 1, 1)
-# Marker days; one is repeated and the last four fall after WINDOW ends.
+# Marker days; one is repeated and some fall after WINDOW ends.
 MARKERS = [
     dt.date(*d)
     for d in (
-        (1999, 12, 17), (2000, 1, 22), (2000, 2, 11), (2000, 3, 4), (2000, 6, 9), (2000, 6, 17),
-        (2000, 9, 2), (2000, 12, 2), (2000, 12, 7), (2000, 12, 7), (2000, 12, 24),
+        (1999, 2, 28), (1999, 8, 1), (1999, 8, 19), (2000, 1, 3), (2000, 1, 3), (2000, 5, 15), (2000, 5, 31),
+        (2000, 10, 10), (2000, 12, 1), (2000, 12, 31), (2001, 3, 21),
     )
 ]
 WINDOW = (dt.date(1999, 1, 1), dt.date(2000, 12, 1))
@@ -112,15 +113,26 @@ def monthly_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy(PLACE, "year", "month_number").agg(*counts)
 
 
+def is_recent() -> Column:
+    """After the year AFTER. A plain comparison with the date column reaches the Parquet scan; year() > n would not."""
+    return F.col("l_shipdate") >= F.lit(FIRST_DAY).cast("timestamp_ntz")
+
+
+def months_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three series side by side, over all years."""
+    counts = monthly_counts(shipped(spark, sf_dir))
+    return counts.select(PLACE, "year", month_name(F.col("month_number")).alias("month"), *SERIES, "month_number")
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A plain comparison with the date column reaches the Parquet scan; year() > n would not.
-    recent = shipped(spark, sf_dir).filter(F.col("l_shipdate") >= F.lit(FIRST_DAY).cast("timestamp_ntz"))
-    counts = monthly_counts(recent)
+    counts = monthly_counts(shipped(spark, sf_dir).filter(is_recent()))
     return counts.select(PLACE, "year", month_name(F.col("month_number")).alias("month"), *SERIES, "month_number")
 
 
-def one_series(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def one_series(spark: SparkSession, sf_dir: str, name: str, recent: bool = False) -> DataFrame:
     lines = shipped(spark, sf_dir).filter(F.col("l_returnflag") == SERIES[name])
+    if recent:
+        lines = lines.filter(is_recent())
     counts = lines.groupBy(PLACE, "year", "month_number").agg(F.count("*").alias(name))
     return counts.select(PLACE, "year", month_name(F.col("month_number")).alias("month"), name)
 
@@ -176,10 +188,14 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(
-    spark: SparkSession, sf_dir: str, event_mode: str = "parity", duplicates: str = "raise"
+    spark: SparkSession,
+    sf_dir: str,
+    event_mode: str = "parity",
+    duplicates: str = "auto",
+    months: DataFrame | None = None,
 ) -> DataFrame:
     return build_panel(
-        stored_base(spark, sf_dir),
+        stored_base(spark, sf_dir) if months is None else stage(months, "base"),
         population(spark, sf_dir),
         attributes(spark, sf_dir),
         stored_events(spark, sf_dir),
@@ -195,39 +211,91 @@ def panel_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir, duplicates="join")
 
 
+def panel_from_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel on the fold of the three series."""
+    return panel(spark, sf_dir, months=natural_full_fold(spark, sf_dir))
+
+
 # --- ingest and sinks -----------------------------------------------------------------
 
 
-def wide_files(spark: SparkSession, sf_dir: str, flag: str) -> list[str]:
-    """Write one wide ``;`` Latin-1 table per year: labelled places, month columns, a total."""
-    lines = shipped(spark, sf_dir).filter(F.col("l_returnflag") == flag)
+def wide_files(
+    spark: SparkSession, sf_dir: str, flags: Sequence[str], respelled: bool = False
+) -> dict[str, list[str]]:
+    """Write one wide ``;`` Latin-1 table per flag and year: labelled places, month columns, a total.
+
+    With ``respelled`` the labels of even years are in capitals: to the ingest they are other places.
+    """
     months = [
         F.nullif(F.count_if(F.col("month_number") == i + 1), F.lit(0)).alias(m)
         for i, m in enumerate(MONTHS_PT)
     ]
-    counts = lines.groupBy(PLACE, "year").agg(*months, F.count("*").alias("Total"))
-    names = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias(PLACE),
-        F.concat((F.col("s_suppkey") + 110000).cast("string"), F.lit(" "), "s_name").alias("Município"),
-    )
-    wide = stage(counts.join(names, PLACE), "wide")
-    first, last = wide.agg(F.min("year"), F.max("year")).first()
-
-    def write_year(year: int) -> str:
+    lines = shipped(spark, sf_dir).filter(F.col("l_returnflag").isin(*flags))
+    counts = lines.groupBy("l_returnflag", PLACE, "year").agg(*months, F.count("*").alias("Total"))
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(PLACE), "s_name")
+    name = F.when(F.lit(respelled) & (F.col("year") % 2 == 0), F.upper("s_name")).otherwise(F.col("s_name"))
+    place = F.concat((F.col(PLACE) + 110000).cast("string"), F.lit(" "), name)
+    path = scratch_path(spark, "wide")
+    write_partitioned(
+        counts.join(names, PLACE).withColumn("Município", place).drop(PLACE, "s_name"), path, ["l_returnflag", "year"]
+    )
+    wide = spark.read.parquet(path)
+    found = wide.select("l_returnflag", "year").distinct().collect()
+
+    def write_file(flag: str, year: int) -> str:
         headed = [F.col(m).alias(f"{year}/{m.title()}") for m in MONTHS_PT]
-        one_year = wide.filter(F.col("year") == year).select("Município", *headed, "Total")
-        path = scratch_path(spark, f"wide-{year}")
-        one_year.write.csv(path, sep=";", header=True, encoding="ISO-8859-1", nullValue="-")
-        return path
+        chosen = wide.filter((F.col("l_returnflag") == flag) & (F.col("year") == year))
+        file = scratch_path(spark, f"wide-{flag}-{year}")
+        chosen.select("Município", *headed, "Total").write.csv(
+            file, sep=";", header=True, encoding="ISO-8859-1", nullValue="-"
+        )
+        return file
 
     with ThreadPoolExecutor(8) as pool:
-        return list(pool.map(write_year, range(first, last + 1)))
+        files = list(pool.map(lambda r: write_file(*r), found))
+    return {f: [p for r, p in sorted(zip(found, files, strict=True)) if r[0] == f] for f in flags}
 
 
 def series_from_files(spark, sf_dir):
-    tables = read_files(spark, wide_files(spark, sf_dir, "N"))
-    long = ingest.series_long(tables, "vop", place=PLACE)
-    return long.withColumn("vacc_vop", F.col("vacc_vop").cast("bigint"))
+    """The three series from their files, one below the other."""
+    files = wide_files(spark, sf_dir, list(SERIES.values()))
+    tables = [
+        ingest.ingest_series(spark, "dose", files[flag], place=PLACE).withColumn("series", F.lit(name))
+        for name, flag in SERIES.items()
+    ]
+    long = reduce(DataFrame.unionByName, tables)
+    return long.withColumn("vacc_dose", F.col("vacc_dose").cast("bigint"))
+
+
+def ingested_series(spark, sf_dir):
+    """The whole ingest: every series from its files to its stored table."""
+    files = wide_files(spark, sf_dir, list(SERIES.values()))
+    output = scratch_path(spark, "ingested")
+    series = {name: files[flag] for name, flag in SERIES.items()}
+    ingest.ingest_all(spark, series, output, place=PLACE)
+    tables = [
+        spark.read.parquet(f"{output}/{name}.parquet").select(
+            F.lit(name).alias("series"), PLACE, "year", "month", F.col(f"vacc_{name}").cast("bigint").alias("doses")
+        )
+        for name in SERIES
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def respelled_base(spark, sf_dir):
+    """Two series from files that spell places two ways, folded: each spelling is a place, codes repeat."""
+    files = wide_files(spark, sf_dir, ["A", "N"], respelled=True)
+    series = [
+        ingest.ingest_series(spark, name, files[flag], place=PLACE) for name, flag in (("vip_3_dose", "A"), ("vop_3_dose", "N"))
+    ]
+    folded = monthly_base(series, after=AFTER, place=PLACE)
+    return folded.withColumns({c: F.col(c).cast("bigint") for c in ("vacc_vip_3_dose", "vacc_vop_3_dose")})
+
+
+def respelled_panel(spark, sf_dir):
+    """The panel on such a base. Running doses have no defined order within a repeated month and are left out."""
+    months = respelled_base(spark, sf_dir).withColumn(PLACE, F.col(PLACE) - 110000)
+    return panel(spark, sf_dir, months=months).drop("vacc_accum", "cob_accum")
 
 
 def annual_from_wide(spark, sf_dir):
@@ -256,35 +324,40 @@ def denominator_from_wide(spark, sf_dir):
 
 
 def preamble_file(spark, sf_dir):
-    """Orders per nation and year as one file with a preamble and a footnote, read back.
+    """Orders per customer segment and year as two files with a preamble and footnotes, read back.
 
-    The file has one line per nation, so a single task can write it.
+    A file is written by one task; each holds a row per segment and nation of its half.
     """
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
-    first, last = orders.agg(F.min("year"), F.max("year")).first()
     per_customer = orders.groupBy("o_custkey", "year").agg(F.count("*").alias("n"))
+    bounds = stage(per_customer, "per-customer")
+    first, last = bounds.agg(F.min("year"), F.max("year")).first()
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")
     )
+    years = [str(y) for y in range(first, last + 1)]
     cells = [
         F.coalesce(F.sum(F.when(F.col("year") == y, F.col("n"))).cast("string"), F.lit("-")).alias(str(y))
         for y in range(first, last + 1)
     ]
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    summed = per_customer.join(customers, "o_custkey").groupBy("n_nationkey").agg(*cells)
-    wide = stage(summed.join(nations, "n_nationkey"), "nations")
-    label = F.concat((F.col("n_nationkey") + 110000).cast("string"), F.lit(" "), "n_name")
-    body = wide.select(
-        (F.col("n_nationkey") + 100).alias("at"),
-        F.concat_ws(";", label, *[str(y) for y in range(first, last + 1)]).alias("value"),
-    )
-    header = ";".join(["Município", *map(str, range(first, last + 1))])
+    summed = bounds.join(customers, "o_custkey").groupBy("n_nationkey").agg(*cells)
+    # A name with the separator in it, in quotes.
+    label = F.concat(F.lit('"'), (F.col("n_nationkey") + 110000).cast("string"), F.lit("; "), "n_name", F.lit('"'))
+    body = summed.join(nations, "n_nationkey").select(
+        (F.col("n_nationkey") % 2).cast("int").alias("file"),
+        (F.col("n_nationkey") + 100).cast("bigint").alias("at"),
+        F.concat_ws(";", label, *years).alias("value"),
+    )
+    header = ";".join(['"Município"', *years])
     top = ["Residents", "Source: a; b", "", '"', "-", header]
-    frame = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in top])).alias("at", "value"))
-    note = spark.range(1).select(F.lit(2**31 - 1).alias("at"), F.lit("Total;1").alias("value"))
+    frame = [(f, i, t) for f in (0, 1) for i, t in enumerate(top)]
+    frame += [(f, 2**31 + i, t) for f in (0, 1) for i, t in enumerate(("Total;1", "Source: 2001 census"))]
+    lines = body.unionByName(spark.createDataFrame(frame, "file int, at bigint, value string"))
     path = scratch_path(spark, "preamble")
-    frame.union(body).union(note).orderBy("at").select("value").coalesce(1).write.text(path)
-    table_rows = read_with_preamble(spark, path, len(top) - 1, wide.count(), encoding="UTF-8")
+    ordered_lines = lines.repartition("file").sortWithinPartitions("file", "at")
+    ordered_lines.select("value", "file").write.partitionBy("file").text(path)
+    table_rows = read_with_preamble(spark, path, len(top) - 1, encoding="UTF-8")
     long = ingest.denominator_long(table_rows, place="nation")
     return long.withColumn("pop", F.col("pop").cast("bigint"))
 
@@ -304,7 +377,7 @@ def annual_european(spark, sf_dir):
 
 def handoff_csv(spark, sf_dir):
     path = scratch_path(spark, "handoff")
-    write_csv(base(spark, sf_dir), path)
+    write_csv(months_wide(spark, sf_dir), path)
     schema = f"{PLACE} bigint, year int, month string, " + ", ".join(f"{n} bigint" for n in SERIES)
     return read_handoff(spark, path, schema + ", month_number int")
 
@@ -394,7 +467,7 @@ def text_scalars(spark, sf_dir):
         extract_first(text, "[a-zA-Z]+").alias("first_word"),
         F.md5(remove_first(text, "/")).alias("without_slash"),
         F.length(F.lower(text)).alias("lower_length"),
-        to_number(extract_first(text, "[0-9]{1,9}")).alias("number"),
+        to_number(extract_first(text, "[0-9]+")).alias("number"),
     )
 
 
@@ -470,12 +543,12 @@ def european_text(spark, sf_dir):
 
 
 def natural_full_fold(spark, sf_dir):
-    series = [one_series(spark, sf_dir, n) for n in SERIES]
+    series = [one_series(spark, sf_dir, n, recent=True) for n in SERIES]
     return monthly_base(series, after=AFTER, place=PLACE)
 
 
 def fold_by_joins(spark, sf_dir):
-    series = [one_series(spark, sf_dir, n) for n in SERIES]
+    series = [one_series(spark, sf_dir, n, recent=True) for n in SERIES]
     return monthly_base(series, after=AFTER, place=PLACE, duplicates="join")
 
 
@@ -503,28 +576,36 @@ def calendar(spark, sf_dir):
 
 
 def series_pivot(spark, sf_dir):
-    """The three series of the base, one below the other, missing cells kept."""
-    wide = base(spark, sf_dir).drop("month")
+    """The three series, one below the other, missing cells kept."""
+    wide = months_wide(spark, sf_dir).drop("month")
     return pivot_longer(wide, [PLACE, "year", "month_number"], "series", "doses", "bigint")
 
 
 def densify_grid(spark, sf_dir):
-    dated = one_series(spark, sf_dir, "vacc_vop_3_dose").select(
-        PLACE, F.concat(F.col("year").cast("string"), "month").alias("date"), "vacc_vop_3_dose"
-    )
-    dated = stage(dated, "cells")
+    """Every place and month of each series, missing where it has no lines."""
+    lines = shipped(spark, sf_dir)
+    counts = lines.groupBy("l_returnflag", PLACE, "year", "month_number").agg(F.count("*").alias("doses"))
+    date = F.concat(F.col("year").cast("string"), month_name(F.col("month_number"))).alias("date")
+    dated = stage(counts.select("l_returnflag", PLACE, date, "doses"), "cells")
     levels = dated.agg(F.collect_set("date").alias("dates")).scalar()
-    return fill_grid(dated, [PLACE], "date", levels, "vacc_vop_3_dose")
+    return fill_grid(dated, ["l_returnflag", PLACE], "date", levels, "doses")
+
+
+def arranged_places(spark, sf_dir):
+    """Places by their covariate, unknown ones last."""
+    return arrange(attributes(spark, sf_dir), "win", "share", PLACE)
 
 
 def year_nation_grid(spark, sf_dir):
     """Every year and nation with its number of orders, zero included."""
     orders = table(spark, sf_dir, "orders")
-    bounds = {f: orders.agg(f(F.year("o_orderdate")).alias("y")).scalar() for f in (F.min, F.max)}
-    states = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    grid = expand_years(states, bounds[F.min], bounds[F.max])
-    # Counted per customer first, so that a hot customer reaches the join as a few rows.
+    # Counted per customer first, so that a hot customer reaches the join as a few rows; the one
+    # scan of the orders also gives the range of years.
     counts = orders.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    counts = stage(counts, "counts")
+    first, last = counts.agg(F.min("year"), F.max("year")).first()
+    states = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    grid = expand_years(states, first, last)
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     per_state = (
         counts.join(customers, F.col("o_custkey") == F.col("c_custkey"))
@@ -564,6 +645,16 @@ def reconcile_unit(spark, sf_dir):
     )
 
 
+def reconcile_labels(spark, sf_dir):
+    """An annual source with two labels that hold no code: their missing place repeats in each year."""
+    counts = stage(annual(spark, sf_dir), "annual")
+    totals = counts.groupBy("year").agg(F.sum("vacc_cob_polio").alias("vacc_cob_polio"))
+    other = totals.select("year", F.lit(None).cast("bigint").alias(PLACE), "vacc_cob_polio")
+    unknown = other.withColumn("vacc_cob_polio", F.lit(0).cast("bigint"))
+    second = counts.unionByName(other).unionByName(unknown)
+    return reconcile.reconcile(base(spark, sf_dir), second, ["year", PLACE])
+
+
 # The annual totals of a place grow with its lines, not with the table.
 Y_LIMITS = (0.0, 0.09)
 
@@ -578,7 +669,8 @@ def source_correlation(spark, sf_dir):
 
 
 def correlation_p_value(spark, sf_dir):
-    return correlation(*_moments(spark, sf_dir)).select("n", "r", "p")
+    c = correlation(*_moments(spark, sf_dir))
+    return c.select("n", F.round("r", 6).alias("r"), F.round("p", 9).alias("p"))
 
 
 def band(spark, sf_dir):
@@ -587,7 +679,8 @@ def band(spark, sf_dir):
 
 
 def band_limits(spark, sf_dir):
-    return regression_band(*_moments(spark, sf_dir))
+    b = regression_band(*_moments(spark, sf_dir))
+    return b.select("step", *[F.round(v, 6).alias(v) for v in ("x", "fit", "se", "lower", "upper")])
 
 
 def summary_stats(spark, sf_dir):
@@ -673,6 +766,9 @@ def coverage_event_window(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "series_long": series_from_files,
+    "ingest_all": ingested_series,
+    "respelled_fold": respelled_base,
+    "respelled_panel": respelled_panel,
     "annual_long": annual_from_wide,
     "denominator_long": denominator_from_wide,
     "preamble_file": preamble_file,
@@ -699,6 +795,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_key_full_join": null_key_full_join,
     "order_lines_full_join": order_lines_full,
     "calendar_index": calendar,
+    "arranged_places": arranged_places,
     "densify_grid": densify_grid,
     "year_state_grid": year_nation_grid,
     "births_grid": births_grid,
@@ -707,9 +804,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_sum_by_unit_year": prefix_sum_by_unit_year,
     "reconcile_national": reconcile_national,
     "reconcile_unit": reconcile_unit,
+    "reconcile_labels": reconcile_labels,
     "place_attributes": attributes,
     "panel": panel,
     "panel_by_joins": panel_by_joins,
+    "panel_from_series": panel_from_series,
     "running_sum_na": running_sum_na,
     "event_fanout": event_fanout,
     "event_collapse": event_collapse,

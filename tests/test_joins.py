@@ -87,7 +87,7 @@ def series(spark):
 
 def test_fold_equals_chained_joins(spark):
     want = [(1, "jan", 5, 6, None), (2, "fev", None, 7, None), (None, "jan", 1, None, 8)]
-    for how in ("raise", "join"):
+    for how in ("auto", "raise", "join"):
         assert rows(J.fold_full(series(spark), duplicates=how), "p", "m", "a", "b", "c") == want
 
 
@@ -95,11 +95,12 @@ def test_fold_fails_on_a_repeated_key_and_join_mode_multiplies(spark):
     a = pairs(spark, [(1, 2), (1, 3), (None, 4)], "a")
     b = pairs(spark, [(1, 5), (1, 6)], "b")
     with pytest.raises(PySparkException, match="repeats a key"):
-        J.fold_full([a, b]).select("k").collect()
-    got = J.fold_full([a, b], duplicates="join")
-    assert Counter(map(tuple, got.select("k", "a", "b").collect())) == brute_full(
-        [(1, 2), (1, 3), (None, 4)], [(1, 5), (1, 6)]
-    )
+        J.fold_full([a, b], duplicates="raise").select("k").collect()
+    for how in ("auto", "join"):
+        got = J.fold_full([a, b], duplicates=how)
+        assert Counter(map(tuple, got.select("k", "a", "b").collect())) == brute_full(
+            [(1, 2), (1, 3), (None, 4)], [(1, 5), (1, 6)]
+        )
 
 
 def test_fold_rejects_overlapping_columns(spark):
@@ -160,7 +161,51 @@ def test_events_too_many_to_broadcast_give_the_same_rows(spark, monkeypatch):
     assert Counter(((y, m), a, b) for y, m, a, b in want) == brute_full(left, right)
 
 
-def test_broadcast_only_below_the_row_limit(spark):
-    small = spark.range(10)
-    assert "ResolvedHint" in J.broadcast_checked(small, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in J.broadcast_checked(small, 9)._jdf.queryExecution().analyzed().toString()
+def test_broadcast_only_below_the_byte_limit(spark):
+    hinted = lambda df, n: "ResolvedHint" in J.broadcast_checked(df, n)._jdf.queryExecution().analyzed().toString()
+    assert hinted(spark.range(10), 80) and not hinted(spark.range(10), 79)
+    text = spark.range(10).selectExpr("repeat('x', 1000) as t", "array(id) as a")
+    assert hinted(text, 20_000) and not hinted(text, 10_000)
+
+
+def shuffles(df):
+    """Exchanges and reused exchanges of the plan that ran, broadcasts off."""
+    df.write.format("noop").mode("overwrite").save()
+    final = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    plan = final.toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in x and "Reused" not in x for x in plan.splitlines()), plan
+
+
+def test_full_join_shuffles_each_side_once(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    left = session.range(0, 1000).selectExpr("if(id % 7 = 0, null, id % 300) as k", "id as a")
+    right = session.range(0, 900).selectExpr("if(id % 5 = 0, null, id % 400) as k", "id as b")
+    joined = J.full_join(left, right)
+    count, plan = shuffles(joined)
+    assert count <= 4 and plan.count("ReusedExchange") >= 2
+    lk = [(r.k, r.a) for r in left.collect()]
+    rk = [(r.k, r.b) for r in right.collect()]
+    got = Counter((k, a, b) for k, a, b in joined.select("k", "a", "b").collect())
+    assert got == brute_full(lk, rk)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "boolean", "decimal(9,2)", "binary", "timestamp", "array<int>"])
+def test_null_keys_match_in_every_type(spark, kind):
+    value = {"date": "date '1970-01-01'", "timestamp": "timestamp '1970-01-01'", "boolean": "false", "array<int>": "array(0)"}.get(kind, "'0'")
+    left = spark.sql(f"select cast({value} as {kind}) as k, 1 as a union all select null, 2")
+    right = spark.sql(f"select cast({value} as {kind}) as k, 3 as b union all select null, 4")
+    assert sorted((r.a, r.b) for r in J.full_join(left, right).collect()) == [(1, 3), (2, 4)]
+
+
+def test_repeated_keys_fan_out_by_default(spark):
+    a = spark.createDataFrame([(1, 1), (1, 2), (None, 3)], "k int, a int")
+    b = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (None, 8)], "k int, b int")
+    assert rows(J.fold_full([a, b]), "k", "a", "b") == [
+        (1, 1, 5), (1, 1, 6), (1, 2, 5), (1, 2, 6), (2, None, 7), (None, 3, 8),
+    ]
+    with pytest.raises(Exception, match="repeats a key"):
+        J.fold_full([a, b], duplicates="raise").collect()

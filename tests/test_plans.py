@@ -57,7 +57,7 @@ def test_monthly_base(spark):
     ]
 
 
-@pytest.mark.parametrize("duplicates", ["raise", "join"])
+@pytest.mark.parametrize("duplicates", ["auto", "raise", "join"])
 def test_panel_rows_and_values(spark, duplicates):
     panel = build(spark, event_mode="collapse", duplicates=duplicates)
     got = rows(panel, PLACE, "year", "month_number", "time", "pop", "vacc_total", "vacc_accum", "goal_accum", "share", "n_events", "flag_70", "flag_60")
@@ -89,8 +89,8 @@ def test_repeated_place_and_month_needs_join_mode(spark):
     base = P.monthly_base(series(spark))
     doubled = population(spark).union(population(spark).filter("cod_mun = 1 and year = 2016"))
     with pytest.raises(PySparkException, match="repeats a key"):
-        P.build_panel(base, doubled, attributes(spark), events(spark)).collect()
-    panel = P.build_panel(base, doubled, attributes(spark), events(spark), event_mode="collapse", duplicates="join")
+        P.build_panel(base, doubled, attributes(spark), events(spark), duplicates="raise").collect()
+    panel = P.build_panel(base, doubled, attributes(spark), events(spark), event_mode="collapse")
     of_one = panel.filter("cod_mun = 1 and year = 2016")
     assert rows(of_one, "month_number") == [(1,), (1,), (2,), (2,), (3,), (3,)]
     # January's two copies accumulate one after the other; February is missing.
@@ -101,7 +101,9 @@ def test_repeated_month_in_the_base_fails(spark):
     base = P.monthly_base(series(spark))
     doubled = base.union(base.filter("month = 'mar'"))
     with pytest.raises(PySparkException, match="repeats a month"):
-        P.build_panel(doubled, population(spark), attributes(spark), events(spark)).collect()
+        P.build_panel(doubled, population(spark), attributes(spark), events(spark), duplicates="raise").collect()
+    panel = P.build_panel(doubled, population(spark), attributes(spark), events(spark), event_mode="collapse")
+    assert panel.count() == build(spark, event_mode="collapse").count() + base.filter("month = 'mar'").count()
 
 
 def test_national_series(spark):
@@ -152,7 +154,7 @@ def test_event_marks_and_window(spark):
     assert rows(C.percent(spark.createDataFrame([(0.5,)], "x double"), "x")) == [(50.0,)]
 
 
-@pytest.mark.parametrize("duplicates", ["raise", "join"])
+@pytest.mark.parametrize("duplicates", ["auto", "raise", "join"])
 def test_reconciliation_keeps_both_sides(spark, duplicates):
     base = P.monthly_base(series(spark))
     annual = spark.createDataFrame([(2016, 1, 50.0), (2016, None, 70.0), (2015, 1, 0.0)], "year int, cod_mun int, vacc_cob_polio double")

@@ -7,6 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from panelloom import workload
+from panelloom.oracle import ORACLE
+from panelloom.workload import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -50,8 +53,11 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-def test_only_special_functions_lack_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == {
-        "correlation_p_value",
-        "regression_band_limits",
-    }
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
+
+
+def test_dates_reach_the_scan(spark):
+    fold = workload.one_series(spark, FOLDER, "vacc_vip_3_dose", recent=True)
+    scans = [x for x in fold._jdf.queryExecution().executedPlan().toString().splitlines() if "PushedFilters" in x]
+    assert scans and all("GreaterThanOrEqual(l_shipdate" in x for x in scans)

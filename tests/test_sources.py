@@ -191,3 +191,70 @@ def test_staged_tables_can_be_cleared(spark):
     assert os.path.isdir(folder)
     K.clear_staged(spark)
     assert not os.path.exists(folder)
+
+
+def test_preamble_in_every_file_and_quoted_header(spark, tmp_path):
+    head = PREAMBLE + '"Município; name";"2016"\n'
+    put(tmp_path / "pop", "a.csv", head + '"110001; ALTA";1\n110002 BAIXA;2\nTotal;3\nFonte: 2016 x;\n')
+    put(tmp_path / "pop", "b.csv", head + "110003 C;3\n110004 D;4\nTotal;7\n")
+    raw = D.read_with_preamble(spark, str(tmp_path / "pop"), skip=5)
+    assert raw.columns == ["Município; name", "2016"]
+    assert sorted(r[0] for r in raw.collect()) == [
+        "110001; ALTA", "110002 BAIXA", "110003 C", "110004 D", "Fonte: 2016 x", "Total", "Total",
+    ]
+    capped = D.read_with_preamble(spark, str(tmp_path / "pop"), skip=5, n_max=1)
+    assert sorted(r[1] for r in capped.collect()) == ["1", "3"]
+    assert D.numbered_lines(spark, str(tmp_path / "pop")).agg(F.max("line_number")).first()[0] == 10
+    long = ingest.ingest_denominator(spark, str(tmp_path / "pop"), label="municipio_name")
+    assert rows(long, "cod_mun", "pop") == [(110001, 1.0), (110002, 2.0), (110003, 3.0), (110004, 4.0)]
+    put(tmp_path / "pop", "c.csv", PREAMBLE + "Other;2016\n110005 E;5\n")
+    with pytest.raises(ValueError, match="2 different headers"):
+        D.read_with_preamble(spark, str(tmp_path / "pop"), skip=5)
+
+
+def test_more_places_than_any_cap(spark, tmp_path):
+    body = "".join(f"{110000 + i} P;{i}\n" for i in range(6000))
+    path = put(tmp_path, "pop.csv", PREAMBLE + "Município;2016\n" + body + "Total;9\nFonte;9\n")
+    long = ingest.ingest_denominator(spark, path)
+    assert long.agg(F.count("*"), F.countDistinct("cod_mun")).first()[:] == (6000, 6000)
+
+
+def test_separator_with_quotes_and_ragged_lines(spark, tmp_path):
+    assert D.guess_separator(spark, put(tmp_path, "q.csv", 'id|name\n1|"x|y"\n2|z\n')) == "|"
+    ragged = "id;share\n" + "".join(f"{i};0,{i}\n" for i in range(20)) + "note\n"
+    assert D.guess_separator(spark, put(tmp_path, "r.csv", ragged)) == ";"
+    for text in ("name\nx\n", "a;b\nx\ny\nz\n", ""):
+        with pytest.raises(ValueError, match="no separator"):
+            D.guess_separator(spark, put(tmp_path, "none.csv", text))
+
+
+def test_names_without_a_match_give_missing_values(spark, tmp_path):
+    put(tmp_path / "births", "DNAC2010.csv", "a\n1\n")
+    put(tmp_path / "births", "extra.csv", "a\n2\n")
+    assert rows(D.read_named_files(spark, str(tmp_path / "births"), "a int")) == [(1, "AC", "2010"), (2, None, None)]
+    put(tmp_path / "blank", "x_2011.csv", "l,1\n1 - A,5\n")
+    put(tmp_path / "blank", "extra.csv", "l,1\n2 - B,6\n")
+    assert rows(D.read_blank_header(spark, str(tmp_path / "blank"), 1)) == [("1 - A", 5, 2011), ("2 - B", 6, None)]
+
+
+def test_repeated_label_multiplies_by_default(spark, tmp_path):
+    put(tmp_path / "s", "a.csv", "Município;2016/Jan\n110001 ALTA;5\n110001 ALTA;6\n")
+    put(tmp_path / "s", "b.csv", "Município;2017/Jan\n110001 ALTA;7\n")
+    long = ingest.ingest_series(spark, "x", str(tmp_path / "s"))
+    assert rows(long, "year", "vacc_x") == [(2016, 5.0), (2016, 6.0), (2017, 7.0), (2017, 7.0)]
+    with pytest.raises(ValueError, match="repeats a place label"):
+        ingest.ingest_series(spark, "x", str(tmp_path / "s"), duplicates="raise")
+
+
+def test_many_files_need_no_wide_aggregate(spark):
+    months = ["jan", "fev", "mar"]
+    tables = [
+        spark.createDataFrame([(f"{110000 + p} X", *[str(p)] * 3, "9") for p in range(i, i + 4)],
+                              "`município` string, " + ", ".join(f"`{2000 + i}/{m}` string" for m in months) + ", Total string")
+        for i in range(18)
+    ]
+    long = ingest.series_long(tables, "x")
+    assert long.count() == 21 * 18 * 3 and long.filter("vacc_x is not null").count() == 18 * 4 * 3
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    widest = max((line.count("(") for line in plan.splitlines() if "Aggregate" in line), default=0)
+    assert widest < 20

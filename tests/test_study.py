@@ -21,7 +21,7 @@ def write_inputs(root):
     put(cv, "national.csv", "Ano;Doses;Total\n2015;1;1\n2016;180,0;1\n2021;1.800,0;1\nTotal;1;1\n")
     put(cv, "places.csv", "Município;2016;2021;Total\n110001 ALTA;60;61;1\n110002 SÃO JOÃO;120;118;1\nTotal;180;179;1\n")
     lines = [f"{p};{120 * k};{240 * k}" for p, k in PLACES.items()]
-    put(root, "population.csv", PREAMBLE + "Município;2016;2021\n" + "\n".join(lines) + "\nFonte\n")
+    put(root, "population.csv", PREAMBLE + "Município;2016;2021\n" + "\n".join(lines) + "\nTotal;1;1\nFonte\n")
     put(root, "votes.csv", "id_municipio;perc_bolso;win_bolso\n1100015;0.71;1\n1100023;0.3;0\n")
     put(root, "events.csv", "year,month_number,event_date\n2021,6,2021-06-09\n2021,6,2021-06-17\n")
 
@@ -30,7 +30,7 @@ def write_inputs(root):
 def tables(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("input")
     write_inputs(root)
-    return run(spark, str(root), str(tmp_path_factory.mktemp("output")), Settings(n_max=2))
+    return run(spark, str(root), str(tmp_path_factory.mktemp("output")), Settings())
 
 
 def test_panel(tables):
