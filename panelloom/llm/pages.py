@@ -262,7 +262,7 @@ def extract(
     choice = light.join(
         beside, (light["rank"] == beside["rank"]) & (light["host"] == beside["other_host"]), "left"
     ).select("id", "mark", decide("hashes", "sizes", "kinds", "others").alias("gone"))
-    choice = stored(choice, "pages-choice")
+    choice = stored(choice, "pages-choice").hint("merge")  # a row for each page: never a broadcast
     kept = F.filter("p.lines", lambda x, i: ~F.get(F.col("gone"), i))
     text = F.array_join(kept, "\n")
     found = parsed.join(choice, ["id", "mark"]).select("page_id", "url", text.alias("text"))
