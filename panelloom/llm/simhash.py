@@ -229,7 +229,8 @@ def keep_first(
     found = simhash_components(named, key, text, shingle, distance, seed)
     kept = found.where(F.col(key) == F.col("component_id"))
     kept = stored(kept.groupBy(key).agg(F.count("*").alias(rows)), "simhash-kept")
-    mine = named.join(kept, key)
+    # As many ids as documents: never a broadcast, however small the corpus.
+    mine = named.join(kept.hint("merge"), key)
     once = mine.where(F.col(rows) == 1).select(*docs.columns)
     again = mine.where(F.col(rows) > 1).dropDuplicates([key]).select(*docs.columns)
     return once.unionByName(again)
