@@ -328,7 +328,7 @@ from shipped where "year" > {AFTER} group by "year" """,
     "date_limits": f"""with {BASE} select unit, vacc_vop_3_dose, make_date("year", month_number, 1) as "date"
   from base where make_date("year", month_number, 1) between date '{WINDOW[0]}' and date '{WINDOW[1]}'""",
     "european_text": "select o_orderkey, round(o_totalprice, 2) as price from orders",
-    "monthly_base": f"with {BASE} select * from base",
+    "months_in_one_pass": f"with {BASE} select * from base",
     "natural_full_fold": _FOLD,
     "fold_by_joins": _FOLD,
     "null_key_full_join": """with l as (

@@ -15,7 +15,7 @@ from panelloom.plans import coverage, ingest
 from panelloom.plans.panel import build_panel, monthly_base
 from panelloom.plans.reconcile import reconcile
 from panelloom.sources.delimited import read_detected, read_european, read_events
-from panelloom.sources.sinks import write_partitioned, write_table
+from panelloom.sources.sinks import scratch_scope, write_partitioned, write_table
 
 
 @dataclass(frozen=True)
@@ -81,9 +81,14 @@ def run(
     """Write every table of the analysis below ``output`` and return them.
 
     Each stage reads the stored tables of the stages before it, so the raw files are
-    parsed once and the panel is computed once for all the series drawn from it.
+    parsed once and the panel is computed once for all the series drawn from it. What is staged in between
+    is deleted at the end.
     """
-    s = settings or Settings()
+    with scratch_scope(spark):
+        return _run(spark, root, output, settings or Settings())
+
+
+def _run(spark: SparkSession, root: str, output: str, s: Settings) -> dict[str, DataFrame]:
     tables: dict[str, DataFrame] = {}
 
     def put(name: str, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

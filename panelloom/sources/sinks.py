@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,27 @@ def _session_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark).rstrip('/')}/panelloom/{spark.sparkContext.applicationId}"
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block when it ends."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -50,8 +70,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete this session's staged tables; DataFrames read from them end with it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(_session_folder(spark))
+    _delete(spark, _session_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -789,7 +789,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "complete_cases": complete_case_counts,
     "date_limits": date_limits,
     "european_text": european_text,
-    "monthly_base": base,
+    "months_in_one_pass": base,
     "natural_full_fold": natural_full_fold,
     "fold_by_joins": fold_by_joins,
     "null_key_full_join": null_key_full_join,

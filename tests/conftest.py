@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from panelloom.sources.sinks import clear_staged
+
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     builder = (
         SparkSession.builder.master("local[8]")
         .appName("panelloom-tests")
@@ -12,10 +14,12 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("staged")))
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_staged(session)
     session.stop()
 
 
