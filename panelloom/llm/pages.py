@@ -26,7 +26,8 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
-NAME_PART = re.compile(r"[a-z0-9]+")
+NAME = re.compile(r"[A-Za-z0-9]+")
+NAME_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,11 +41,11 @@ INLINE = set(
     "small span strike strong sub sup time tt u var wbr br img td th".split()
 )
 BOILERPLATE = set(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr notice notices popup modal overlay sidebar nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer masthead toolbar comment comments respond disqus reply replies "
-    "share sharing social related recommended newsletter subscribe subscription signup login "
-    "pagination pager widget copyright".split()
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion "
+    "cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay sidebar rail nav navbar "
+    "navigation menu menus breadcrumb breadcrumbs footer footers masthead topbar toolbar comment comments "
+    "commentlist discussion respond disqus reply replies share sharing social related recommended newsletter "
+    "subscribe subscription signup login pagination pager widget widgets copyright".split()
 )
 ROLES = set(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split()
@@ -58,45 +59,68 @@ MARKED, PLAIN, ARTICLE = 0, 1, 2  # kinds of lines
 COPY = 0.8  # neighbours that share this much of their plain text are copies of one page
 
 
+def _names(value: str) -> set[str]:
+    """The words that class names, ids and element names are made of: ``adBanner``, ``side-bar``, ``sideBar``."""
+    whole = NAME.findall(value)
+    return {x.lower() for w in whole for x in (w, *NAME_PART.findall(w))}
+
+
 def _marked(name: str, attributes: str, inside: bool) -> bool:
-    if name in DROPPED or name == "header" and not inside:
+    if name in DROPPED or name == "header" and not inside or "-" in name and _names(name) & BOILERPLATE:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
     for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            parts = set(NAME_PART.findall(value))
+            parts = _names(value)
             if parts & BOILERPLATE or "header" in parts and not inside:
                 return True
         elif (
-            key == "role" and value in ROLES
+            key == "role" and value.lower() in ROLES
             or key == "hidden"
-            or key == "aria-hidden" and value == "true"
+            or key == "aria-hidden" and value.lower() == "true"
             or key == "style" and HIDDEN.search(value)
         ):
             return True
     return False
 
 
+OUTSIDE = (False, "", False)  # marked (or within such), article or main, marked by an inline element
+
+
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """(line, kind) of each block with text, in page order; kind MARKED for menus and the like.
 
     References are decoded, runs of white space become one space. Unclosed elements
-    end with the element around them. Of nested ``main`` and ``article`` the
-    article counts, if there is one.
+    end with the element around them. A marked element inside a line is a line of its own and does not
+    cut that line. Of nested ``main`` and ``article`` the article counts, if there is one.
     """
     page = page or ""
     found: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, bool, str]] = []  # name, marked (or within such), article or main
+    stack: list[tuple[str, bool, str, bool]] = []
     line: list[str] = []
-    marked, within = False, ""
+    inset: list[str] = []
+    marked, within, soft = OUTSIDE
+
+    def flush(pieces: list[str], kind: int) -> None:
+        if pieces:
+            if text := " ".join("".join(pieces).split()):
+                found.append((text, kind, within))
+            pieces.clear()
 
     def close() -> None:
-        if line:
-            if text := " ".join("".join(line).split()):
-                found.append((text, MARKED if marked else PLAIN, within))
-            line.clear()
+        flush(inset, MARKED)
+        flush(line, MARKED if marked and not soft else PLAIN)
+
+    def enter(state: tuple[bool, str, bool]) -> None:
+        nonlocal marked, within, soft
+        if state != (marked, within, soft):
+            if soft and not state[2]:
+                flush(inset, MARKED)
+            elif not state[2]:
+                close()
+            marked, within, soft = state
 
     at, end = 0, len(page)
     while at < end:
@@ -106,7 +130,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         if name is None:
             piece = token[0]
             if piece[0] != "<" or piece == "<":
-                line.append(html.unescape(piece) if "&" in piece else piece)
+                (inset if soft else line).append(html.unescape(piece) if "&" in piece else piece)
             continue
         name, closing = name.lower(), bool(token[1] or token[4])
         if name not in INLINE:
@@ -116,14 +140,12 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if depth >= 0 and not (name in INLINE and any(x[0] not in INLINE for x in stack[depth:])):
-                if stack[-1][1:] != (stack[depth - 1][1:] if depth else (False, "")):
-                    close()
                 del stack[depth:]
         else:
+            attributes = token[3] or token[6] or ""
             if name in RAW:
                 stop = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
-                at = stop.start() if stop else end
-                at = page.find(">", at) + 1 or end if stop else end
+                at = page.find(">", stop.start()) + 1 or end if stop else end
                 continue
             ends = CLOSES.get(name) or (set() if name in INLINE else {"p"})
             for i in range(len(stack) - 1, -1, -1):
@@ -132,16 +154,13 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                     break
                 if stack[i][0] not in INLINE and stack[i][0] not in ("p", "li", "dt", "dd", "td", "th"):
                     break
-            if name in VOID or (token[3] or token[6] or "").endswith("/"):
-                marked, within = stack[-1][1:] if stack else (False, "")
-                continue
-            before = stack[-1][1:] if stack else (False, "")
-            inner = "article" if name == "article" else before[1] or ("main" if name == "main" else "")
-            state = (before[0] or _marked(name, token[3] or token[6] or "", bool(before[1])), inner)
-            if state != before:
-                close()
-            stack.append((name, *state))
-        marked, within = stack[-1][1:] if stack else (False, "")
+            before = stack[-1][1:] if stack else OUTSIDE
+            if name not in VOID and not attributes.endswith("/"):
+                here = before[0] or _marked(name, attributes, bool(before[1]))
+                inner = "article" if name == "article" else before[1] or ("main" if name == "main" else "")
+                inline = name in INLINE and (before[2] or here and not before[0])
+                stack.append((name, here, inner, inline))
+        enter(stack[-1][1:] if stack else OUTSIDE)
     close()
     kind = {w for _, k, w in found if k == PLAIN}
     best = "article" if "article" in kind else "main" if "main" in kind else None

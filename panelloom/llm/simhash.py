@@ -195,11 +195,10 @@ def simhash_components(
     stay and share a component; a null doc_id keeps its row and counts in a
     component only if it has no other. Other columns of ``docs`` are not read.
     """
-    prints = stored(
-        with_fingerprint(docs.select(doc_id, text), text, "fp", shingle, seed).select(doc_id, "fp"),
-        "simhash",
-    )
-    least = stored(prints.groupBy("fp").agg(F.min(doc_id).alias("least")), "simhash-distinct")
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    prints = with_fingerprint(texts, "text", "fp", shingle, seed).select("doc", "fp")
+    prints = stored(prints, "simhash")
+    least = stored(prints.groupBy("fp").agg(F.min("doc").alias("least")), "simhash-distinct")
     links = stored(ball_links(least.select("fp"), distance), "simhash-links")
     roots = components(links).withColumnRenamed("node", "fp")
     placed = stored(
@@ -208,7 +207,7 @@ def simhash_components(
     )
     first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.join(first, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(doc_id, "fp", "component_id")
+    return prints.join(of, "fp").select(F.col("doc").alias(doc_id), "fp", "component_id")
 
 
 def keep_first(

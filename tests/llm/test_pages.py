@@ -47,6 +47,9 @@ def test_common_lines():
          [("h", MARKED), ("t", ARTICLE), ("b", ARTICLE), ("f", MARKED)]),
         ('<main>m<article>a<section id="comments"><p>c</section></article></main>',
          [("m", PLAIN), ("a", ARTICLE), ("c", MARKED)]),
+        ('<p>a <span class="adBanner">b</span> c</p><cookie-bar>d</cookie-bar>', [("b", MARKED), ("a c", PLAIN), ("d", MARKED)]),
+        ('<div>a <a class="share"><div>b</div></a> c', [("a", PLAIN), ("b", MARKED), ("c", PLAIN)]),
+        ('<div id="sideBar">x<p>y</div><p>z', [("x", MARKED), ("y", MARKED), ("z", PLAIN)]),
         ("<main><p>m</main>x", [("m", ARTICLE), ("x", PLAIN)]),
         ("<table><tr><td>1<td>2<tr><td>3</table>", [("1 2", PLAIN), ("3", PLAIN)]),
     ],
