@@ -6,10 +6,11 @@ import os
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from panelloom.llm.queries import QUERIES
+from panelloom.llm.queries import ORACLE, QUERIES
 from panelloom.llm.simhash import fingerprint
 from tests.llm.test_imatch import digits, slow_likeness, slow_print, term_hashes
 from tests.llm.test_katz import SlowKatz
@@ -51,6 +52,18 @@ def test_op1(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("name", ["op2_mixing", "op5_chat"])
+def test_sql(spark, name):
+    assert set(ORACLE) == {"op2_mixing", "op5_chat"}
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    cursor = con.execute(ORACLE[name])
+    names = [d[0] for d in cursor.description]
+    found = QUERIES[name](spark, FOLDER).select(*names).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, cursor.fetchall()))
+
+
 def test_op3(spark, docs):
     df = {}
     for d in docs:
