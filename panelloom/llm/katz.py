@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -42,10 +43,8 @@ def expand(data: bytes, kind: type) -> np.ndarray:
 
 
 def _numbers() -> defaultdict[bytes, int]:
-    """Gives each new word the next number."""
-    words: defaultdict[bytes, int] = defaultdict()
-    words.default_factory = words.__len__
-    return words
+    """Gives each new word the next number. (A counter, as a bound method of the dict would keep it alive.)"""
+    return defaultdict(count().__next__)
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
