@@ -45,7 +45,8 @@ def running_sum_blocked(
     into as many even blocks as its size needs, and stored with their block
     number. Totals per group and block combine map-side; a running sum over
     those few totals gives every block its opening balance, which enters the
-    block as one extra leading row. ``blocks`` defaults to the shuffle partitions.
+    block as one extra leading row. ``blocks`` defaults to the shuffle partitions; as for any
+    shuffle, set them so that a partition of the table fits a task.
     """
     blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(blocks, *nulls_last([*by, *order_by]))
