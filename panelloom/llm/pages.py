@@ -282,7 +282,13 @@ def extract(
         beside, (light["rank"] == beside["rank"]) & (light["host"] == beside["other_host"]), "left"
     ).select("id", "mark", decide("hashes", "sizes", "kinds", "others").alias("gone"))
     choice = stored(choice, "pages-choice").hint("merge")  # a row for each page: never a broadcast
-    kept = F.filter("p.lines", lambda x, i: ~F.get(F.col("gone"), i))
+    # Lines that the markup alone rules out do not travel; their places stay.
+    article = F.array_contains("p.kinds", ARTICLE)
+    kind = lambda i: F.get(F.col("p.kinds"), i)
+    out = lambda i: (kind(i) == MARKED) | article & (kind(i) != ARTICLE)
+    lines = F.transform("p.lines", lambda x, i: F.when(out(i), "").otherwise(x))
+    heavy = parsed.select("page_id", "url", "id", "mark", lines.alias("lines"))
+    kept = F.filter("lines", lambda x, i: ~F.get(F.col("gone"), i))
     text = F.array_join(kept, "\n")
-    found = parsed.join(choice, ["id", "mark"]).select("page_id", "url", text.alias("text"))
+    found = heavy.join(choice, ["id", "mark"]).select("page_id", "url", text.alias("text"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
