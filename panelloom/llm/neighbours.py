@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from panelloom.llm.common import stored
 
 PART_BYTES = 32 << 20  # vectors that a task holds at a time
+STEP = 7919  # between the parts of a crowded bucket's pieces
 IDS_TOGETHER = 100_000  # equal vectors whose ids meet in one group
 
 
@@ -237,22 +238,31 @@ def nearest(
     if crowded:
         pieces = F.create_map(*[F.lit(x) for pair in crowded.items() for x in pair])
         spread = F.coalesce(F.element_at(pieces, F.col("key")), F.lit(1))
-    piece = F.pmod(F.xxhash64("first"), spread).cast("int")
-    part = F.pmod(F.xxhash64("key", piece), F.lit(parts)).cast("int")
+    piece = F.pmod(F.xxhash64("first"), spread)
+    mixed = F.col("key").bitwiseXOR(F.shiftright("key", 32))
+    part = F.pmod(F.pmod(mixed, F.lit(parts)) + piece * STEP, F.lit(parts)).cast("int")
     entered = entered.withColumn("part", part)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [indexes[len(x)].visits(x / np.linalg.norm(x)).ravel() for x in batch["vector"]]
-            yield pd.DataFrame({"query": batch["query"], "vector": batch["vector"], "key": found})
-
-    visits = queries.mapInPandas(visit, "query long, vector array<double>, key array<long>")
-    visits = visits.select("query", "vector", F.explode("key").alias("key"))
-    visits = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), (spread - 1).cast("int"))))
-    visits = visits.withColumn("part", F.pmod(F.xxhash64("key", "piece"), F.lit(parts)).cast("int"))
-    visits = visits.groupBy("part", "query").agg(
-        F.first("vector").alias("vector"), F.collect_set("key").alias("keys")
-    )
+            for query, x in zip(batch["query"], batch["vector"], strict=True):
+                keys = np.unique(indexes[len(x)].visits(x / np.linalg.norm(x)))
+                cut = [(k, i) for k in keys.tolist() if k in crowded for i in range(1, crowded[k])]
+                more = np.array(cut, np.int64).reshape(-1, 2)
+                keys, piece = np.append(keys, more[:, 0]), np.append(np.zeros(len(keys), np.int64), more[:, 1])
+                part = (np.mod(keys ^ (keys >> 32), parts) + piece * STEP) % parts
+                order = np.argsort(part, kind="stable")
+                groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+                yield pd.DataFrame(
+                    {
+                        "part": [part[g[0]] for g in groups],
+                        "query": query,
+                        "vector": [x] * len(groups),
+                        "keys": [keys[g] for g in groups],
+                    }
+                )
+
+    visits = queries.mapInPandas(visit, "part int, query long, vector array<double>, keys array<long>")
 
     def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         of, own = rows["vector"].map(len), asked["vector"].map(len)

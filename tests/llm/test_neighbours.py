@@ -66,6 +66,16 @@ def test_ties_copies_and_unusable_rows(spark):
     assert [v for v, _ in found[0]] == [v for v, _ in best[0]]
 
 
+def test_crowded_buckets_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.array([3.0, 0, 0, 0]) + 0.05 * rng.standard_normal(4)).astype(np.float32).tolist()) for i in range(300)]
+    whole = run(spark, rows, k=5)
+    monkeypatch.setattr("panelloom.llm.neighbours.PART_BYTES", 8 * 4 * 40)  # 40 vectors
+    assert run(spark, rows, k=5) == whole
+    best = exact({i: np.array(x) for i, x in rows}, whole, 5)
+    assert all([v for v, _ in whole[q]] == [v for v, _ in best[q]] for q in whole)
+
+
 def test_few_rows(spark):
     found = run(spark, [(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 1.0]), (40, [1.0, 1.0, 1.0])])
     assert found == {0: [(2, 0.0), (1, -1.0)]}
