@@ -55,3 +55,15 @@ def test_run_agrees_with_its_stages(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 30 or doc_id = 160")
+    for name in ("found_language", "Simhash_ID", "simhash_rows", "mix_source", "mix_rate", "mix_copy", "size", "fp"):
+        docs = docs.selectExpr("*", f"doc_id as `{name}`")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert all(r.mix_rate == r.doc_id == r.Simhash_ID for r in out.collect())
+        assert stage(spark, docs.where("false"), folder).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 31
