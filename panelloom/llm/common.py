@@ -21,9 +21,10 @@ def put(df: DataFrame, name: str) -> str:
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")  # long texts
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")  # long texts
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # Unlike snappy's, its buffers are not direct memory, which large cells would blow up.
+    df.write.parquet(path, compression="zstd")
     return path
 
 

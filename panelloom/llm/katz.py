@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from panelloom.llm.common import put, stored, with_rank
 
 END = b"\n"  # no word contains it
-BLOCK_TOKENS = 1_000_000  # a block closes at so many tokens; one longer document is a block
+BLOCK_TOKENS = 600_000  # a block closes at so many tokens; one longer document is a block
 PART_TOKENS = 2_000_000  # tokens for each partition of the bigram table
 LEAST_HOT = 10_000  # tokens after one word that a partition takes at any rate
 DEEPEST = 5  # counts above it are trusted as they are
