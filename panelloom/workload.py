@@ -191,9 +191,10 @@ def panel(
     spark: SparkSession,
     sf_dir: str,
     event_mode: str = "parity",
-    duplicates: str = "auto",
+    duplicates: str = "raise",
     months: DataFrame | None = None,
 ) -> DataFrame:
+    """The panel; its inputs are aggregates by their keys, so one that repeats a key is an error."""
     return build_panel(
         stored_base(spark, sf_dir) if months is None else stage(months, "base"),
         population(spark, sf_dir),
@@ -295,7 +296,7 @@ def respelled_base(spark, sf_dir):
 def respelled_panel(spark, sf_dir):
     """The panel on such a base. Running doses have no defined order within a repeated month and are left out."""
     months = respelled_base(spark, sf_dir).withColumn(PLACE, F.col(PLACE) - 110000)
-    return panel(spark, sf_dir, months=months).drop("vacc_accum", "cob_accum")
+    return panel(spark, sf_dir, duplicates="auto", months=months).drop("vacc_accum", "cob_accum")
 
 
 def annual_from_wide(spark, sf_dir):
