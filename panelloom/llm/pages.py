@@ -2,9 +2,9 @@
 
 A page becomes a list of text lines, one for each block element. Pages of a host are ordered by
 path; each is aligned with the page before and after it by a longest common
-subsequence of lines, and shared lines are deleted. What the markup says comes first: scripts,
-menus, adverts and the like never give lines, and lines inside an article element are not deleted, since
-two articles may quote the same passage.
+subsequence of lines, and shared lines are deleted. Scripts, menus, adverts and the like, which the markup
+names, never give lines. An article element is evidence only: as two articles may quote the same passage, its
+shared lines go only where they frame the articles of both neighbours.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ CLOSES = {
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
 MARKED, PLAIN, ARTICLE = 0, 1, 2  # kinds of lines
-COPY = 0.8  # neighbours that share this much of their plain text are copies of one page
+COPY = 0.8  # pages that share this much of the longer one's unmarked text are copies of one page
 
 
 def _names(value: str) -> set[str]:
@@ -202,22 +202,49 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return found
 
 
-def deleted(
-    hashes: list[int], sizes: list[int], kinds: list[int], neighbours: list[list[int]]
-) -> list[bool]:
-    """Which lines go: marked ones, plain ones shared with a neighbour, and plain ones beside an article.
+Lines = tuple[list[int], list[int], list[int]]  # hashes, sizes and kinds of a page's lines
 
-    A neighbour with nearly the same plain text is a copy and tells nothing.
+
+def is_copy(page: Lines, other: Lines) -> bool:
+    """If the unmarked text that both share is nearly all of the longer one."""
+    (a, sizes, kinds), (b, other_sizes, other_kinds) = page, other
+    own = [i for i, k in enumerate(kinds) if k != MARKED]
+    least = COPY * max(
+        sum(sizes[i] for i in own), sum(n for n, k in zip(other_sizes, other_kinds, strict=True) if k != MARKED)
+    )
+    there = set(b)
+    if sum(sizes[i] for i in own if a[i] in there) < least:
+        return False
+    return sum(sizes[i] for i in common_lines(a, b) if kinds[i] != MARKED) >= least
+
+
+def _alike(a: list[int], b: list[int]) -> int:
+    """Length of the common beginning."""
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def deleted(page: Lines, neighbours: list[Lines]) -> list[bool]:
+    """Which lines go: marked ones, plain ones shared with a neighbour, and the frame inside an article.
+
+    A neighbour that is a copy tells nothing. A shared line of an article may be a quotation; it goes if it
+    belongs to lines that begin, or end, the article of both neighbours as well, which are no copies of each other.
     """
-    plain = sum(n for n, k in zip(sizes, kinds, strict=True) if k == PLAIN)
+    hashes, _, kinds = page
     gone = [k == MARKED for k in kinds]
-    if ARTICLE in kinds:
-        return [k != ARTICLE for k in kinds]
+    plain = {h for h, k in zip(hashes, kinds, strict=True) if k == PLAIN}
+    neighbours = [o for o in neighbours if not is_copy(page, o)]
     for other in neighbours:
-        shared = [i for i in common_lines(hashes, other) if kinds[i] == PLAIN]
-        if sum(sizes[i] for i in shared) < COPY * plain:
-            for i in shared:
-                gone[i] = True
+        if not plain.isdisjoint(other[0]):
+            for i in common_lines(hashes, other[0]):
+                gone[i] = gone[i] or kinds[i] == PLAIN
+    inner = [i for i, k in enumerate(kinds) if k == ARTICLE]
+    if inner and len(neighbours) == 2 and not is_copy(*neighbours):
+        own = [hashes[i] for i in inner]
+        others = [[h for h, k in zip(o[0], o[2], strict=True) if k == ARTICLE] for o in neighbours]
+        head = min(_alike(own, o) for o in others)
+        tail = min(_alike(own[::-1], o[::-1]) for o in others)
+        for i in inner[:head] + inner[len(inner) - tail :]:
+            gone[i] = True
     return gone
 
 
@@ -238,7 +265,8 @@ def _decide(
 ) -> Iterator[pa.Array]:
     for columns in batches:
         rows = zip(*(c.to_pylist() for c in columns), strict=True)
-        yield pa.array([deleted(h, s, k, o or []) for h, s, k, o in rows], pa.list_(pa.bool_()))
+        found = [deleted((h, s, k), [tuple(x.values()) for x in o or []]) for h, s, k, o in rows]
+        yield pa.array(found, pa.list_(pa.bool_()))
 
 
 def extract(
@@ -275,7 +303,7 @@ def extract(
     beside = light.select(
         F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)).alias("rank"),
         F.col("host").alias("other_host"),
-        F.col("hashes").alias("other"),
+        F.struct("hashes", "sizes", "kinds").alias("other"),
     )
     beside = beside.groupBy("rank", "other_host").agg(F.collect_list("other").alias("others"))
     choice = light.join(
@@ -283,9 +311,7 @@ def extract(
     ).select("id", "mark", decide("hashes", "sizes", "kinds", "others").alias("gone"))
     choice = stored(choice, "pages-choice").hint("merge")  # a row for each page: never a broadcast
     # Lines that the markup alone rules out do not travel; their places stay.
-    article = F.array_contains("p.kinds", ARTICLE)
-    kind = lambda i: F.get(F.col("p.kinds"), i)
-    out = lambda i: (kind(i) == MARKED) | article & (kind(i) != ARTICLE)
+    out = lambda i: F.get(F.col("p.kinds"), i) == MARKED
     lines = F.transform("p.lines", lambda x, i: F.when(out(i), "").otherwise(x))
     heavy = parsed.select("page_id", "url", "id", "mark", lines.alias("lines"))
     kept = F.filter("lines", lambda x, i: ~F.get(F.col("gone"), i))

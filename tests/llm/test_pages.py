@@ -87,3 +87,19 @@ def test_shared_lines_go(spark):
     assert text[105] == "no url" and text[None] == ""
     assert all(r.n_chars == len(r.text) for r in found)
     assert pages.extract(table.where("false")).count() == 0
+
+
+def test_articles_are_evidence_only(spark):
+    body = "<div>{0} real body, with much to read on it</div>"
+    card = "<article><p>Teaser {0}</p></article>"
+    framed = "<p>Top of the site</p><article><p>Share this story</p><p>Story {0}, told at some length</p><p>Thanks for reading</p></article>"
+    rows = [(i, f"http://card.example/{i}", f"<main>{body}{card}</main><p>Unmarked menu</p>".format(f"No {i}")) for i in range(4)]
+    rows += [(10 + i, f"http://framed.example/{i}", framed.format(f"number {i}" * 5)) for i in range(4)]
+    table = spark.createDataFrame([(*r, None, 1) for r in rows], SCHEMA)
+    text = {r.page_id: r.text for r in pages.extract(table).collect()}
+    for i in range(4):
+        assert text[i] == f"No {i} real body, with much to read on it\nTeaser No {i}"
+    for i in (1, 2):
+        assert text[10 + i] == f"Story {f'number {i}' * 5}, told at some length"
+    # With one neighbour, shared lines of an article may be quotations.
+    assert text[10] == f"Share this story\nStory {'number 0' * 5}, told at some length\nThanks for reading"
