@@ -1,7 +1,7 @@
 """Main text of web pages by differencing each page with its nearest neighbours in URL order.
 
 A page becomes a list of text lines, one for each block element. Pages of a host are ordered by
-path; each is aligned with the page before and after it by a longest common
+path; each is aligned with the nearest page before and after it that is no copy by a longest common
 subsequence of lines, and shared lines are deleted. Scripts, menus, adverts and the like, which the markup
 names, never give lines. An article element is evidence only: as two articles may quote the same passage, its
 shared lines go only where they frame the articles of both neighbours.
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import stored, with_rank
@@ -57,6 +57,8 @@ CLOSES = {
 }
 MARKED, PLAIN, ARTICLE = 0, 1, 2  # kinds of lines
 COPY = 0.8  # pages that share this much of the longer one's unmarked text are copies of one page
+BUCKETS = 1024  # that pages with the same lines are dealt to
+PIECE = 64  # pages of a run that ask for their neighbours together
 
 
 def _names(value: str) -> set[str]:
@@ -269,52 +271,104 @@ def _decide(
         yield pa.array(found, pa.list_(pa.bool_()))
 
 
+def _copies(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        yield pa.array([is_copy(tuple(a.values()), tuple(b.values())) if b else False for a, b in rows], pa.bool_())
+
+
+def _runs(ranked: DataFrame) -> DataFrame:
+    """(rank, first, last): the run of neighbouring copies that each page belongs to.
+
+    Runs are found in blocks; only the first and last start of a run in each block reach the driver, a
+    number that grows with the root of the pages.
+    """
+    copies = F.arrow_udf(_copies, "boolean")
+    before = ranked.select((F.col("rank") + 1).alias("rank"), "host", F.col("lines").alias("before")).hint("merge")
+    starts = ranked.join(before, ["rank", "host"], "left")
+    starts = stored(starts.select("rank", (~copies("lines", "before")).alias("starts")), "pages-copies")
+    n = starts.count()
+    wide = max(128, int(n**0.5))
+    block = F.floor(F.col("rank") / wide)
+    starts = starts.select("rank", block.alias("block"), F.when(F.col("starts"), F.col("rank")).alias("start"))
+    ends = {r[0]: (r[1], r[2]) for r in starts.groupBy("block").agg(F.min("start"), F.max("start")).collect()}
+    blocks = max(ends, default=-1) + 1
+    earlier, later = [0] * (blocks + 1), [n] * (blocks + 1)
+    for b in range(blocks):
+        earlier[b + 1] = earlier[b] if ends[b][1] is None else ends[b][1]
+    for b in range(blocks - 2, -1, -1):
+        later[b] = later[b + 1] if ends[b + 1][0] is None else ends[b + 1][0]
+    of_block = lambda values: F.get(F.array(*[F.lit(x).cast("long") for x in values]), F.col("block").cast("int"))
+    rows = Window.partitionBy("block").orderBy("rank")
+    first = F.max("start").over(rows.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min("start").over(rows.rowsBetween(1, Window.unboundedFollowing))
+    found = starts.select("rank", "block", first.alias("first"), after.alias("after"))
+    return found.select(
+        "rank",
+        F.coalesce("first", of_block(earlier)).alias("first"),
+        (F.coalesce("after", of_block(later)) - 1).alias("last"),
+    )
+
+
 def extract(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html"
 ) -> DataFrame:
     """(page_id, url, text, n_chars) of each row: the lines kept, joined by a newline.
 
-    Pages without text give an empty string. A null url is a host of its own. Equal rows
-    count as one page in the order, each with its own result. Only hashes of lines meet in the order;
-    the lines themselves are shuffled once, to meet the decision on their page.
+    Pages without text give an empty string. A null url is a host of its own. Pages of a host with the same lines
+    count as one page in the order, each with its own result, and copies in a row are compared with the pages before and
+    after all of them. Only hashes of lines meet in the order; the lines themselves are shuffled
+    once, to meet the decision on their page.
     """
     parse = F.arrow_udf(_parse, "lines array<string>, kinds array<int>")
     decide = F.arrow_udf(_decide, "array<boolean>")
+    place = r"^(?:[a-zA-Z][^:/?#]*:)?(?://)?([^/?#]*)([^?#]*)"
+    part = lambda i: F.regexp_extract(F.coalesce("url", F.lit("")), place, i)
     parsed = pages.select(
         F.col(page_id).alias("page_id"),
         F.col(url).alias("url"),
         F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("id"),
-        F.xxhash64(F.col(url), F.col(page)).alias("mark"),
         parse(F.col(page)).alias("p"),
     )
-    place = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][^:/?#]*:)?(?://)?([^/?#]*)([^?#]*)", 1)
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][^:/?#]*:)?(?://)?([^/?#]*)([^?#]*)", 2)
+    parsed = parsed.withColumn("host", F.lower(part(1)))
+    parsed = parsed.withColumn("hashes", F.transform("p.lines", lambda x: F.xxhash64(x)))
+    same = F.xxhash64("host", "hashes", "p.kinds").alias("same")
+    bucket = F.pmod(F.xxhash64("id", "url"), F.lit(BUCKETS)).cast("int").alias("bucket")
     light = parsed.select(
-        "id",
-        "mark",
-        F.lower(place).alias("host"),
-        path.alias("path"),
-        F.transform("p.lines", lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform("p.lines", lambda x: F.char_length(x)).alias("sizes"),
-        F.col("p.kinds").alias("kinds"),
-    ).dropDuplicates(["id", "mark"])
-    order = [F.col(c) for c in ("host", "path", "id", "mark")]
-    light = with_rank(light, order, "rank", "pages-order")
-    beside = light.select(
-        F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)).alias("rank"),
-        F.col("host").alias("other_host"),
-        F.struct("hashes", "sizes", "kinds").alias("other"),
+        same,
+        bucket,
+        "host",
+        F.struct(part(2).alias("path"), "id").alias("at"),
+        F.struct(
+            "hashes",
+            F.transform("p.lines", lambda x: F.char_length(x)).alias("sizes"),
+            F.col("p.kinds").alias("kinds"),
+        ).alias("lines"),
     )
-    beside = beside.groupBy("rank", "other_host").agg(F.collect_list("other").alias("others"))
-    choice = light.join(
-        beside, (light["rank"] == beside["rank"]) & (light["host"] == beside["other_host"]), "left"
-    ).select("id", "mark", decide("hashes", "sizes", "kinds", "others").alias("gone"))
-    choice = stored(choice, "pages-choice").hint("merge")  # a row for each page: never a broadcast
+    # Pages of a host with the same lines have one place, that of the first of them.
+    some = light.groupBy("same", "bucket").agg(F.first("host").alias("host"), F.min("at").alias("at"), F.first("lines").alias("lines"))
+    some = stored(some, "pages-light")
+    groups = some.groupBy("same").agg(F.first("host").alias("host"), F.min("at").alias("at"), F.first("lines").alias("lines"))
+    order = [F.col(c) for c in ("host", "at.path", "at.id", "same")]
+    ranked = with_rank(groups, order, "rank", "pages-order")
+    runs = _runs(ranked).hint("merge")
+    # Rows of a run ask for the pages before and after it in pieces, however long it is.
+    piece = F.floor(F.col("rank") / PIECE).alias("piece")
+    asks = runs.select("first", "last", piece).distinct()  # a row for each run at least: no broadcast either
+    asks = asks.select("first", "piece", F.explode(F.array(F.col("first") - 1, F.col("last") + 1)).alias("rank")).hint("merge")
+    beside = asks.join(ranked.select("rank", F.col("host").alias("other_host"), F.col("lines").alias("other")), "rank")
+    beside = beside.groupBy("first", "piece", "other_host").agg(F.collect_list("other").alias("others"))
+    mine = ranked.join(runs, "rank").select("same", "host", "lines", "first", piece)
+    choice = mine.join(
+        beside.withColumnRenamed("other_host", "host"), ["first", "piece", "host"], "left"
+    ).select("same", decide("lines.hashes", "lines.sizes", "lines.kinds", "others").alias("gone"))
+    choice = some.select("same", "bucket").join(stored(choice, "pages-choice").hint("merge"), "same")
+    choice = choice.hint("merge")  # a row for each page: never a broadcast
     # Lines that the markup alone rules out do not travel; their places stay.
     out = lambda i: F.get(F.col("p.kinds"), i) == MARKED
     lines = F.transform("p.lines", lambda x, i: F.when(out(i), "").otherwise(x))
-    heavy = parsed.select("page_id", "url", "id", "mark", lines.alias("lines"))
+    heavy = parsed.select("page_id", "url", same, bucket, lines.alias("lines"))
     kept = F.filter("lines", lambda x, i: ~F.get(F.col("gone"), i))
     text = F.array_join(kept, "\n")
-    found = heavy.join(choice, ["id", "mark"]).select("page_id", "url", text.alias("text"))
+    found = heavy.join(choice, ["same", "bucket"]).select("page_id", "url", text.alias("text"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -103,3 +103,23 @@ def test_articles_are_evidence_only(spark):
         assert text[10 + i] == f"Story {f'number {i}' * 5}, told at some length"
     # With one neighbour, shared lines of an article may be quotations.
     assert text[10] == f"Share this story\nStory {'number 0' * 5}, told at some length\nThanks for reading"
+
+
+def test_copies_do_not_hide_the_frame(spark, monkeypatch):
+    frame = "<div>Welcome to the site of all sites</div>{}<div>Written with care</div>"
+    rows = []
+    def add(url, *own):  # noqa: E306
+        rows.append((len(rows), f"http://h.example/{url}", frame.format("".join(f"<p>{x}</p>" for x in own)), "\n".join(own)))
+    add("a", "first page " * 9)
+    for i in range(300):  # variants of one page, exact and near, and mirrors of it under other paths
+        add(f"b?page={i}", "second page " * 30, *([f"variant {i}"] if i % 2 else []))
+        add(f"b/{i}", "second page " * 30)
+    add("c", "stub 1")  # the frame is most of a stub
+    add("d", "third page " * 9)
+    add("e", "stub 2")
+    add("f", "stub 3")
+    add("g", "fourth page " * 9)
+    monkeypatch.setattr("panelloom.llm.pages.BUCKETS", 4)
+    table = spark.createDataFrame([(*r[:3], None, 1) for r in rows], SCHEMA)
+    text = {r.page_id: r.text for r in pages.extract(table).collect()}
+    assert text == {r[0]: "\n".join(x.strip() for x in r[3].split("\n")) for r in rows}
