@@ -86,14 +86,13 @@ TEMPLATES: dict[str, list[str]] = {
         "To the extent possible under law, {} has waived all copyright and related or neighboring rights",
     ],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
-    "all-rights-reserved": ["Copyright {} All rights reserved"],
+    "all-rights-reserved": ["Copyright {} All rights reserved", "All rights reserved"],
 }
 
-#: Every template contains one of these; a text without any has no candidate block.
-CUES = r"(?i)licen[sc]|copyright|spdx|permission is hereby|redistribut|public\W+domain|released under"
 WORD = re.compile(r"\{\}|[^\W_]+(?:[.-][^\W_]+)*")
 LEVEL = 9
 FINALISTS = 5  # templates compared word by word
+LONG = 6  # letters of words that are rare enough for a cue
 CHANGED = 0.1  # share of a template's words that may differ; words with a digit never may
 
 
@@ -139,11 +138,39 @@ def align(template: Sequence[str], words: Sequence[str]) -> tuple[int, int, list
     return j, end, missing[::-1], added[::-1]
 
 
+def cues(templates: Mapping[str, Sequence[str]]) -> str:
+    """A regular expression, for Java and Python, that matches a word of every notice of the templates.
+
+    Of each wording it has one word more than may be changed, the longest ones; where these are short, and so
+    common, all of its words. Of a wording with a slot the words before the slot count.
+    """
+    picked: set[str] = set()
+    for text in (w for listed in templates.values() for w in listed):
+        words = [w for w, _, _ in words_of(text)]
+        cut = words.index("{}") if "{}" in words else len(words)
+        part = [w for w in words[:cut] if w != "{}"] or [w for w in words if w != "{}"]
+        longest = sorted(set(part), key=lambda w: (-len(w), w))
+        need = allowed(words) + 1
+        if not longest:
+            raise ValueError(f"a wording without a word: {text!r}")
+        if need > 1 and len(longest) >= need and len(longest[need - 1]) < LONG:
+            fixed = [w for w in longest if any(c.isdigit() for c in w)]
+            longest, need = (fixed, 1) if fixed else (longest, need)
+        picked.update(longest[:need])
+    return "(?iu)(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(picked, key=lambda w: (-len(w), w)))) + ")(?![a-z0-9])"
+
+
+def allowed(template: Sequence[str]) -> int:
+    """How many words of a template may be changed."""
+    return int(CHANGED * len(template))
+
+
 class Scanner:
     """Templates as words and as compressors that know them."""
 
     def __init__(self, templates: Mapping[str, Sequence[str]]) -> None:
         wordings = [(name, w) for name, listed in templates.items() for w in listed]
+        self.cue = re.compile(cues(templates))
         self.names = [name for name, _ in wordings]
         self.words = [[w for w, _, _ in words_of(text)] for _, text in wordings]
         self.reach = max(len(text) for _, text in wordings) + 40
@@ -162,7 +189,7 @@ class Scanner:
         """(start, end, license, reduction, differences, exact, wording) of each notice in a text."""
         found: list[tuple] = []
         done = 0
-        for cue in re.finditer(CUES, text):
+        for cue in self.cue.finditer(text):
             if cue.start() < done:
                 continue
             first = max(done, cue.start() - self.reach)
@@ -197,7 +224,7 @@ class Scanner:
             changed = missing + added
             inside = i < j and block[i][1] <= cue < block[j - 1][2]
             firm = not any(c.isdigit() for w in changed for c in w)
-            if saved > 0 and inside and firm and len(changed) <= int(CHANGED * len(template)):
+            if saved > 0 and inside and firm and len(changed) <= allowed(template):
                 span = (block[i][1], block[j - 1][2])
                 confirmed.append((len(changed), -len(template), k, *span, saved, missing, added))
         if not confirmed:
@@ -226,7 +253,7 @@ def scan_licenses(
     columns of ``docs`` are not read.
     """
     candidates = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    candidates = candidates.where(F.col("text").rlike(CUES))
+    candidates = candidates.where(F.col("text").rlike(cues(templates)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates)

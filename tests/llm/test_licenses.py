@@ -1,6 +1,8 @@
+import re
+
 import pytest
 
-from panelloom.llm.licenses import TEMPLATES, Scanner, align, scan_licenses
+from panelloom.llm.licenses import TEMPLATES, Scanner, align, cues, scan_licenses
 
 SCHEMA = "doc_id long, text string, start string, license string"
 
@@ -55,3 +57,16 @@ def test_scan(spark):
         (0, 0, "MIT", True), (1, 2, "MIT", True), (1, 2, "MIT", True), (4, 500_000, "MIT", True),
     ]
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_template_has_a_cue(spark, scanner):
+    own = {"house": ["Use is governed by the Zorp accord", "{} keeps every claim", "Für Alle frei"], "None": ["Kein Recht 7"]}
+    for templates in (TEMPLATES, own):
+        for wording in (w for listed in templates.values() for w in listed):
+            assert re.search(cues(templates), wording.replace("{}", "(c) 1999 Some Body"))
+    rows = [(i, f"x y. {w.replace('{}', 'Ann')}. z", "s", "l") for i, w in enumerate(w for x in own.values() for w in x)]
+    found = scan_licenses(spark.createDataFrame(rows, SCHEMA), templates=own).collect()
+    assert sorted((r.doc_id, r.license) for r in found) == [(0, "house"), (1, "house"), (2, "house"), (3, "None")]
+    ((start, end, name, _, _, exact, _),) = scanner.scan("Some prose.\nAll rights reserved.")
+    assert (start, end, name, exact) == (12, 31, "all-rights-reserved", True)
+    assert scan_licenses(spark.createDataFrame([(1, "a. All rights reserved.", "s", "l")], SCHEMA)).count() == 1
