@@ -1,14 +1,16 @@
 """License notices by conditional compression.
 
 Text around a word that license notices use is a candidate block. It is compressed with each template
-as a raw zstandard dictionary; the templates that shrink it most are compared word by word, and a
+as a raw zstandard dictionary; the templates that shrink it are compared word by word, and a
 notice is reported with its exact wording differences.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from difflib import SequenceMatcher
 
 import pandas as pd
 import zstandard
@@ -91,7 +93,6 @@ TEMPLATES: dict[str, list[str]] = {
 
 WORD = re.compile(r"\{\}|[^\W_]+(?:[.-][^\W_]+)*")
 LEVEL = 9
-FINALISTS = 5  # templates compared word by word
 LONG = 6  # letters of words that are rare enough for a cue
 CHANGED = 0.1  # share of a template's words that may differ; words with a digit never may
 
@@ -103,20 +104,20 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
 def align(template: Sequence[str], words: Sequence[str]) -> tuple[int, int, list[str], list[str]]:
     """The run of ``words`` that is closest to the template: start, end, words missing, words added.
 
-    Least number of words missing or added; ties go to the earliest and
-    shortest run. A slot ``{}`` takes any words for nothing.
+    Least number of words missing, added or replaced; a replaced word is one change, in both lists. A
+    word is replaced by a like one rather than left out, and left out rather than replaced by an unlike one. Ties go to
+    the earliest and shortest run. A slot ``{}`` takes any words for nothing.
     """
     width = len(words) + 1
+    swap = [[_swap(x, w) for w in words] for x in template]
     cost = [[0] * width]
     for i, x in enumerate(template, 1):
-        above, row = cost[-1], [cost[-1][0] + (x != "{}")]
+        above, row = cost[-1], [cost[-1][0] + (0 if x == "{}" else CHANGE)]
         for j in range(1, width):
             if x == "{}":
                 row.append(min(above[j], row[j - 1]))
-            elif x == words[j - 1]:
-                row.append(above[j - 1])
             else:
-                row.append(min(above[j], row[j - 1]) + 1)
+                row.append(min(above[j - 1] + swap[i - 1][j - 1], above[j] + CHANGE, row[j - 1] + CHANGE))
         cost.append(row)
     j = end = min(range(width), key=lambda j: (cost[-1][j], j))
     i, missing, added = len(template), [], []
@@ -127,9 +128,12 @@ def align(template: Sequence[str], words: Sequence[str]) -> tuple[int, int, list
                 i -= 1
             else:
                 j -= 1
-        elif j and x == words[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
+        elif j and cost[i][j] == cost[i - 1][j - 1] + swap[i - 1][j - 1]:
+            if x != words[j - 1]:
+                missing.append(x)
+                added.append(words[j - 1])
             i, j = i - 1, j - 1
-        elif cost[i][j] == cost[i - 1][j] + 1:
+        elif cost[i][j] == cost[i - 1][j] + CHANGE:
             missing.append(x)
             i -= 1
         else:
@@ -138,6 +142,16 @@ def align(template: Sequence[str], words: Sequence[str]) -> tuple[int, int, list
     return j, end, missing[::-1], added[::-1]
 
 
+CHANGE = 8  # cost of a change; a like word in place of another costs one less, so that it wins a tie
+
+
+def _swap(x: str, w: str) -> int:
+    if x == w:
+        return 0
+    alike = x[:1] == w[:1] and abs(len(x) - len(w)) < 3 and SequenceMatcher(None, x, w).ratio() >= 0.7
+    return CHANGE - 1 if alike else CHANGE
+
+
 def cues(templates: Mapping[str, Sequence[str]]) -> str:
     """A regular expression, for Java and Python, that matches a word of every notice of the templates.
 
@@ -161,8 +175,9 @@ def cues(templates: Mapping[str, Sequence[str]]) -> str:
 
 
 def allowed(template: Sequence[str]) -> int:
-    """How many words of a template may be changed."""
-    return int(CHANGED * len(template))
+    """How many words of a template may be changed: a share, and one of at least four."""
+    n = sum(w != "{}" for w in template)
+    return max(int(CHANGED * n), 1 if n >= 4 else 0)
 
 
 class Scanner:
@@ -173,6 +188,15 @@ class Scanner:
         self.cue = re.compile(cues(templates))
         self.names = [name for name, _ in wordings]
         self.words = [[w for w, _, _ in words_of(text)] for _, text in wordings]
+        self.bags = [Counter(x for x in w if x != "{}") for w in self.words]
+        # Words that name a license occur with a third of the licenses at most.
+        ids: dict[str, set[str]] = {}
+        for name, listed in zip(self.names, self.words, strict=True):
+            for w in listed:
+                for x in {w, *re.split(r"[.-]", w)}:
+                    ids.setdefault(x, set()).add(name)
+        some = len(templates) // 3
+        self.naming = {w for w, of in ids.items() if len(of) <= max(1, some)} if len(templates) > 1 else set()
         self.reach = max(len(text) for _, text in wordings) + 40
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.primed = [
@@ -194,7 +218,7 @@ class Scanner:
                 continue
             first = max(done, cue.start() - self.reach)
             words = words_of(text[first : cue.end() + self.reach])
-            best = self.rank(words, cue.start() - first)
+            best = self.rank(words, cue.start() - first, text, first)
             if best:
                 start, end, name, reduction, missing, added = best
                 changes = " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in added)])
@@ -203,30 +227,58 @@ class Scanner:
                 done = span[1]
         return found
 
-    def rank(self, words: list[tuple[str, int, int]], cue: int) -> tuple | None:
-        """The closest confirmed template among those that shrink the block at the cue most."""
+    def block(
+        self, k: int, words: list[tuple[str, int, int]], at: int, text: str, first: int
+    ) -> list[tuple[str, int, int]]:
+        """The words around the one at ``at`` that may hold template ``k``; a slot reaches to the template's next words."""
+        template = self.words[k]
+        begin = max(0, at - len(template))
+        if "{}" not in template[:-1]:
+            return words[begin : at + len(template) + 8]
+        after = template[len(template) - template[::-1].index("{}") :]
+        if not after:
+            return words[begin : at + len(template) + 8]
+        anchor = max(after, key=len)
+        there = re.compile(rf"(?i)(?<![^\W_]){re.escape(anchor)}(?![^\W_])").search(text, first + words[at][2])
+        if there is None:
+            return words[begin : at + len(template) + 8]
+        longer = words_of(text[first : there.end() + self.reach])
+        last = next((i for i, w in enumerate(longer) if w[2] >= there.end() - first), len(longer))
+        return longer[begin : last + len(template)]
+
+    def firm(self, k: int, missing: list[str], added: list[str]) -> bool:
+        """If the changes leave the license the same: few, no numbers, and in short wordings no word that names a license."""
+        changed = Counter(missing), Counter(added)
+        if max(len(missing), len(added)) > allowed(self.words[k]) or any(c.isdigit() for w in missing + added for c in w):
+            return False
+        plain = sum(w != "{}" for w in self.words[k])
+        return int(CHANGED * plain) > 1 or not any(w in self.naming for c in changed for w in c)
+
+    def rank(self, words: list[tuple[str, int, int]], cue: int, text: str, first: int) -> tuple | None:
+        """The closest confirmed template among all those that shrink the block at the cue."""
         at = next((i for i, w in enumerate(words) if w[2] > cue), None)
         if at is None:
             return None
-        ranked = []
+        confirmed = []
+        near = Counter(w for w, _, _ in words)
         for k, template in enumerate(self.words):
-            block = words[max(0, at - len(template)) : at + len(template) + 8]
+            slot = "{}" in template
+            if not slot and (self.bags[k] - near).total() > allowed(template):
+                continue  # more words are missing than may be changed
+            block = self.block(k, words, at, text, first)
+            if (self.bags[k] - Counter(w for w, _, _ in block)).total() > allowed(template):
+                continue
             data = " ".join(w for w, _, _ in block).encode()
-            size = len(self.plain.compress(data))
-            ranked.append((1 - len(self.primed[k].compress(data)) / size, k, block))
-        ranked.sort(key=lambda x: (-x[0], x[1]))
-        confirmed = []
-        for saved, k, block in ranked[:FINALISTS] + [
-            x for x in ranked[FINALISTS:] if x[0] == ranked[FINALISTS - 1][0]
-        ]:
-            template = self.words[k]
+            saved = 1 - len(self.primed[k].compress(data)) / len(self.plain.compress(data))
+            if saved <= 0:
+                continue
             i, j, missing, added = align(template, [w for w, _, _ in block])
-            changed = missing + added
-            inside = i < j and block[i][1] <= cue < block[j - 1][2]
-            firm = not any(c.isdigit() for w in changed for c in w)
-            if saved > 0 and inside and firm and len(changed) <= allowed(template):
-                span = (block[i][1], block[j - 1][2])
-                confirmed.append((len(changed), -len(template), k, *span, saved, missing, added))
+            if not (i < j and block[i][1] <= cue < block[j - 1][2] and self.firm(k, missing, added)):
+                continue
+            start, end = block[i][1], block[j - 1][2]
+            if slot and any(f[2] != self.names[k] for f in self.scan(text[first + block[i][2] : first + end])):
+                continue  # the slot would swallow another notice
+            confirmed.append((max(len(missing), len(added)), -len(template), k, start, end, saved, missing, added))
         if not confirmed:
             return None
         _, _, k, start, end, reduction, missing, added = min(confirmed)

@@ -70,3 +70,35 @@ def test_every_template_has_a_cue(spark, scanner):
     ((start, end, name, _, _, exact, _),) = scanner.scan("Some prose.\nAll rights reserved.")
     assert (start, end, name, exact) == (12, 31, "all-rights-reserved", True)
     assert scan_licenses(spark.createDataFrame([(1, "a. All rights reserved.", "s", "l")], SCHEMA)).count() == 1
+
+
+@pytest.mark.parametrize(
+    "notice, name, differences",
+    [
+        ("Released under the MIT Licence", "MIT", "-license +licence"),
+        ("Licensed under the Apache License 2.0", "Apache-2.0", "-version"),
+        ("Released under MIT License", "MIT", "-the"),
+        ("Distributed under the MIT License", "MIT", "-licensed +distributed"),
+        ("Copyright (c) 1982, 1986, 1990, 1991, 1993 The Regents of the University of California. All rights reserved",
+         "all-rights-reserved", ""),
+        ("Copyright " + "Some Body, " * 300 + "All rights reserved", "all-rights-reserved", ""),
+    ],
+)
+def test_changed_words_and_long_slots(scanner, notice, name, differences):
+    text = f"Some prose before it. {notice}. And some prose after it."
+    ((_, _, found, _, told, exact, span),) = scanner.scan(text)
+    assert (found, told, exact) == (name, differences, not differences)
+    assert span in (notice, notice.removeprefix("Distributed "))
+
+
+@pytest.mark.parametrize(
+    "text", ["Licensed under the ISC License", "Licensed under the GNU Affero General Public License, version 2", "All seats reserved",
+             "SPDX-License-Identifier: ISC", "Licensed under CC BY-ND 4.0"],
+)
+def test_other_licenses(scanner, text):
+    assert scanner.scan(f"Prose. {text}.") == []
+
+
+def test_slots_swallow_no_notice(scanner):
+    text = "Copyright 2001 Ann. Released under the MIT License. Copyright Bob. All rights reserved."
+    assert [f[2] for f in scanner.scan(text)] == ["MIT", "all-rights-reserved"]
