@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelloom.llm.simhash import fingerprint
@@ -67,3 +68,18 @@ def test_stages_keep_clashing_columns_and_take_empty_tables(spark, folder):
         assert all(r.mix_rate == r.doc_id == r.Simhash_ID for r in out.collect())
         assert stage(spark, docs.where("false"), folder).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 31
+
+
+def test_language_stage_decides(spark):
+    rng = random.Random(4)
+    make = lambda syllables, n: " ".join("".join(rng.choices(syllables, k=3)) for _ in range(n))
+    kinds = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ein", "pf"], "cc": ["eau", "que", "oir", "ais"]}
+    rows = [(i, make(kinds["abc"[i % 3] * 2], 60), "abc"[i % 3] * 2) for i in range(300)]
+    mixed = [" ".join(make(k, 20) for k in kinds.values()) for _ in range(10)]
+    noise = ["".join(chr(rng.randrange(0x391, 0x3C9)) if rng.random() < 0.8 else " " for _ in range(400)) for _ in range(10)]
+    rows += [(1000 + i, x, None) for i, x in enumerate(mixed + noise)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert len(kept & set(range(300))) >= 297 and not kept & set(range(1000, 1020))
+    with pytest.raises(ValueError, match="no language"):
+        corpus_pipeline.known_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
