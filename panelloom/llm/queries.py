@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, imatch, katz, language, licenses, mixing, neighbours, packing, pages
+from panelloom.llm import centroids, chat, imatch, katz, language, licenses, minhash, mixing
+from panelloom.llm import neighbours, packing, pages, spelling
 from panelloom.llm.simhash import simhash_components
 
 
@@ -69,6 +70,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), drop_one_in=97))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_mixing": op2_mixing,
@@ -80,9 +93,15 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_katz": op9_katz,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_minhash": op12_minhash,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE = {
     "op2_mixing": mixing.MIXED_SQL.format(docs="documents"),
     "op5_chat": chat.LINKED_SQL,
+    "op11_spelling": spelling.SPELLING_SQL,
+    "op12_minhash": minhash.MINHASH_SQL,
+    "op13_centroids": centroids.cluster_sql(),
 }

@@ -52,11 +52,11 @@ def test_op1(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
-@pytest.mark.parametrize("name", ["op2_mixing", "op5_chat"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op5_chat", "op11_spelling", "op12_minhash", "op13_centroids"])
 def test_sql(spark, name):
-    assert set(ORACLE) == {"op2_mixing", "op5_chat"}
+    assert set(ORACLE) == {"op2_mixing", "op5_chat", "op11_spelling", "op12_minhash", "op13_centroids"}
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     cursor = con.execute(ORACLE[name])
     names = [d[0] for d in cursor.description]
