@@ -34,13 +34,14 @@ def _cell(gram: str) -> int:
 def prefix_and_pivots(
     word: str, counts: np.ndarray, distance: int
 ) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """The prefix and the pivots of one word, as (frequency, bigram, place from 0).
+    """The prefix and the pivots of one word, as (order, bigram, place from 0).
 
-    The prefix is the first ``2 distance + 1`` bigrams by (frequency, bigram), with every further place of the
-    last one. The pivots are ``distance + 1`` of them that do not overlap, of least total frequency
-    (ties: the ones further left).
+    ``order`` is a bigram's frequency, then its cell. The prefix is the first ``2 distance + 1`` bigrams by (order, bigram),
+    with every further place of the last one. The pivots are ``distance + 1`` of them that do not
+    overlap, of least total frequency (ties: least cells, then the ones further left).
     """
-    grams = sorted((int(counts[_cell(g := word[i : i + 2])]), g, i) for i in range(len(word) - 1))
+    cells = [_cell(word[i : i + 2]) for i in range(len(word) - 1)]
+    grams = sorted((int(counts[c]) * CELLS + c, word[i : i + 2], i) for i, c in enumerate(cells))
     size = 2 * distance + 1
     end = size
     while end < len(grams) and grams[end][1] == grams[size - 1][1]:
@@ -107,25 +108,24 @@ def _gram_counts(words: DataFrame) -> np.ndarray:
 
 
 def _with_grams(words: DataFrame, distance: int) -> DataFrame:
-    """Words with ``last`` (the end of their prefix), ``prefix`` and ``pivots``."""
+    """Words with ``last`` (the order at which their prefix ends), ``prefix`` and ``pivots``."""
     counts = _gram_counts(words)
-    gram = pa.struct([("count", pa.int64()), ("gram", pa.string())])
     placed = pa.list_(pa.struct([("gram", pa.string()), ("place", pa.int32())]))
-    types = pa.schema([("word", pa.string()), ("n", pa.int64()), ("last", gram), ("prefix", placed), ("pivots", placed)])
+    types = pa.schema([("word", pa.string()), ("n", pa.int64()), ("last", pa.int64()), ("prefix", placed), ("pivots", placed)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last, prefixes, pivots = [], [], []
             for word in batch.column(0):
                 prefix, pivot = prefix_and_pivots(word.as_py(), counts, distance)
-                last.append({"count": prefix[-1][0], "gram": prefix[-1][1]})
+                last.append(prefix[-1][0])
                 prefixes.append([{"gram": g, "place": i} for _, g, i in prefix])
                 pivots.append([{"gram": g, "place": i} for _, g, i in pivot])
             made = [pa.array(x, f.type) for x, f in zip((last, prefixes, pivots), list(types)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=types)
 
     places = "array<struct<gram string, place int>>"
-    out = f"word string, n long, last struct<count long, gram string>, prefix {places}, pivots {places}"
+    out = f"word string, n long, last long, prefix {places}, pivots {places}"
     return words.select("word", "n").mapInArrow(run, out)
 
 
@@ -137,8 +137,11 @@ def near_words(words: DataFrame, distance: int = 1) -> DataFrame:
     """
     long_enough = F.assert_true(F.length("word") >= 2 * distance + 2, "near_words: a word is too short").isNull()
     grams = stored(_with_grams(words.where(long_enough), distance), "grams")
+    # One number to sort and join by; two keys that share it cost a comparison in vain.
+    meeting = F.xxhash64("gram", "place", "chars").alias("meeting")
     key = [F.length("word").alias("chars"), "word", "n", "last"]
     prefixes = grams.select(*key, F.explode("prefix").alias("g")).select("g.gram", "g.place", "chars", "word", "n", "last")
+    prefixes = prefixes.select(meeting, "word", "n", "last")
     # A shift of the bigram needs as many edits before it, the rest of the difference in length as many behind it.
     moves = [
         (shift, longer)
@@ -156,7 +159,8 @@ def near_words(words: DataFrame, distance: int = 1) -> DataFrame:
         F.col("n").alias("near_n"),
         F.col("last").alias("near_last"),
     )
-    met = prefixes.join(pivots, ["gram", "place", "chars"]).where("near_last <= last and word != near")
+    pivots = pivots.select(meeting, "near", "near_n", "near_last")
+    met = prefixes.join(pivots, "meeting").where("near_last <= last and word != near")
     edits = F.levenshtein("word", "near", distance)
     pairs = met.where(edits > 0).select("word", "n", "near", "near_n").distinct()
     turned = pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
