@@ -138,9 +138,21 @@ def block_links(block: pd.DataFrame, percent: int, size: int) -> list[tuple[byte
     return links
 
 
+def _worth_reading(block: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The rows of a block with a row of another component beside them whose minima say they may be similar."""
+    minima = np.stack(block["tails"].to_list()).view(np.uint16)
+    comps = block["comp"].astype("category").cat.codes.to_numpy()
+    keep = np.zeros(len(block), bool)
+    for at in block.groupby("region", sort=False).indices.values():
+        for i in at:
+            equal = (minima[at] == minima[i]).mean(axis=1)
+            keep[i] = ((equal >= least) & (comps[at] != comps[i])).any()
+    return block.loc[keep, ["region", "tail", "key", "row", "comp", "block"]]
+
+
 class _Forest:
-    def __init__(self, sets: DataFrame, percent: int, size: int):
-        self.sets, self.percent, self.size = sets, percent, size
+    def __init__(self, sets: DataFrame, percent: int, size: int, orders: int):
+        self.sets, self.percent, self.size, self.orders = sets, percent, size, orders
         self.links: list[DataFrame] = []
         whole = sets.where("n > 0").groupBy("key")
         places = whole.agg(F.min("row").alias("row"), F.first("heads").alias("heads"), F.first("tails").alias("tails"))
@@ -213,12 +225,16 @@ class _Forest:
                 return rows
 
     def compare_rest(self, rows: DataFrame) -> None:
-        """Compare all that share a region and are not connected: small regions whole, large ones deeper, in block pairs."""
+        """Compare all that share a region and are not connected: small regions whole, large ones deeper, in block pairs.
+
+        In a small region the minima come first: texts are read only where the share of equal minima is not five
+        standard deviations below the wanted similarity.
+        """
         if rows.isEmpty():
             return
         small = rows.where(F.col("count") <= BLOCK)
         large = rows.where(F.col("count") > BLOCK)
-        pairs = None
+        dense = None
         if not large.isEmpty():
             deeper = large.join(self.tails.hint("merge"), "key").select(
                 "region", "key", "row", "comp", F.posexplode("tails").alias("order", "tail")
@@ -227,26 +243,39 @@ class _Forest:
             deeper = self._open(deeper)
             small = small.unionByName(deeper.where(F.col("count") <= BLOCK))
             dense = deeper.where(F.col("count") > BLOCK)
-            if not dense.isEmpty():
-                pairs = self._block_pairs(dense)
         if not small.isEmpty():
             ranked = with_rank(small, [F.col("region"), F.col("tail"), F.col("key")], "rank", "minhash-ranked")
             start = ranked.groupBy("region").agg(F.floor(F.min("rank") / BLOCK).alias("block"))
-            self.confirm(ranked.join(start.hint("merge"), "region").withColumn("part", F.lit(-1)))
-        if pairs is not None:
-            self.confirm(pairs)
+            placed = ranked.join(start.hint("merge"), "region").join(self.tails.hint("merge"), "key")
+            wanted, minima = self.percent / 100, 4 * self.orders
+            least = wanted - 5 * math.sqrt(wanted * (1 - wanted) / minima)
+            out = "region long, tail long, key binary, row long, comp binary, block long"
+            near = placed.groupBy("block").applyInPandas(lambda b: _worth_reading(b, least), out)
+            self.confirm(stored(near, "minhash-near").withColumn("part", F.lit(-1)))
+        if dense is not None and not dense.isEmpty():
+            # What has been connected meanwhile need not be compared.
+            found = self.components().withColumnRenamed("comp", "now")
+            dense = dense.join(found.hint("merge"), "key", "left").withColumn("comp", F.coalesce("now", "key")).drop("now")
+            self.confirm(self._block_pairs(self._open(dense)))
 
     def _block_pairs(self, dense: DataFrame) -> DataFrame:
-        """Every two blocks of a region together, a document once for each block of its region."""
-        ranked = with_rank(dense, [F.col("region"), F.col("tail"), F.col("key")], "rank", "minhash-ranked")
+        """Blocks of a region two by two, but for those of one and the same component.
+
+        Components stand together, so a small one beside a large one meets each of its blocks once.
+        """
+        ranked = with_rank(dense, [F.col("region"), F.col("comp"), F.col("key")], "rank", "minhash-ranked")
         start = ranked.groupBy("region").agg(F.min("rank").alias("start"))
-        own = F.floor((F.col("rank") - F.col("start")) / (BLOCK // 2))
-        rows = ranked.join(start.hint("merge"), "region").withColumn("own", own)
-        most = F.floor((F.col("count") - 1) / (BLOCK // 2))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most)))
-        rows = rows.withColumn("block", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")))
-        part = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
-        return rows.withColumn("part", part)
+        own = F.floor((F.col("rank") - F.col("start")) / (BLOCK // 2)).alias("own")
+        rows = ranked.join(start.hint("merge"), "region").select("region", "key", "row", "tail", "comp", own)
+        rows = stored(rows, "minhash-dense")
+        about = rows.groupBy("region", "own").agg(F.min("comp").alias("first"), F.max("comp").alias("last"))
+        other = about.toDF("region", "other", "other_first", "other_last")
+        same = "first = last and other_first = other_last and first = other_first"
+        pairs = about.join(other.hint("merge"), "region").where(f"own <= other and not ({same})").select("region", "own", "other")
+        block = F.xxhash64("region", "own", "other").alias("block")
+        left = pairs.select("region", "own", block, F.when(F.col("own") == F.col("other"), -1).otherwise(0).alias("part"))
+        right = pairs.where("own < other").select("region", F.col("other").alias("own"), block, F.lit(1).alias("part"))
+        return stored(rows.join(left.unionByName(right).hint("merge"), ["region", "own"]), "minhash-pairs")
 
 
 def minhash_components(
@@ -269,7 +298,7 @@ def minhash_components(
     """
     signature = Signature(orders_for(percent, depth, miss), depth)
     sets = _sets(docs, doc_id, text, shingle, signature)
-    forest = _Forest(sets, percent, shingle)
+    forest = _Forest(sets, percent, shingle, signature.orders)
     forest.connect_homes()
     forest.compare_rest(forest.bridge())
     roots = forest.components()
