@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from panelloom.llm.common import components, stored, with_rank
 
-BLOCK = 256  # documents that a task compares at a time
+BLOCK = 256  # documents that a task compares at a time, or twice as many
+DEEPER = 16  # blocks from which a region is ordered anew instead of compared in pairs of blocks
 CHUNK = 2048  # shingles hashed at a time
 SEED = 42
 
@@ -105,7 +106,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, signature: Signatu
 
 
 def block_links(block: pd.DataFrame, percent: int, size: int) -> list[tuple[bytes, bytes]]:
-    """Links that connect the similar documents of each region of a block, confirmed on full sets.
+    """Links between components of a block: all that similar documents of one region connect, confirmed on full sets.
 
     ``part`` 0 and 1 are compared with each other only, -1 with all. Documents of one ``comp``
     are connected from the start. Neighbours in the order of ``tail`` come first, then the pairs further apart.
@@ -118,14 +119,15 @@ def block_links(block: pd.DataFrame, percent: int, size: int) -> list[tuple[byte
         return x
 
     sets: dict[bytes, np.ndarray] = {}
-    links = []
     for _, region in block.sort_values(["tail", "key"]).groupby("region", sort=False):
         keys, comps = region["key"].tolist(), region["comp"].tolist()
         texts, parts = region["text"].tolist(), region["part"].tolist()
+        worth = _worth_comparing(region, percent) if "heads" in region.columns else None
         for gap in range(1, len(keys)):
             if len({top(c) for c in comps}) == 1:
                 break
-            for i in range(len(keys) - gap):
+            steps = range(len(keys) - gap) if worth is None else np.flatnonzero(np.diagonal(worth, gap)).tolist()
+            for i in steps:
                 j = i + gap
                 if parts[i] == parts[j] >= 0 or (p := top(comps[i])) == (q := top(comps[j])):
                     continue
@@ -133,39 +135,46 @@ def block_links(block: pd.DataFrame, percent: int, size: int) -> list[tuple[byte
                     if keys[at] not in sets:
                         sets[keys[at]] = shingles(texts[at], size)
                 if similar(sets[keys[i]], sets[keys[j]], percent):
-                    parent[p] = q
-                    links.append((keys[i], keys[j]))
-    return links
+                    parent[max(p, q)] = min(p, q)
+    # A star for each component, so that components that meet in other blocks are few steps apart.
+    return [(top(c), c) for c in list(parent) if top(c) != c]
 
 
-def _worth_reading(block: pd.DataFrame, least: float) -> pd.DataFrame:
-    """The rows of a block with a row of another component beside them whose minima say they may be similar."""
-    minima = np.stack(block["tails"].to_list()).view(np.uint16)
-    comps = block["comp"].astype("category").cat.codes.to_numpy()
-    keep = np.zeros(len(block), bool)
-    for at in block.groupby("region", sort=False).indices.values():
-        for i in at:
-            equal = (minima[at] == minima[i]).mean(axis=1)
-            keep[i] = ((equal >= least) & (comps[at] != comps[i])).any()
-    return block.loc[keep, ["region", "tail", "key", "row", "comp", "block"]]
+def _least_equal(percent: int, minima: int) -> float:
+    """Five standard deviations below the share of equal minima that similar sets have."""
+    wanted = percent / 100
+    return wanted - 5 * math.sqrt(wanted * (1 - wanted) / minima)
+
+
+def _worth_comparing(region: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which rows of a region may be similar by their minima and share no region of an earlier order."""
+    minima = np.stack(region["tails"].to_list()).view(np.uint16)
+    heads = np.stack(region["heads"].to_list())[:, : int(region["order"].iloc[0])]
+    comps = region["comp"].astype("category").cat.codes.to_numpy()
+    least = _least_equal(percent, minima.shape[1])
+    worth = np.empty((len(region), len(region)), bool)
+    for i in range(len(region)):
+        worth[i] = (minima == minima[i]).mean(axis=1) >= least
+        worth[i] &= (comps != comps[i]) & ~(heads == heads[i]).any(axis=1)
+    return worth
 
 
 class _Forest:
-    def __init__(self, sets: DataFrame, percent: int, size: int, orders: int):
-        self.sets, self.percent, self.size, self.orders = sets, percent, size, orders
-        self.links: list[DataFrame] = []
+    def __init__(self, sets: DataFrame, percent: int, size: int):
+        self.sets, self.percent, self.size = sets, percent, size
         whole = sets.where("n > 0").groupBy("key")
         places = whole.agg(F.min("row").alias("row"), F.first("heads").alias("heads"), F.first("tails").alias("tails"))
-        places = stored(places, "minhash-distinct")
-        spread = places.select("key", "row", "tails", F.posexplode("heads").alias("order", "region"))
+        self.places = stored(places, "minhash-distinct")
+        spread = self.places.select("key", "row", "tails", F.posexplode("heads").alias("order", "region"))
         tail = F.element_at("tails", F.col("order") + 1)
-        spread = spread.select("region", "key", "row", tail.alias("tail"))
+        spread = spread.select("region", "order", "key", "row", tail.alias("tail"))
         shared = spread.groupBy("region").agg(F.count("*").alias("count")).where("count > 1")
         self.members = stored(spread.join(shared.hint("merge"), "region"), "minhash-members")
-        self.tails = places.select("key", "tails")
+        #: (key, comp) of the sets that are linked so far; the others are components of their own.
+        self.comps: DataFrame | None = None
 
-    def confirm(self, rows: DataFrame) -> bool:
-        """Compare the documents of each ``block`` and keep the links; if there were any."""
+    def confirm(self, rows: DataFrame) -> None:
+        """Compare the documents of each ``block`` and merge the components that links connect."""
         percent, size = self.percent, self.size
 
         def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -173,16 +182,23 @@ class _Forest:
 
         texts = self.sets.select("row", "text")
         made = rows.join(texts.hint("merge"), "row").groupBy("block").applyInPandas(run, "a binary, b binary")
-        found = stored(made, "minhash-links")
-        self.links.append(found)
-        return not found.isEmpty()
-
-    def components(self) -> DataFrame:
-        """(key, comp) for the sets with a link."""
-        links = self.links[0]
-        for more in self.links[1:]:
-            links = links.unionByName(more)
-        return stored(components(links).select(F.col("node").alias("key"), F.col("root").alias("comp")), "minhash-comps")
+        links = stored(made, "minhash-links")
+        if self.comps is not None and links.isEmpty():
+            return
+        roots = components(links).select(F.col("node").alias("comp"), F.col("root").alias("now"))
+        if self.comps is None:
+            found = roots.select(F.col("comp").alias("key"), F.col("now").alias("comp"))
+        else:
+            # A component that is linked for the first time is named after its only set.
+            moved = self.comps.join(roots.hint("merge"), "comp", "full")
+            own = moved.select(F.coalesce("key", "comp").alias("key"), F.coalesce("now", "comp").alias("comp"))
+            named = roots.select(F.col("comp").alias("key"), F.col("now").alias("comp"))
+            found = own.unionByName(named).distinct()
+        self.comps = stored(found, "minhash-comps")
+
+    def with_comps(self, rows: DataFrame) -> DataFrame:
+        found = rows.join(self.comps.hint("merge"), "key", "left")
+        return found.withColumn("comp", F.coalesce("comp", "key"))
 
     def _in_blocks(self, rows: DataFrame) -> DataFrame:
         """Even blocks of documents in the order of region and tail."""
@@ -191,18 +207,14 @@ class _Forest:
         return ranked.withColumns({"block": F.floor(F.col("rank") / BLOCK), "part": F.lit(-1)})
 
     def _open(self, rows: DataFrame) -> DataFrame:
-        """Rows of the regions that are not connected throughout; of regions with equal members, one."""
+        """Rows of the regions that are not connected throughout; of regions with equal members, the first order's."""
         about = rows.groupBy("region").agg(
             F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("count"),
-            F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"),
+            F.min("order").alias("order"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"),
         ).where("first != last")
-        once = about.groupBy("count", "mark").agg(F.min("region").alias("region"))
-        return stored(rows.drop("count").join(once.select("region", "count").hint("merge"), "region"), "minhash-open")
-
-    def _with_comps(self) -> DataFrame:
-        comp = F.coalesce("comp", "key").alias("comp")
-        members = self.members.join(self.components().hint("merge"), "key", "left")
-        return members.select("region", "key", "row", "tail", "count", comp)
+        once = about.groupBy("count", "mark").agg(F.min(F.struct("order", "region")).alias("r"))
+        once = once.select("r.region", "count")
+        return stored(rows.drop("count").join(once.hint("merge"), "region"), "minhash-open")
 
     def connect_homes(self) -> None:
         """Compare each document in its most populous region."""
@@ -210,64 +222,53 @@ class _Forest:
         homes = self.members.groupBy("key").agg(best).select("home.region", "home.tail", "home.row", "key")
         self.confirm(self._in_blocks(homes.withColumn("comp", F.col("key"))))
 
-    def bridge(self) -> DataFrame:
-        """Compare a few documents of each component of a region, as long as that connects any; the open rows."""
-        while True:
-            rows = self._open(self._with_comps())
-            if rows.isEmpty():
-                return rows
-            one = F.struct("tail", "key", "row")
-            drawn = F.struct(F.xxhash64("key"), "tail", "key", "row")
-            picks = rows.groupBy("region", "comp").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.min(drawn).alias("c"))
-            c = F.struct("c.tail", "c.key", "c.row")
-            few = picks.select("region", "comp", F.explode(F.array_distinct(F.array("a", "b", c))).alias("p"))
-            if not self.confirm(self._in_blocks(few.select("region", "comp", "p.*"))):
-                return rows
-
-    def compare_rest(self, rows: DataFrame) -> None:
-        """Compare all that share a region and are not connected: small regions whole, large ones deeper, in block pairs.
-
-        In a small region the minima come first: texts are read only where the share of equal minima is not five
-        standard deviations below the wanted similarity.
+    def bridge(self) -> None:
+        """Compare three documents of each component of each region."""
+        rows = self._open(self.with_comps(self.members))
+        one = F.struct("tail", "key", "row")
+        drawn = F.struct(F.xxhash64("key"), "tail", "key", "row")
+        picks = rows.groupBy("region", "comp").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.min(drawn).alias("c"))
+        c = F.struct("c.tail", "c.key", "c.row")
+        few = picks.select("region", "comp", F.explode(F.array_distinct(F.array("a", "b", c))).alias("p"))
+        self.confirm(self._in_blocks(few.select("region", "comp", "p.*")))
+
+    def compare_rest(self) -> None:
+        """Compare all that share a region and are not connected: small regions whole, large ones in pairs of blocks.
+
+        A region whose blocks would be copied more often than a forest has orders goes deeper first. A pair is compared
+        in the first order in which it shares a region, and only if the share of equal minima is not
+        five standard deviations below the wanted similarity.
         """
-        if rows.isEmpty():
-            return
-        small = rows.where(F.col("count") <= BLOCK)
-        large = rows.where(F.col("count") > BLOCK)
-        dense = None
-        if not large.isEmpty():
-            deeper = large.join(self.tails.hint("merge"), "key").select(
-                "region", "key", "row", "comp", F.posexplode("tails").alias("order", "tail")
-            )
-            deeper = deeper.withColumn("region", F.xxhash64("region", "order", "tail")).drop("order")
-            deeper = self._open(deeper)
-            small = small.unionByName(deeper.where(F.col("count") <= BLOCK))
-            dense = deeper.where(F.col("count") > BLOCK)
-        if not small.isEmpty():
-            ranked = with_rank(small, [F.col("region"), F.col("tail"), F.col("key")], "rank", "minhash-ranked")
-            start = ranked.groupBy("region").agg(F.floor(F.min("rank") / BLOCK).alias("block"))
-            placed = ranked.join(start.hint("merge"), "region").join(self.tails.hint("merge"), "key")
-            wanted, minima = self.percent / 100, 4 * self.orders
-            least = wanted - 5 * math.sqrt(wanted * (1 - wanted) / minima)
-            out = "region long, tail long, key binary, row long, comp binary, block long"
-            near = placed.groupBy("block").applyInPandas(lambda b: _worth_reading(b, least), out)
-            self.confirm(stored(near, "minhash-near").withColumn("part", F.lit(-1)))
-        if dense is not None and not dense.isEmpty():
-            # What has been connected meanwhile need not be compared.
-            found = self.components().withColumnRenamed("comp", "now")
-            dense = dense.join(found.hint("merge"), "key", "left").withColumn("comp", F.coalesce("now", "key")).drop("now")
-            self.confirm(self._block_pairs(self._open(dense)))
+        rows = self._open(self.with_comps(self.members))
+        deep = F.col("count") > 2 * BLOCK * DEEPER
+        deeper = rows.where(deep).join(self.places.select("key", "tails").hint("merge"), "key").select(
+            "region", "key", "row", "comp", F.posexplode("tails").alias("order", "tail")
+        )
+        deeper = deeper.withColumn("region", F.xxhash64("region", "order", "tail")).withColumn("order", F.lit(0))
+        rows = rows.where(~deep).unionByName(self._open(deeper))
+        ranked = with_rank(rows, [F.col("region"), F.col("comp"), F.col("key")], "rank", "minhash-ranked")
+        start = ranked.groupBy("region").agg(F.min("rank").alias("start"))
+        minima = self.places.select("key", "heads", "tails")
+        placed = ranked.join(start.hint("merge"), "region").join(minima.hint("merge"), "key")
+        large = F.col("count") > 2 * BLOCK
+        percent = self.percent
+
+        def promising(block: pd.DataFrame) -> pd.DataFrame:
+            kept = [r[_worth_comparing(r, percent).any(axis=1)] for _, r in block.groupby("region", sort=False)]
+            return pd.concat(kept) if kept else block
+
+        small = placed.where(~large).withColumn("block", F.floor(F.col("start") / BLOCK)).drop("start", "rank", "count")
+        small = stored(small.groupBy("block").applyInPandas(promising, small.schema), "minhash-promising")
+        whole = small.withColumn("part", F.lit(-1))
+        self.confirm(whole.unionByName(self._block_pairs(placed.where(large)).select(whole.columns)))
 
     def _block_pairs(self, dense: DataFrame) -> DataFrame:
         """Blocks of a region two by two, but for those of one and the same component.
 
         Components stand together, so a small one beside a large one meets each of its blocks once.
         """
-        ranked = with_rank(dense, [F.col("region"), F.col("comp"), F.col("key")], "rank", "minhash-ranked")
-        start = ranked.groupBy("region").agg(F.min("rank").alias("start"))
-        own = F.floor((F.col("rank") - F.col("start")) / (BLOCK // 2)).alias("own")
-        rows = ranked.join(start.hint("merge"), "region").select("region", "key", "row", "tail", "comp", own)
-        rows = stored(rows, "minhash-dense")
+        own = F.floor((F.col("rank") - F.col("start")) / BLOCK)
+        rows = stored(dense.withColumn("own", own).drop("rank", "start", "count"), "minhash-dense")
         about = rows.groupBy("region", "own").agg(F.min("comp").alias("first"), F.max("comp").alias("last"))
         other = about.toDF("region", "other", "other_first", "other_last")
         same = "first = last and other_first = other_last and first = other_first"
@@ -275,7 +276,7 @@ class _Forest:
         block = F.xxhash64("region", "own", "other").alias("block")
         left = pairs.select("region", "own", block, F.when(F.col("own") == F.col("other"), -1).otherwise(0).alias("part"))
         right = pairs.where("own < other").select("region", F.col("other").alias("own"), block, F.lit(1).alias("part"))
-        return stored(rows.join(left.unionByName(right).hint("merge"), ["region", "own"]), "minhash-pairs")
+        return stored(rows.join(left.unionByName(right).hint("merge"), ["region", "own"]).drop("own"), "minhash-pairs")
 
 
 def minhash_components(
@@ -298,13 +299,13 @@ def minhash_components(
     """
     signature = Signature(orders_for(percent, depth, miss), depth)
     sets = _sets(docs, doc_id, text, shingle, signature)
-    forest = _Forest(sets, percent, shingle, signature.orders)
+    forest = _Forest(sets, percent, shingle)
     forest.connect_homes()
-    forest.compare_rest(forest.bridge())
-    roots = forest.components()
+    forest.bridge()
+    forest.compare_rest()
     least = sets.where("n > 0").groupBy("key").agg(F.min("doc").alias("least"))
     # As many sets as documents: never a broadcast, however small the corpus.
-    placed = least.join(roots.hint("merge"), "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp"))
+    placed = least.join(forest.comps.hint("merge"), "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp"))
     placed = stored(placed, "minhash-roots")
     first = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     of = placed.join(first.hint("merge"), "comp").select("key", "component_id")

@@ -83,18 +83,14 @@ def test_a_dense_region_that_is_not_connected(spark, monkeypatch):
     assert found(spark, rows, percent=92) == expected
 
 
-def test_every_step_finds_links(spark, monkeypatch):
-    """Bridging and the comparison of the rest, each without the steps before it."""
+def test_the_last_step_alone_finds_all(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    rows = chains(7, 4, 20, 4)
-    expected = slow(rows, 85)
-    nothing = lambda self: self.confirm(
-        self._in_blocks(self.members.where("false").withColumn("comp", minhash.F.col("key")))
-    )
-    monkeypatch.setattr(minhash._Forest, "connect_homes", nothing)
-    assert found(spark, rows, percent=85) == expected
-    monkeypatch.setattr(minhash._Forest, "bridge", lambda self: self._open(self._with_comps()))
-    assert found(spark, rows, percent=85) == expected
+    monkeypatch.setattr(minhash, "DEEPER", 1)  # regions of more than 16 are ordered anew
+    rows = chains(7, 4, 25, 4)
+    alone = lambda self: self._in_blocks(self.members.where("false").withColumn("comp", minhash.F.col("key")))
+    monkeypatch.setattr(minhash._Forest, "connect_homes", lambda self: self.confirm(alone(self)))
+    monkeypatch.setattr(minhash._Forest, "bridge", lambda self: None)
+    assert found(spark, rows, percent=85) == slow(rows, 85)
 
 
 def test_odd_rows(spark):
