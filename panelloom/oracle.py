@@ -60,8 +60,8 @@ long as (
 
 
 def _respelled(flag: str, name: str) -> str:
-    return f"""select u.unit, y."year", m.month_number, n as {name}
-  from (select distinct unit, "year" % 2 as spelling from cells where flag = '{flag}') u
+    return f"""select u.unit, y."year", m.month_number, n as {name}, u.first * 100 + m.month_number as place_at
+  from (select unit, "year" % 2 as spelling, min("year") as first from cells where flag = '{flag}' group by 1, 2) u
     cross join (select distinct "year" from cells where flag = '{flag}') y
     cross join (select cast(unnest(range(1, 13)) as integer) as month_number) m
     left join cells c on c.flag = '{flag}' and c.unit = u.unit and c."year" = y."year"
@@ -76,7 +76,7 @@ vip as ({_respelled("A", "vacc_vip_3_dose")}), vop as ({_respelled("N", "vacc_vo
 base as (
   select coalesce(a.unit, b.unit) as unit, coalesce(a."year", b."year") as "year",
          {_MONTHS}[coalesce(a.month_number, b.month_number)] as "month", vacc_vip_3_dose, vacc_vop_3_dose,
-         coalesce(a.month_number, b.month_number) as month_number
+         coalesce(a.month_number, b.month_number) as month_number, a.place_at as vip_at, b.place_at as vop_at
   from vip a full join vop b on a.unit = b.unit and a."year" = b."year" and a.month_number = b.month_number)"""
 
 ORDERED = """ordered as (
@@ -111,7 +111,9 @@ CALENDAR = """calendar as (
   from (select distinct "year", month_number from base))"""
 
 
-def _panel(events: str, extra: str = "", base: str = BASE, doses: str = _VACC) -> str:
+def _panel(
+    events: str, extra: str = "", base: str = BASE, doses: str = _VACC, order: str = "month_number"
+) -> str:
     flags = ", ".join(f"case when share > {t} then 1 else 0 end as {n}" for n, t in FLAGS.items())
     return f"""{base}, {ORDERED}, {POPULATION}, {ATTRIBUTES}, {EVENTS}, {CALENDAR},
 timed as (
@@ -130,7 +132,7 @@ running as (
   select *, case when count(*) filter (where vacc_total is null) over w = 0
             then cast(sum(vacc_total) over w as bigint) end as vacc_accum
   from goals
-  window w as (partition by "year", unit order by month_number nulls last
+  window w as (partition by "year", unit order by {order} nulls last
                rows between unbounded preceding and current row)),
 covered as (
   select *, vacc_accum / goal_accum as cob_accum, vacc_total / goal_month as cob_month from running),
@@ -268,9 +270,9 @@ _SUMMARY = " union all ".join(
 ORACLE: dict[str, str] = {
     "series_long": f"""with {FILED} select series, n as vacc_dose, "year", "month", unit from long""",
     "ingest_all": f"""with {FILED} select series, unit, "year", "month", n as doses from long""",
-    "respelled_fold": f"""with {RESPELLED} select * replace (unit + 110000 as unit) from base""",
-    "respelled_panel": f"""with {_panel("busy", base=RESPELLED, doses="vacc_vip_3_dose, vacc_vop_3_dose")}
-select * exclude (vacc_accum, cob_accum) from panel""",
+    "respelled_fold": f"""with {RESPELLED} select * exclude (vip_at, vop_at) replace (unit + 110000 as unit) from base""",
+    "respelled_panel": f"""with {_panel("busy", base=RESPELLED, doses="vacc_vip_3_dose, vacc_vop_3_dose, vip_at, vop_at", order="vip_at nulls last, vop_at")}
+select * exclude (vip_at, vop_at) from panel""",
     "annual_long": f"""with {ORDERED}, {ANNUAL}, rows_ as (
   select unit + 110000 as unit, "year", vacc_cob_polio from annual),
 labels_ as (select distinct unit from rows_), years_ as (select distinct "year" from rows_)

@@ -23,10 +23,15 @@ from panelloom.sources.delimited import (
 from panelloom.sources.sinks import stage, write_csv, write_table
 
 
+#: Column of ``read_delimited(position=...)`` from which ``series_long`` takes the order of the lines.
+POSITION = "_position"
+
+
 def _numeric(df: DataFrame, label: str) -> DataFrame:
-    """Lower-case names, no totals columns, every column but the label as a number."""
+    """Lower-case names, no totals columns, every column but the label (and the position) as a number."""
     table = drop_containing(lower_names(df), "total")
-    return table.select(label, *number_columns(c for c in table.columns if c != label))
+    kept = [c for c in table.columns if c in (label, POSITION)]
+    return table.select(*kept, *number_columns(c for c in table.columns if c not in kept))
 
 
 def year_in(name: str) -> int | None:
@@ -60,6 +65,7 @@ def series_long(
     label: str = "município",
     duplicates: str = "auto",
     place: str = "cod_mun",
+    order: str | None = None,
 ) -> DataFrame:
     """Long table of one series from wide tables, one per file, keyed by the place label.
 
@@ -68,23 +74,25 @@ def series_long(
     unpivoted one by one and stacked, and only the (label, file) pairs are grouped to find what is absent.
     A label that a file repeats multiplies its rows as that join does (``duplicates`` as in
     ``fold_full``). Totals columns go first, since every file repeats them.
+
+    ``order`` names a column that sorts the rows as that join and the unpivoting would leave them: by the line of the place in
+    the first file that has it, then by file and column. It needs tables with the column POSITION.
     """
     value = f"vacc_{name}"
     if duplicates == "join":
-        wide = fold_full([_numeric(t, label) for t in tables], [label], duplicates)
-        coded = keep_known(_with_code(wide, label, place), place)
-        long = pivot_longer_parsed(coded, [place], PERIOD_NAMES, value)
-        return long.select(value, "year", "month", place)
+        return _long_of_joined(tables, value, label, place, order)
     parts, periods = [], []
     for i, table in enumerate(tables):
         numeric = _numeric(table, label)
-        periods.append([c for c in numeric.columns if c != label])
+        periods.append([c for c in numeric.columns if c not in (label, POSITION)])
         if not periods[i]:
             numeric = numeric.withColumn("none", F.lit(None).cast("double"))
         coded = numeric.withColumn(place, _code(label))
-        cells = pivot_longer_parsed(coded, [label, place], PERIOD_NAMES, value)
+        at = {c: j for j, c in enumerate(periods[i])}
+        ids = [label, place, POSITION] if order else [label, place]
+        cells = pivot_longer_parsed(coded, ids, {**PERIOD_NAMES, "_column": lambda c, at=at: at.get(c, 0)}, value)
         year, month = F.col("year").cast("int").alias("year"), F.col("month").cast("string").alias("month")
-        parts.append(cells.select(label, place, year, month, value, F.lit(i).alias("_file")))
+        parts.append(cells.select(*ids, year, month, value, F.lit(i).alias("_file"), "_column"))
     cells = stage(reduce(DataFrame.unionByName, parts), "cells")
     widths = F.array(*[F.lit(max(1, len(p))) for p in periods])
     pairs = cells.groupBy(label, "_file").agg(F.count("*").alias("_n"))
@@ -92,7 +100,7 @@ def series_long(
     if not repeated.isEmpty():
         if duplicates == "raise":
             raise ValueError("series_long: a file repeats a place label")
-        return series_long(tables, name, label, "join", place)
+        return series_long(tables, name, label, "join", place, order)
     everywhere = F.sequence(F.lit(0), F.lit(len(tables) - 1))
     absent = cells.groupBy(label).agg(F.collect_set("_file").alias("_files"))
     absent = absent.select(label, F.explode(F.array_except(everywhere, "_files")).alias("_file"))
@@ -105,19 +113,51 @@ def series_long(
             for p in parsed
         ]
     )
-    empty = absent.select(label, F.explode(F.element_at(listed, F.col("_file") + 1)).alias("_p"))
-    empty = empty.select(label, "_p.year", "_p.month", F.lit(None).cast("double").alias(value))
+    empty = absent.select(label, "_file", F.posexplode(F.element_at(listed, F.col("_file") + 1)).alias("_column", "_p"))
+    empty = empty.select(label, "_p.year", "_p.month", F.lit(None).cast("double").alias(value), "_file", "_column")
     kept = cells.filter(F.element_at(F.array(*[F.lit(bool(p)) for p in periods]), F.col("_file") + 1))
     empty = empty.withColumn(place, _code(label))
-    long = kept.drop("_file").unionByName(empty)
-    return keep_known(long, place).select(value, "year", "month", place)
+    if not order:
+        return keep_known(kept.unionByName(empty), place).select(value, "year", "month", place)
+    long = keep_known(kept.drop(POSITION).unionByName(empty), place)
+    first = cells.groupBy(label).agg(F.min(F.struct("_file", POSITION)).alias("_first"))
+    sorting = F.struct("_first", "_file", "_column").alias(order)
+    return long.join(first, label).select(value, "year", "month", place, sorting)
+
+
+def _long_of_joined(
+    tables: list[DataFrame], value: str, label: str, place: str, order: str | None
+) -> DataFrame:
+    """``series_long`` by full joins of the files, for labels that a file repeats.
+
+    A joined row stands where its line of the first file does, then the second's; lines that a file lacks come last.
+    """
+    lines = [f"{POSITION}_{i}" for i in range(len(tables))]
+    numeric = [_numeric(t, label) for t in tables]
+    if order:
+        numeric = [t.withColumnRenamed(POSITION, n) for t, n in zip(numeric, lines, strict=True)]
+    else:
+        numeric = [t.drop(POSITION) for t in numeric]
+    wide = fold_full(numeric, [label], "join")
+    coded = keep_known(_with_code(wide, label, place), place)
+    if not order:
+        return pivot_longer_parsed(coded, [place], PERIOD_NAMES, value).select(value, "year", "month", place)
+    row = F.struct(*[x for n in lines for x in (F.col(n).isNull().alias(f"{n}_none"), F.col(n))])
+    coded = coded.withColumn("_row", row).drop(*lines)
+    at = {c: j for j, c in enumerate(c for c in coded.columns if c not in (place, "_row"))}
+    long = pivot_longer_parsed(coded, [place, "_row"], {**PERIOD_NAMES, "_column": at.get}, value)
+    return long.select(value, "year", "month", place, F.struct("_row", "_column").alias(order))
 
 
 def ingest_series(
     spark: SparkSession, name: str, path: str | Sequence[str], **options
 ) -> DataFrame:
     """``series_long`` over the ``;`` files of a directory, or over the listed files."""
-    tables = read_family(spark, path) if isinstance(path, str) else read_files(spark, path)
+    position = POSITION if options.get("order") else None
+    if isinstance(path, str):
+        tables = read_family(spark, path, position=position)
+    else:
+        tables = read_files(spark, path, position=position)
     return series_long(tables, name, **options)
 
 

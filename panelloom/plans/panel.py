@@ -59,24 +59,24 @@ def add_coverage(df: DataFrame) -> DataFrame:
     )
 
 
-def _accumulate_any(df: DataFrame, place: str) -> DataFrame:
+def _accumulate_any(df: DataFrame, place: str, order: Sequence[str] = ()) -> DataFrame:
     """Running doses when a place and month may repeat without bound.
 
-    Repeated rows have no defined order, so a hash of the row orders them.
+    Rows that ``order`` (by default the month) leaves in a tie go by a hash of the row.
     """
     hashed = df.withColumn("_hash", F.xxhash64(*df.columns))
-    return running_sum_blocked(
-        hashed, "vacc_total", "vacc_accum", ["year", place], ["month_number", "_hash"]
-    ).drop("_hash")
+    order_by = [*(order or ["month_number"]), "_hash"]
+    return running_sum_blocked(hashed, "vacc_total", "vacc_accum", ["year", place], order_by).drop("_hash")
 
 
-def _accumulate_months(df: DataFrame, place: str) -> DataFrame:
+def _accumulate_months(df: DataFrame, place: str, order: Sequence[str] = ()) -> DataFrame:
     """Running doses of a place's year; a repeated month fails the job."""
     by = ["year", place]
     month = F.struct(*MONTH_ORDER)
     before = F.lag(month).over(Window.partitionBy(*by).orderBy(*nulls_last(MONTH_ORDER)))
+    running = running_sum("vacc_total", by, order or MONTH_ORDER)
     return (
-        df.withColumns({"vacc_accum": running_sum("vacc_total", by, MONTH_ORDER), "_before": before})
+        df.withColumns({"vacc_accum": running, "_before": before})
         .filter(holds(~F.col("_before").eqNullSafe(month), "build_panel: a place repeats a month"))
         .drop("_before")
     )
@@ -93,6 +93,7 @@ def build_panel(
     total: Sequence[str] = ("vacc_vip_3_dose", "vacc_vop_3_dose"),
     event_mode: str = "parity",
     duplicates: str = "auto",
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Monthly base with calendar index, population, goals, coverage, attributes and events.
 
@@ -104,6 +105,10 @@ def build_panel(
     attributes are each shuffled once, by place; both attachments and the
     running sum work on that one partitioning. If a key repeats, ``duplicates='auto'`` takes exact
     many-to-many joins instead, ``'raise'`` fails the job; ``'join'`` takes them in any case.
+
+    Running doses go by month, or by the ``order`` columns of ``base``, missing ones last: with the order columns of
+    the folded series they add up in the order in which the files list the cells, as the analysis does. These columns
+    do not reach the panel.
     """
     flags = flags or {"flag_70": 0.7, "flag_60": 0.6}
     if duplicates == "auto":
@@ -125,10 +130,10 @@ def build_panel(
     doses = joined.withColumn("vacc_total", sum((F.col(c) for c in total[1:]), F.col(total[0])))
     doses = add_goals(doses)
     if unique:
-        covered = add_coverage(_accumulate_months(doses, place))
+        covered = add_coverage(_accumulate_months(doses, place, order).drop(*order))
         described = attach_unique(covered, attributes, [place])
     else:
-        covered = stage(add_coverage(_accumulate_any(doses, place)), "covered")
+        covered = stage(add_coverage(_accumulate_any(doses, place, order).drop(*order)), "covered")
         described = full_join(covered, attributes, [place])
     dated = events.filter(" or ".join(f"{k} is null" for k in PERIOD)).isEmpty()
     if dated:

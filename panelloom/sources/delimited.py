@@ -29,30 +29,50 @@ def read_delimited(
     sep: str = ";",
     encoding: str = LATIN1,
     repair: Callable[[DataFrame], DataFrame] = remove_from_names,
+    position: str | None = None,
 ) -> DataFrame:
     """One delimited file with a header, every column as text, header names repaired.
 
-    Only the header line is read here; no pass over the data infers types.
+    Only the header line is read here; no pass over the data infers types. ``position`` names a column that sorts the
+    rows as they stand in the file: (part, start of the split, row of the task). Its values are comparable within one
+    run only, so store the table before it is read twice.
     """
-    return repair(spark.read.csv(path, sep=sep, header=True, encoding=encoding, nullValue="NA"))
+    table = spark.read.csv(path, sep=sep, header=True, encoding=encoding, nullValue="NA")
+    if position is None:
+        return repair(table)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return repair(table.select("*", place.alias(position)))
 
 
 def read_files(
-    spark: SparkSession, paths: Sequence[str], sep: str = ";", encoding: str = LATIN1
+    spark: SparkSession,
+    paths: Sequence[str],
+    sep: str = ";",
+    encoding: str = LATIN1,
+    position: str | None = None,
 ) -> list[DataFrame]:
     """One DataFrame per file, because the headers differ from file to file.
 
     Threads overlap the short jobs that fetch the header lines.
     """
     with ThreadPoolExecutor(8) as pool:
-        return list(pool.map(lambda p: read_delimited(spark, p, sep, encoding), paths))
+        return list(pool.map(lambda p: read_delimited(spark, p, sep, encoding, position=position), paths))
 
 
 def read_family(
-    spark: SparkSession, path: str, pattern: str = "*.csv", sep: str = ";", encoding: str = LATIN1
+    spark: SparkSession,
+    path: str,
+    pattern: str = "*.csv",
+    sep: str = ";",
+    encoding: str = LATIN1,
+    position: str | None = None,
 ) -> list[DataFrame]:
     """``read_files`` over the files of a directory."""
-    return read_files(spark, list_files(spark, path, pattern), sep, encoding)
+    return read_files(spark, list_files(spark, path, pattern), sep, encoding, position)
 
 
 def read_handoff(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") -> DataFrame:

@@ -193,6 +193,7 @@ def panel(
     event_mode: str = "parity",
     duplicates: str = "raise",
     months: DataFrame | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """The panel; its inputs are aggregates by their keys, so one that repeats a key is an error."""
     return build_panel(
@@ -204,6 +205,7 @@ def panel(
         flags=FLAGS,
         event_mode=event_mode,
         duplicates=duplicates,
+        order=order,
     )
 
 
@@ -225,7 +227,8 @@ def wide_files(
 ) -> dict[str, list[str]]:
     """Write one wide ``;`` Latin-1 table per flag and year: labelled places, month columns, a total.
 
-    With ``respelled`` the labels of even years are in capitals: to the ingest they are other places.
+    With ``respelled`` the labels of even years are in capitals: to the ingest they are other places; the lines of a
+    file then stand in the order of their labels.
     """
     months = [
         F.nullif(F.count_if(F.col("month_number") == i + 1), F.lit(0)).alias(m)
@@ -247,6 +250,8 @@ def wide_files(
         headed = [F.col(m).alias(f"{year}/{m.title()}") for m in MONTHS_PT]
         chosen = wide.filter((F.col("l_returnflag") == flag) & (F.col("year") == year))
         file = scratch_path(spark, f"wide-{flag}-{year}")
+        if respelled:
+            chosen = chosen.orderBy("Município")
         chosen.select("Município", *headed, "Total").write.csv(
             file, sep=";", header=True, encoding="ISO-8859-1", nullValue="-"
         )
@@ -283,20 +288,28 @@ def ingested_series(spark, sf_dir):
     return reduce(DataFrame.unionByName, tables)
 
 
-def respelled_base(spark, sf_dir):
+RESPELLED_ORDER = ["_order_vip_3_dose", "_order_vop_3_dose"]
+
+
+def _respelled(spark, sf_dir):
     """Two series from files that spell places two ways, folded: each spelling is a place, codes repeat."""
     files = wide_files(spark, sf_dir, ["A", "N"], respelled=True)
     series = [
-        ingest.ingest_series(spark, name, files[flag], place=PLACE) for name, flag in (("vip_3_dose", "A"), ("vop_3_dose", "N"))
+        ingest.ingest_series(spark, name, files[flag], place=PLACE, order=f"_order_{name}")
+        for name, flag in (("vip_3_dose", "A"), ("vop_3_dose", "N"))
     ]
     folded = monthly_base(series, after=AFTER, place=PLACE)
     return folded.withColumns({c: F.col(c).cast("bigint") for c in ("vacc_vip_3_dose", "vacc_vop_3_dose")})
 
 
+def respelled_base(spark, sf_dir):
+    return _respelled(spark, sf_dir).drop(*RESPELLED_ORDER)
+
+
 def respelled_panel(spark, sf_dir):
-    """The panel on such a base. Running doses have no defined order within a repeated month and are left out."""
-    months = respelled_base(spark, sf_dir).withColumn(PLACE, F.col(PLACE) - 110000)
-    return panel(spark, sf_dir, duplicates="auto", months=months).drop("vacc_accum", "cob_accum")
+    """The panel on such a base; running doses of the repeated months go in the order of the files' cells."""
+    months = _respelled(spark, sf_dir).withColumn(PLACE, F.col(PLACE) - 110000)
+    return panel(spark, sf_dir, duplicates="auto", months=months, order=RESPELLED_ORDER)
 
 
 def annual_from_wide(spark, sf_dir):

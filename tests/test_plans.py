@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from panelloom.plans import coverage as C
+from panelloom.plans import ingest
 from panelloom.plans import panel as P
 from panelloom.plans.reconcile import reconcile
 from tests.conftest import rows
@@ -181,3 +182,35 @@ def test_event_without_a_month_matches_rows_without_a_month(spark):
     panel = P.build_panel(base, population(spark), attributes(spark), odd, event_mode="collapse")
     matched = panel.filter("month_number is null and year = 2016")
     assert rows(matched, PLACE, "event_date") == [(3, dt.date(2016, 7, 7))]
+
+
+def test_running_doses_follow_the_files(spark, tmp_path):
+    """Cells in the order of a full join of the files on the label: lines of the first, then those only later files have."""
+    header = "Município;2016/Fev;2016/Jan;Total"
+    files = {
+        "a.csv": [header, "12 Two;1;2;3", "11 One;10;20;30", "13 Three;5;6;11"],
+        "b.csv": ["Município;2016/Mar;Total", "11 ONE;100;100", "12 Two;7;7", "14 Four;8;8"],
+    }
+    for name, lines in files.items():
+        (tmp_path / name).write_bytes("\n".join(lines).encode("latin-1"))
+    long = ingest.ingest_series(spark, "x", str(tmp_path), order="at").orderBy("at").collect()
+    expected = [
+        (12, "fev", 1), (12, "jan", 2), (12, "mar", 7), (11, "fev", 10), (11, "jan", 20), (11, "mar", None),
+        (13, "fev", 5), (13, "jan", 6), (13, "mar", None), (11, "fev", None), (11, "jan", None), (11, "mar", 100),
+        (14, "fev", None), (14, "jan", None), (14, "mar", 8),
+    ]
+    assert [(r.cod_mun, r.month, r.vacc_x) for r in long] == expected
+    base = P.monthly_base([ingest.ingest_series(spark, "x", str(tmp_path), order="at")])
+    total = P._accumulate_any(base.withColumnRenamed("vacc_x", "vacc_total"), "cod_mun", ["at"])
+    running = {(r.cod_mun, r.month, r.vacc_total): r.vacc_accum for r in total.collect()}
+    assert running[(12, "fev", 1)] == 1 and running[(12, "jan", 2)] == 3 and running[(12, "mar", 7)] == 10
+    assert running[(11, "jan", 20)] == 30 and running[(11, "mar", 100)] is None
+
+
+def test_order_when_a_file_repeats_a_label(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Município;2016/Jan\n11 A;1\n12 B;2\n11 A;3\n", "latin-1")
+    (tmp_path / "b.csv").write_text("Município;2016/Fev\n13 C;4\n11 A;5\n11 A;6\n", "latin-1")
+    long = ingest.ingest_series(spark, "x", str(tmp_path), order="at").orderBy("at").collect()
+    assert [(r.cod_mun, r.vacc_x) for r in long] == [
+        (11, 1), (11, 5), (11, 1), (11, 6), (12, 2), (12, None), (11, 3), (11, 5), (11, 3), (11, 6), (13, None), (13, 4),
+    ]
