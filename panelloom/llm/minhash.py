@@ -185,16 +185,17 @@ class _Forest:
         links = stored(made, "minhash-links")
         if self.comps is not None and links.isEmpty():
             return
-        roots = components(links).select(F.col("node").alias("comp"), F.col("root").alias("now"))
         if self.comps is None:
-            found = roots.select(F.col("comp").alias("key"), F.col("now").alias("comp"))
-        else:
-            # A component that is linked for the first time is named after its only set.
-            moved = self.comps.join(roots.hint("merge"), "comp", "full")
-            own = moved.select(F.coalesce("key", "comp").alias("key"), F.coalesce("now", "comp").alias("comp"))
-            named = roots.select(F.col("comp").alias("key"), F.col("now").alias("comp"))
-            found = own.unionByName(named).distinct()
-        self.comps = stored(found, "minhash-comps")
+            # So far each document was in one block, whose stars are the components.
+            own = links.select(F.col("a").alias("key"), F.col("a").alias("comp")).distinct()
+            self.comps = stored(links.select(F.col("b").alias("key"), F.col("a").alias("comp")).unionByName(own), "minhash-comps")
+            return
+        roots = components(links).select(F.col("node").alias("comp"), F.col("root").alias("now"))
+        # A component that is linked for the first time is named after its only set.
+        moved = self.comps.join(roots.hint("merge"), "comp", "full")
+        own = moved.select(F.coalesce("key", "comp").alias("key"), F.coalesce("now", "comp").alias("comp"))
+        named = roots.select(F.col("comp").alias("key"), F.col("now").alias("comp"))
+        self.comps = stored(own.unionByName(named).distinct(), "minhash-comps")
 
     def with_comps(self, rows: DataFrame) -> DataFrame:
         found = rows.join(self.comps.hint("merge"), "key", "left")
@@ -245,7 +246,8 @@ class _Forest:
             "region", "key", "row", "comp", F.posexplode("tails").alias("order", "tail")
         )
         deeper = deeper.withColumn("region", F.xxhash64("region", "order", "tail")).withColumn("order", F.lit(0))
-        rows = rows.where(~deep).unionByName(self._open(deeper))
+        if not rows.where(deep).isEmpty():
+            rows = rows.where(~deep).unionByName(self._open(deeper))
         ranked = with_rank(rows, [F.col("region"), F.col("comp"), F.col("key")], "rank", "minhash-ranked")
         start = ranked.groupBy("region").agg(F.min("rank").alias("start"))
         minima = self.places.select("key", "heads", "tails")
