@@ -94,6 +94,8 @@ TEMPLATES: dict[str, list[str]] = {
 WORD = re.compile(r"\{\}|[^\W_]+(?:[.-][^\W_]+)*")
 LEVEL = 9
 LONG = 6  # letters of words that are rare enough for a cue
+SLOT = 1000  # words that a slot may take; more are prose between two mentions
+SLOT_CHARS = 16 * SLOT
 CHANGED = 0.1  # share of a template's words that may differ; words with a digit never may
 
 
@@ -239,7 +241,8 @@ class Scanner:
         if not after:
             return words[begin : at + len(template) + 8]
         anchor = max(after, key=len)
-        there = re.compile(rf"(?i)(?<![^\W_]){re.escape(anchor)}(?![^\W_])").search(text, first + words[at][2])
+        start = first + words[at][2]
+        there = re.compile(rf"(?i)(?<![^\W_]){re.escape(anchor)}(?![^\W_])").search(text, start, start + SLOT_CHARS)
         if there is None:
             return words[begin : at + len(template) + 8]
         longer = words_of(text[first : there.end() + self.reach])
@@ -255,11 +258,14 @@ class Scanner:
         return int(CHANGED * plain) > 1 or not any(w in self.naming for c in changed for w in c)
 
     def rank(self, words: list[tuple[str, int, int]], cue: int, text: str, first: int) -> tuple | None:
-        """The closest confirmed template among all those that shrink the block at the cue."""
+        """The first confirmed template in the order of the bytes that it saves as a dictionary of its block.
+
+        Ties go to the wording with fewest differences, then the longest.
+        """
         at = next((i for i, w in enumerate(words) if w[2] > cue), None)
         if at is None:
             return None
-        confirmed = []
+        ranking = []
         near = Counter(w for w, _, _ in words)
         for k, template in enumerate(self.words):
             slot = "{}" in template
@@ -269,20 +275,29 @@ class Scanner:
             if (self.bags[k] - Counter(w for w, _, _ in block)).total() > allowed(template):
                 continue
             data = " ".join(w for w, _, _ in block).encode()
-            saved = 1 - len(self.primed[k].compress(data)) / len(self.plain.compress(data))
-            if saved <= 0:
-                continue
+            plain = len(self.plain.compress(data))
+            saved = plain - len(self.primed[k].compress(data))
+            if saved > 0:
+                ranking.append((saved, saved / plain, k, block))
+        ranking.sort(key=lambda r: (-r[0], -len(self.words[r[2]]), r[2]))
+        best, most = None, None
+        for saved, reduction, k, block in ranking:
+            if best and saved < most:
+                break
+            template = self.words[k]
             i, j, missing, added = align(template, [w for w, _, _ in block])
             if not (i < j and block[i][1] <= cue < block[j - 1][2] and self.firm(k, missing, added)):
                 continue
             start, end = block[i][1], block[j - 1][2]
-            if slot and any(f[2] != self.names[k] for f in self.scan(text[first + block[i][2] : first + end])):
-                continue  # the slot would swallow another notice
-            confirmed.append((max(len(missing), len(added)), -len(template), k, start, end, saved, missing, added))
-        if not confirmed:
-            return None
-        _, _, k, start, end, reduction, missing, added = min(confirmed)
-        return start, end, self.names[k], reduction, missing, added
+            if "{}" in template:
+                if j - i > SLOT + len(template):
+                    continue
+                if any(f[2] != self.names[k] for f in self.scan(text[first + block[i][2] : first + end])):
+                    continue  # the slot would swallow another notice
+            key = (max(len(missing), len(added)), -len(template), k)
+            if best is None or key < best[0]:
+                best, most = (key, start, end, self.names[k], reduction, missing, added), saved
+        return best and best[1:]
 
 
 FOUND = (
@@ -300,9 +315,9 @@ def scan_licenses(
     """One row for each notice: (doc_id, start, end, license, reduction, differences, exact, wording).
 
     start and end count code points of the text. Documents without a notice, null and empty texts give no
-    row; repeated rows give their notices again. Whole texts are searched; where one notice
-    contains another, the one with fewest differences, then the longest, counts. Other
-    columns of ``docs`` are not read.
+    row; repeated rows give their notices again. Whole texts are searched; where several wordings fit, the
+    one that saves most bytes as a dictionary counts, of equal ones that with fewest differences, then the longest.
+    A slot takes SLOT words at most. Other columns of ``docs`` are not read.
     """
     candidates = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     candidates = candidates.where(F.col("text").rlike(cues(templates)))

@@ -102,3 +102,32 @@ def test_other_licenses(scanner, text):
 def test_slots_swallow_no_notice(scanner):
     text = "Copyright 2001 Ann. Released under the MIT License. Copyright Bob. All rights reserved."
     assert [f[2] for f in scanner.scan(text)] == ["MIT", "all-rights-reserved"]
+
+
+class Dummy:
+    """A compressor that always saves a byte, whatever the template."""
+
+    def __init__(self, size):
+        self.size = size
+
+    def compress(self, data):
+        return b" " * self.size
+
+
+def test_compression_decides():
+    """Of two wordings that fit, the one that shrinks its block more is told; dummies leave the choice to the tie rule."""
+    own = {"long": ["This tool is free for private use by all"], "short": ["tool is free for private use by all"]}
+    text = "Prose. This tool is free for private use by all, honestly. Prose."
+    real, dummy = Scanner(own), Scanner(own)
+    assert [f[2] for f in real.scan(text)] == ["long"]
+    dummy.plain, dummy.primed = Dummy(11), [Dummy(10)] * len(own)
+    assert [f[2] for f in dummy.scan(text)] == ["long"]
+    real.primed[real.names.index("short")] = Dummy(1)
+    assert [f[2] for f in real.scan(text)] == ["short"]
+    real.primed = [Dummy(10_000)] * len(own)
+    assert real.scan(text) == []
+
+
+def test_a_slot_ends(scanner):
+    text = "Copyright law is a subject. " + "words of prose " * 1000 + "and all rights reserved by the author"
+    assert [(f[2], f[1] - f[0]) for f in scanner.scan(text)] == [("all-rights-reserved", 19)]

@@ -86,7 +86,7 @@ def test_op3(spark, docs):
 def test_op4(spark, docs):
     notice = re.compile(
         "Released under the MIT License|Licensed under the Apache License, Version 2.0|Licensed under CC BY-NC 4.0"
-        "|This work is licensed under the GNU General Public License, version 3"
+        "|This work is licensed under the GNU General Public License, version 3|All rights reserved"
     )
     expected = sorted((d.doc_id, m.start(), m[0]) for d in docs for m in notice.finditer(d.text))
     found = run(spark, "op4_licenses")
