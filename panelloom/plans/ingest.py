@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,15 +11,10 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.scalars import code_prefix, extract_first, number_columns, to_number
 from panelloom.operators.filters import keep_known
-from panelloom.operators.joins import fold_full
+from panelloom.operators.joins import broadcast_checked, fold_full, holds
 from panelloom.operators.names import clean_names, drop_containing, lower_names
 from panelloom.operators.reshape import pivot_longer_parsed
-from panelloom.sources.delimited import (
-    read_delimited,
-    read_family,
-    read_files,
-    read_with_preamble,
-)
+from panelloom.sources.delimited import files_of, plain_path, read_cells, read_delimited, read_with_preamble
 from panelloom.sources.sinks import stage, write_csv, write_table
 
 
@@ -70,78 +65,91 @@ def series_long(
     """Long table of one series from wide tables, one per file, keyed by the place label.
 
     As after a full join of the files on the label, a place absent from a file gets a
-    missing cell for each of that file's periods. No wide table is built for it: the files are
-    unpivoted one by one and stacked, and only the (label, file) pairs are grouped to find what is absent.
-    A label that a file repeats multiplies its rows as that join does (``duplicates`` as in
-    ``fold_full``). Totals columns go first, since every file repeats them.
+    missing cell for each of that file's periods. No wide table is built for it: the rows are
+    stacked with their cells in arrays, and only the (label, file) pairs are grouped to find what is absent.
+    A label that a file repeats multiplies its rows as that join does; ``duplicates="raise"`` fails the job instead.
+    Totals columns go first, since every file repeats them.
 
     ``order`` names a column that sorts the rows as that join and the unpivoting would leave them: by the line of the place in
     the first file that has it, then by file and column. It needs tables with the column POSITION.
     """
-    value = f"vacc_{name}"
-    if duplicates == "join":
-        return _long_of_joined(tables, value, label, place, order)
     parts, periods = [], []
     for i, table in enumerate(tables):
         numeric = _numeric(table, label)
-        periods.append([c for c in numeric.columns if c not in (label, POSITION)])
-        if not periods[i]:
-            numeric = numeric.withColumn("none", F.lit(None).cast("double"))
-        coded = numeric.withColumn(place, _code(label))
-        at = {c: j for j, c in enumerate(periods[i])}
-        ids = [label, place, POSITION] if order else [label, place]
-        cells = pivot_longer_parsed(coded, ids, {**PERIOD_NAMES, "_column": lambda c, at=at: at.get(c, 0)}, value)
-        year, month = F.col("year").cast("int").alias("year"), F.col("month").cast("string").alias("month")
-        parts.append(cells.select(*ids, year, month, value, F.lit(i).alias("_file"), "_column"))
-    cells = stage(reduce(DataFrame.unionByName, parts), "cells")
-    widths = F.array(*[F.lit(max(1, len(p))) for p in periods])
-    pairs = cells.groupBy(label, "_file").agg(F.count("*").alias("_n"))
-    repeated = pairs.filter(F.col("_n") > F.element_at(widths, F.col("_file") + 1))
+        cells = [c for c in numeric.columns if c not in (label, POSITION)]
+        periods.append([(year_in(c), month_in(c)) for c in cells])
+        values = F.array(*[F.col(f"`{c}`") for c in cells]).cast("array<double>")
+        ids = [label, POSITION] if order else [label]
+        parts.append(numeric.select(*ids, F.lit(i).alias("_file"), values.alias("_values")))
+    rows = reduce(DataFrame.unionByName, parts)
+    return _long(rows, periods, lambda: tables, name, label, duplicates, place, order)
+
+
+def _long(
+    rows: DataFrame,
+    periods: list[list[tuple[int | None, str | None]]],
+    tables: Callable[[], list[DataFrame]],
+    name: str,
+    label: str,
+    duplicates: str,
+    place: str,
+    order: str | None,
+) -> DataFrame:
+    """``series_long`` from (label, _file, _values, POSITION): a row's cells in the order of its file's ``periods``."""
+    spark, value = rows.sparkSession, f"vacc_{name}"
+    rows = stage(keep_known(rows.withColumn(place, _code(label)), place), "rows")
+    layout = spark.createDataFrame(
+        list(enumerate(periods)), "_file int, _periods array<struct<year:int,month:string>>"
+    )
+    pairs = rows.groupBy(label, place, "_file").agg(F.count("*").alias("_n"))
+    everywhere = F.sequence(F.lit(0), F.lit(len(periods) - 1))
+    absent = pairs.groupBy(label, place).agg(F.collect_set("_file").alias("_files"))
+    absent = absent.select(label, place, F.explode(F.array_except(everywhere, "_files")).alias("_file"))
+    every = rows.drop(POSITION).unionByName(absent, allowMissingColumns=True)
+    repeated = pairs.filter(F.col("_n") > 1)
     if not repeated.isEmpty():
         if duplicates == "raise":
             raise ValueError("series_long: a file repeats a place label")
-        return series_long(tables, name, label, "join", place, order)
-    everywhere = F.sequence(F.lit(0), F.lit(len(tables) - 1))
-    absent = cells.groupBy(label).agg(F.collect_set("_file").alias("_files"))
-    absent = absent.select(label, F.explode(F.array_except(everywhere, "_files")).alias("_file"))
-    parsed = [[(year_in(c), month_in(c)) for c in p] for p in periods]
-    listed = F.array(
-        *[
-            F.array(*[F.struct(F.lit(y).cast("int").alias("year"), F.lit(m).cast("string").alias("month")) for y, m in p]).cast(
-                "array<struct<year:int,month:string>>"
-            )
-            for p in parsed
-        ]
+        if order:
+            return _long_of_joined(tables(), value, label, place, order)
+        every = _multiplied(every, repeated, label)
+    cells = every.join(broadcast_checked(layout), "_file").select(
+        label, place, "_file", "_values", F.posexplode("_periods").alias("_column", "_p")
     )
-    empty = absent.select(label, "_file", F.posexplode(F.element_at(listed, F.col("_file") + 1)).alias("_column", "_p"))
-    empty = empty.select(label, "_p.year", "_p.month", F.lit(None).cast("double").alias(value), "_file", "_column")
-    kept = cells.filter(F.element_at(F.array(*[F.lit(bool(p)) for p in periods]), F.col("_file") + 1))
-    empty = empty.withColumn(place, _code(label))
+    cell = F.element_at("_values", F.col("_column") + 1).alias(value)
+    long = cells.select(label, cell, "_p.year", "_p.month", place, "_file", "_column")
     if not order:
-        return keep_known(kept.unionByName(empty), place).select(value, "year", "month", place)
-    long = keep_known(kept.drop(POSITION).unionByName(empty), place)
-    first = cells.groupBy(label).agg(F.min(F.struct("_file", POSITION)).alias("_first"))
+        return long.select(value, "year", "month", place)
+    first = rows.groupBy(label).agg(F.min(F.struct("_file", POSITION)).alias("_first"))
     sorting = F.struct("_first", "_file", "_column").alias(order)
     return long.join(first, label).select(value, "year", "month", place, sorting)
 
 
-def _long_of_joined(
-    tables: list[DataFrame], value: str, label: str, place: str, order: str | None
-) -> DataFrame:
-    """``series_long`` by full joins of the files, for labels that a file repeats.
+def _multiplied(rows: DataFrame, repeated: DataFrame, label: str) -> DataFrame:
+    """Each row as often as a full join of the files on the label would give it.
+
+    That is the product of the label's counts in the other files. Only labels that a file repeats are listed.
+    """
+    counts = F.collect_list("_n")
+    listed = repeated.groupBy(label).agg(
+        F.aggregate(counts, F.lit(1).cast("bigint"), lambda x, n: x * n).alias("_all"),
+        F.map_from_entries(F.collect_list(F.struct("_file", "_n"))).alias("_own"),
+    )
+    own = F.coalesce(F.element_at("_own", F.col("_file")), F.lit(1).cast("bigint"))
+    times = F.coalesce(F.expr("_all") / own, F.lit(1)).cast("bigint")
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), times))
+    return rows.join(listed, label, "left").withColumn("_copy", copies).select(*rows.columns)
+
+
+def _long_of_joined(tables: list[DataFrame], value: str, label: str, place: str, order: str) -> DataFrame:
+    """``series_long`` by full joins of the files, for the order of the rows when a file repeats a label.
 
     A joined row stands where its line of the first file does, then the second's; lines that a file lacks come last.
     """
     lines = [f"{POSITION}_{i}" for i in range(len(tables))]
-    numeric = [_numeric(t, label) for t in tables]
-    if order:
-        numeric = [t.withColumnRenamed(POSITION, n) for t, n in zip(numeric, lines, strict=True)]
-    else:
-        numeric = [t.drop(POSITION) for t in numeric]
+    numeric = [_numeric(t, label).withColumnRenamed(POSITION, n) for t, n in zip(tables, lines, strict=True)]
     wide = fold_full(numeric, [label], "join")
     coded = keep_known(_with_code(wide, label, place), place)
-    if not order:
-        return pivot_longer_parsed(coded, [place], PERIOD_NAMES, value).select(value, "year", "month", place)
     row = F.struct(*[x for n in lines for x in (F.col(n).isNull().alias(f"{n}_none"), F.col(n))])
     coded = coded.withColumn("_row", row).drop(*lines)
     at = {c: j for j, c in enumerate(c for c in coded.columns if c not in (place, "_row"))}
@@ -149,16 +157,56 @@ def _long_of_joined(
     return long.select(value, "year", "month", place, F.struct("_row", "_column").alias(order))
 
 
+def _placed(header: list[str], label: str, file: str) -> tuple[int, list[int], list[tuple[int | None, str | None]]]:
+    """Where the label stands in a header, and where its cells stand with their periods; totals are left out."""
+    names = [c.replace("/", "", 1).lower() for c in header]
+    if names.count(label) != 1:
+        raise ValueError(f"{names.count(label)} columns {label} in {file}")
+    cells = [i for i, c in enumerate(names) if c != label and "total" not in c]
+    return names.index(label), cells, [(year_in(names[i]), month_in(names[i])) for i in cells]
+
+
 def ingest_series(
-    spark: SparkSession, name: str, path: str | Sequence[str], **options
+    spark: SparkSession,
+    name: str,
+    path: str | Sequence[str],
+    label: str = "município",
+    duplicates: str = "auto",
+    place: str = "cod_mun",
+    order: str | None = None,
 ) -> DataFrame:
-    """``series_long`` over the ``;`` files of a directory, or over the listed files."""
-    position = POSITION if options.get("order") else None
-    if isinstance(path, str):
-        tables = read_family(spark, path, position=position)
-    else:
-        tables = read_files(spark, path, position=position)
-    return series_long(tables, name, **options)
+    """``series_long`` over the ``;`` files of a directory, or over the listed files, in one scan.
+
+    The driver reads the headers; a table of them tells each row which of its columns are the label and the cells.
+    """
+    tables = files_of(spark, path)
+    cells, headers = read_cells(spark, tables)
+    read, places, periods = [], [], []
+    for table, header in zip(tables, headers, strict=True):
+        if header:
+            at, values, when = _placed(header, label, table[0])
+            places += [(f, len(read), at + 1, [i + 1 for i in values]) for f in table]
+            periods.append(when)
+            read.append(table)
+    columns = [c for c in cells.columns if c.startswith("_c")]
+    layout = spark.createDataFrame(places, "_path string, _file int, _label int, _cells array<int>")
+    position = F.struct("file", "start", "row").alias(POSITION)
+    texts, numbers = F.array(*columns), F.array(*number_columns(columns))
+    rows = cells.select(F.col("file").alias("_path"), texts.alias("_texts"), numbers.alias("_numbers"), position)
+    rows = rows.join(broadcast_checked(layout), "_path", "left")
+    rows = rows.filter(holds(F.col("_file").isNotNull(), "ingest_series: a file without a header")).select(
+        F.element_at("_texts", F.col("_label")).alias(label),
+        POSITION,
+        "_file",
+        F.transform("_cells", lambda i: F.element_at("_numbers", i)).alias("_values"),
+    )
+    if not order:
+        rows = rows.drop(POSITION)
+
+    def single() -> list[DataFrame]:
+        return [read_delimited(spark, [plain_path(spark, f) for f in t], position=POSITION) for t in read]
+
+    return _long(rows, periods, single, name, label, duplicates, place, order)
 
 
 def ingest_all(

@@ -25,7 +25,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> list[s
 
 def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     sep: str = ";",
     encoding: str = LATIN1,
     repair: Callable[[DataFrame], DataFrame] = remove_from_names,
@@ -75,6 +75,88 @@ def read_family(
     return read_files(spark, list_files(spark, path, pattern), sep, encoding, position)
 
 
+def plain_path(spark: SparkSession, file: str) -> str:
+    """A file's URI as a path that a reader takes: ``%20`` and the like decoded."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(file)).toString()
+
+
+def first_lines(spark: SparkSession, files: Sequence[str], encoding: str = LATIN1) -> list[str]:
+    """The first line that is not blank of every file, empty if there is none.
+
+    The driver opens the files, eight at a time, and reads no further than that line; no job runs.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(file: str) -> str:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file))
+        stream = path.getFileSystem(conf).open(path)
+        codec = codecs.getCodec(path)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
+        try:
+            line = reader.readLine()
+            while line is not None and not line.strip():
+                line = reader.readLine()
+            return line or ""
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(first, files))
+
+
+def files_of(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv") -> list[list[str]]:
+    """The files of each table: a table for each file of a directory, or for each listed path with all its files.
+
+    Files are written as ``_metadata.file_path`` has them: URIs, without an empty host.
+    """
+    if isinstance(path, str):
+        tables = [[f] for f in list_files(spark, path, pattern)]
+    else:
+        with ThreadPoolExecutor(8) as pool:
+            tables = list(pool.map(lambda p: sorted(spark.read.text(p).inputFiles()), path))
+    return [[re.sub(r"^(\w+):///", r"\1:/", f) for f in table] for table in tables]
+
+
+def read_cells(
+    spark: SparkSession,
+    tables: Sequence[Sequence[str]],
+    sep: str = ";",
+    encoding: str = LATIN1,
+    nulls: str = "NA",
+) -> tuple[DataFrame, list[list[str]]]:
+    """Tables of differing headers in one scan, and their headers: plan and jobs do not grow with the files.
+
+    ``tables`` lists each table's files, as ``files_of`` does. Columns go by position, as text (``_c0``, ``_c1``, ... up to the widest header), next to ``file``, ``start`` (of the
+    split) and ``row``, which together sort the rows as they stand, within one run. Headers are parsed by the quoting rules
+    of the rows; an unnamed column is called ``_c`` and its number. The files of a table must share its header;
+    a file without a line belongs to no table, and a table of such files has an empty header.
+    """
+    files = [f for table in tables for f in table]
+    lines = dict(zip(files, first_lines(spark, files, encoding), strict=True))
+    headers = []
+    for table in tables:
+        found = {lines[f] for f in table} - {""}
+        if len(found) > 1:
+            raise ValueError(f"{len(found)} different headers in {sorted(table)[0]} and the files beside it")
+        names = next(csv.reader(found, delimiter=sep), [])
+        headers.append([n if n and n != nulls else f"_c{i}" for i, n in enumerate(names)])
+    schema = ", ".join(f"_c{i} STRING" for i in range(max(map(len, headers), default=0))) or "_c0 STRING"
+    read = spark.read.schema(schema).option("header", True).option("sep", sep).option("nullValue", nulls)
+    full = [plain_path(spark, f) for f in files if lines[f]]
+    if not full:
+        return spark.createDataFrame([], f"{schema}, file STRING, start BIGINT, row BIGINT"), headers
+    scanned = read.option("encoding", encoding).csv(full).select(
+        "*",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return scanned, headers
+
+
 def read_handoff(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") -> DataFrame:
     """Comma-separated files with a header and NA for missing values, under a known schema."""
     return (

@@ -258,3 +258,48 @@ def test_many_files_need_no_wide_aggregate(spark):
     plan = long._jdf.queryExecution().optimizedPlan().toString()
     widest = max((line.count("(") for line in plan.splitlines() if "Aggregate" in line), default=0)
     assert widest < 20
+
+
+def test_a_family_is_one_scan(spark, tmp_path):
+    """500 files of differing headers: the label and the totals stand elsewhere, lines are short, names need decoding."""
+    want = []
+    for i in range(500):
+        names = [f"{1600 + i}/Jan", "Município", "Total", f"{1600 + i}/Fev"][: 4 - i % 2]
+        lines = [f"{i};110001 SÃO JOÃO;9;{i + 1}"[: None if i % 2 == 0 else -len(str(i + 1)) - 1], f"x;{110002 + i} NOVA"]
+        put(tmp_path / "s", f"f {i:03d}ç.csv", "\n" * (i % 3) + ";".join(names) + "\n" + "\n".join(lines) + "\n")
+        want += [(110001, 1600 + i, "jan", float(i))] + ([] if i % 2 else [(110001, 1600 + i, "fev", i + 1.0)])
+    put(tmp_path / "s", "empty.csv", "")
+    long = ingest.ingest_series(spark, "x", str(tmp_path / "s"))
+    assert rows(long.filter("vacc_x is not null"), "cod_mun", "year", "month", "vacc_x") == sorted(want)
+    assert long.count() == 501 * 750
+    assert len(long._jdf.queryExecution().optimizedPlan().toString()) < 6000
+
+    scanned, headers = D.read_cells(spark, D.files_of(spark, str(tmp_path / "s")))
+    assert len(headers) == 501 and scanned.columns == ["_c0", "_c1", "_c2", "_c3", "file", "start", "row"]
+    assert scanned._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_files_of_one_table_and_bad_headers(spark, tmp_path):
+    put(tmp_path / "t", "p1.csv", "Município;2016/Jan\n11 A;1\n")
+    put(tmp_path / "t", "p2.csv", "Município;2016/Jan\n12 B;2\n")
+    put(tmp_path / "t", "p3.csv", "")
+    one = ingest.ingest_series(spark, "x", [str(tmp_path / "t")])
+    assert rows(one, "cod_mun", "vacc_x") == [(11, 1.0), (12, 2.0)]
+    put(tmp_path / "t", "p4.csv", "Município;2017/Jan\n13 C;3\n")
+    with pytest.raises(ValueError, match="2 different headers"):
+        ingest.ingest_series(spark, "x", [str(tmp_path / "t")])
+    with pytest.raises(ValueError, match="0 columns city"):
+        ingest.ingest_series(spark, "x", str(tmp_path / "t"), label="city")
+    put(tmp_path / "e", "a.csv", "")
+    assert ingest.ingest_series(spark, "x", str(tmp_path / "e")).count() == 0
+
+
+def test_repeated_labels_as_a_join_has_them(spark, tmp_path):
+    put(tmp_path / "s", "a.csv", "Município;2016/Jan\n11 A;1\n11 A;2\n12 B;3\n")
+    put(tmp_path / "s", "b.csv", "Município;2017/Jan\n11 A;4\n11 A;5\n11 A;6\n")
+    put(tmp_path / "s", "c.csv", "Município;2018/Jan\n12 B;7\n")
+    long = ingest.ingest_series(spark, "x", str(tmp_path / "s"))
+    assert rows(long, "cod_mun", "year", "vacc_x") == (
+        [(11, 2016, 1.0)] * 3 + [(11, 2016, 2.0)] * 3 + [(11, 2017, v) for v in (4.0, 4.0, 5.0, 5.0, 6.0, 6.0)]
+        + [(11, 2018, None)] * 6 + [(12, 2016, 3.0), (12, 2017, None), (12, 2018, 7.0)]
+    )
