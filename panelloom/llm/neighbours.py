@@ -9,7 +9,7 @@ success. What the tables give is merged and ranked by the inner product of the o
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -178,6 +178,21 @@ def _search(queries: pd.DataFrame, entries: pd.DataFrame, k: int) -> Iterator[pd
         yield pd.DataFrame({"query": names[q], "first": firsts[v], "score": s})
 
 
+def blocks_of(rows: int, size: int) -> int:
+    """Blocks of PART_BYTES that ``rows`` rows of ``size`` bytes fill."""
+    return max(1, -(-rows * size // PART_BYTES))
+
+
+def meet(asked: DataFrame, rows: DataFrame, blocks: int, search: Callable) -> DataFrame:
+    """``search`` on each pair of a block of queries (``block``) and a part of the vectors (``part``).
+
+    Both sides of a pair are bounded; a part is repeated once for each block of queries.
+    """
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = asked.groupBy("part", "block").cogroup(rows.groupBy("part", "block"))
+    return pairs.applyInPandas(search, FOUND_DDL)
+
+
 def nearest(
     table: DataFrame,
     is_query: Column,
@@ -208,6 +223,7 @@ def nearest(
     asking = good.where("asks").select("id", "vector").distinct().join(distinct, "vector")
     asking = stored(asking.select("id", F.col("first").alias("query"), "vector"), "nearest-queries")
     queries = asking.select("query", "vector").distinct()
+    asked = queries.count()
 
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     stats = distinct.agg(
@@ -215,7 +231,9 @@ def nearest(
     ).first()
     longest, n, most, sizes = stats[0] or 1.0, stats[1], stats[2] or 1, stats[3]
     indexes = {d: Index(d, tables, functions, width, probes, seed) for d in sizes}
-    parts = max(8, -(-n * tables * most * 8 // PART_BYTES))
+    parts = max(8, blocks_of(n * tables, most * 8))
+    blocks = blocks_of(asked, 8 * (most + tables * (probes + 1) // parts))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -245,7 +263,7 @@ def nearest(
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for query, x in zip(batch["query"], batch["vector"], strict=True):
+            for query, own, x in zip(batch["query"], batch["block"], batch["vector"], strict=True):
                 keys = np.unique(indexes[len(x)].visits(x / np.linalg.norm(x)))
                 cut = [(k, i) for k in keys.tolist() if k in crowded for i in range(1, crowded[k])]
                 more = np.array(cut, np.int64).reshape(-1, 2)
@@ -256,21 +274,23 @@ def nearest(
                 yield pd.DataFrame(
                     {
                         "part": [part[g[0]] for g in groups],
+                        "block": own,
                         "query": query,
                         "vector": [x] * len(groups),
                         "keys": [keys[g] for g in groups],
                     }
                 )
 
-    visits = queries.mapInPandas(visit, "part int, query long, vector array<double>, keys array<long>")
+    visits = queries.select("*", block).mapInPandas(
+        visit, "part int, block int, query long, vector array<double>, keys array<long>"
+    )
 
-    def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        of, own = rows["vector"].map(len), asked["vector"].map(len)
-        found = [x for d in of.unique() for x in _search(asked[own == d], rows[of == d], k + 1)]
+    def search(left: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        of, own = rows["vector"].map(len), left["vector"].map(len)
+        found = [x for d in of.unique() for x in _search(left[own == d], rows[of == d], k + 1)]
         return pd.concat([NOTHING, *found])
 
-    found = visits.groupBy("part").cogroup(entered.groupBy("part"))
-    found = stored(found.applyInPandas(search, FOUND_DDL), "nearest-found")
+    found = stored(meet(visits, entered, blocks, search), "nearest-found")
 
     # Each query's best, and the queries that the buckets left short.
     others = F.size("ids").cast("long")
@@ -281,14 +301,13 @@ def nearest(
     short = short.where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k + 1), F.col("all")))
     short = stored(short.select("query", "vector"), "nearest-short")
     if not short.isEmpty():
-        blocks = max(1, -(-n * most * 8 // PART_BYTES))
+        parts = blocks_of(n, most * 8)
         key = F.size("vector").cast("long").alias("key")
-        block = F.pmod(F.xxhash64("first"), F.lit(blocks)).cast("int")
-        rows = distinct.select("first", "vector", key, block.alias("part"))
-        asked = short.select("query", "vector", F.array(F.size("vector").cast("long")).alias("keys"))
-        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        rest = asked.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(search, FOUND_DDL)
-        found = found.unionByName(stored(rest, "nearest-rest"))
+        part = F.pmod(F.xxhash64("first"), F.lit(parts)).cast("int").alias("part")
+        rows = distinct.select("first", "vector", key, part)
+        left = short.select("query", "vector", F.array(F.size("vector").cast("long")).alias("keys"), block)
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        found = found.unionByName(stored(meet(left, rows, blocks, search), "nearest-rest"))
 
     # Ids of equal vectors, the query's own taken out, best first.
     listed = found.distinct().join(distinct.select("first", "ids"), "first")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelloom.llm import neighbours
 from panelloom.llm.neighbours import nearest, probe_sets
 
 SCHEMA = "vec_id long, embedding array<float>, rank int, query string"
@@ -76,6 +77,27 @@ def test_crowded_buckets_are_cut(spark, monkeypatch):
     assert all([v for v, _ in whole[q]] == [v for v, _ in best[q]] for q in whole)
 
 
+@pytest.mark.parametrize("probes", [3, 200])
+def test_both_sides_of_a_group_are_bounded(spark, monkeypatch, probes):
+    """Blocks of queries against parts of the vectors, in the tables and for queries that they leave short (few probes)."""
+    rng = np.random.default_rng(5)
+    rows = [(20 * i if i < 240 else 20 * i + 1, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(400)]
+    whole = run(spark, rows, k=4, probes=probes)
+    sizes, plain = [], neighbours.meet
+
+    def meet(asked, index, blocks, search):
+        for side, by in ((asked, ["part", "block"]), (index, ["part"])):
+            sizes.append(max(r["count"] for r in side.groupBy(*by).count().collect()))
+        assert blocks > 1
+        return plain(asked, index, blocks, search)
+
+    monkeypatch.setattr(neighbours, "PART_BYTES", 8 * 8 * 100)  # 100 vectors
+    monkeypatch.setattr(neighbours, "meet", meet)
+    assert run(spark, rows, k=4, probes=probes) == whole
+    assert sizes and all(n <= 300 for n in sizes)  # a part holds whole buckets of up to 100 vectors
+    assert set(whole) == {i for i, _ in rows if i % 20 == 0}
+
+
 def test_few_rows(spark):
     found = run(spark, [(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 1.0]), (40, [1.0, 1.0, 1.0])])
     assert found == {0: [(2, 0.0), (1, -1.0)]}
