@@ -83,6 +83,18 @@ def running_sum_blocked(
     )
 
 
+def row_numbers(
+    df: DataFrame, alias: str, by: Sequence[str], order_by: Sequence[str], blocks: int | None = None
+) -> DataFrame:
+    """Rows of each group numbered 1, 2, 3, ... without a gap, first column of the result.
+
+    The row names of an output file, if ``by`` says which file a row goes to. Rows that ``order_by`` leaves tied get different
+    numbers in any order. Counts per range block give each block its first number, so that a large group is not one task's.
+    """
+    ones = running_sum_blocked(df.withColumn("_one", F.lit(1)), "_one", alias, by, order_by, blocks)
+    return ones.select(alias, *[f"`{c}`" for c in df.columns])
+
+
 def calendar_index(
     df: DataFrame, keys: Sequence[str] = ("year", "month_number"), alias: str = "time"
 ) -> DataFrame:

@@ -297,6 +297,28 @@ select "year", sum(l_quantity) / 8 as vacc_cob_polio from shipped where "year" >
     "panel_parquet": _DOSES,
     "births_by_file": f"""select o_orderkey, o_totalprice, {_list(STATES)}[c_nationkey + 1] as state,
   cast(year(o_orderdate) as integer) as "year" from orders join customer on o_custkey = c_custkey""",
+    "births_row_names": f"""select o_orderkey, o_totalprice, {_list(STATES)}[c_nationkey + 1] as state,
+  cast(year(o_orderdate) as integer) as "year",
+  row_number() over (partition by c_nationkey, year(o_orderdate) order by o_orderkey) as row_name
+from orders join customer on o_custkey = c_custkey""",
+    # Every place has a line for every year, so the estimate is the difference of differences of four means.
+    "place_and_year_effects": f"""with {SHIPPED}, {ATTRIBUTES},
+seen as (select unit, "year", count(*) as n from shipped group by unit, "year"),
+years as (select unnest(range(min("year"), max("year") + 1)) as "year" from seen),
+cells as (select u.unit, y."year", coalesce(n, 0) as lines, win, y."year" >= 1999 as late
+  from (select distinct unit from seen) u cross join years y join attributes using (unit)
+  left join seen s on s.unit = u.unit and s."year" = y."year" where win is not null),
+effect as (select (avg(lines) filter (win = 1 and late) - avg(lines) filter (win = 1 and not late))
+  - (avg(lines) filter (win = 0 and late) - avg(lines) filter (win = 0 and not late)) as b,
+  count(*) as n, count(distinct unit) as clusters, count(distinct "year") as periods from cells),
+inner_parts as (select unit, x - avg(x) over u - avg(x) over y + avg(x) over () as dx,
+  lines - avg(lines) over u - avg(lines) over y + avg(lines) over () as dy
+  from (select *, case when win = 1 and late then 1.0 else 0.0 end::double as x from cells)
+  window u as (partition by unit), y as (partition by "year")),
+scores as (select unit, sum(dx * (dy - b * dx)) as s, sum(dx * dx) as xx from inner_parts, effect group by unit)
+select 'treated' as term, round(any_value(b), 6) as estimate,
+  round(sqrt(sum(s * s) * any_value(clusters / (clusters - 1.0) * (n - 1.0) / (n - 1.0 - periods))) / sum(xx), 6) as std_error,
+  any_value(n) as n, any_value(clusters) as clusters from scores, effect""",
     "blank_header_files": f"""with {SHIPPED}
 select cast(unit as varchar) || ' - PLACE' as "_c0", {_blank_cells()}, "year" from shipped group by unit, "year" """,
     "attributes_detected": f"""with {ATTRIBUTES}

@@ -24,6 +24,7 @@ from panelloom.functions.aggregates import (
     sum_by,
     summary_statistics,
 )
+from panelloom.functions.fixed_effects import fixed_effects
 from panelloom.functions.scalars import (
     MONTHS_PT,
     code_prefix,
@@ -37,7 +38,7 @@ from panelloom.functions.scalars import (
     threshold_flag,
     to_number,
 )
-from panelloom.functions.windows import calendar_index, running_sum_blocked
+from panelloom.functions.windows import calendar_index, row_numbers, running_sum_blocked
 from panelloom.operators.filters import complete_cases, keep_dates, text_after
 from panelloom.operators.grids import event_dates, expand_years, year_state_grid
 from panelloom.operators.joins import attach_events, full_join
@@ -422,6 +423,17 @@ def births_by_file(spark, sf_dir):
     return read.withColumn("year", F.col("year").cast("int"))
 
 
+def births_row_names(spark, sf_dir):
+    """The same files with the rows of each numbered from 1, read back as the row-name column."""
+    rows = table(spark, sf_dir, "orders").join(states_of_customers(spark, sf_dir), "o_custkey").select(
+        F.concat(F.lit("DN"), "state", F.year("o_orderdate").cast("string")).alias("file"), "o_orderkey", "o_totalprice"
+    )
+    path = scratch_path(spark, "births")
+    write_partitioned(row_numbers(rows, "row_name", ["file"], ["o_orderkey"]), path, ["file"], fmt="csv")
+    read = read_named_files(spark, path, "row_name bigint, o_orderkey bigint, o_totalprice double")
+    return read.withColumn("year", F.col("year").cast("int"))
+
+
 def births_grid(spark, sf_dir):
     """Number of orders in every cell of the year x state grid, for all listed states."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
@@ -778,6 +790,18 @@ def coverage_event_window(spark, sf_dir):
     return coverage.percent(marked, "cob_month")
 
 
+def place_and_year_effects(spark, sf_dir):
+    """Lines shipped per place and year: the change from CUTOFF on in places of a high covariate against the others."""
+    counts = shipped(spark, sf_dir).groupBy(PLACE, "year").agg(F.count("*").alias("lines"))
+    counts = stage(counts, "counts")
+    first, last = counts.agg(F.min("year"), F.max("year")).first()
+    grid = fill_grid(counts, [PLACE], "year", list(range(first, last + 1)), "lines").fillna(0, ["lines"])
+    treated = F.col("win") * (F.col("year") >= CUTOFF.year).cast("int")
+    known = attributes(spark, sf_dir).filter(F.col("win").isNotNull())
+    found = fixed_effects(grid.join(known, PLACE).withColumn("treated", treated), "lines", ["treated"], PLACE, "year")
+    return found.select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "std_error")], "n", "clusters")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "series_long": series_from_files,
     "ingest_all": ingested_series,
@@ -790,6 +814,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "handoff_csv": handoff_csv,
     "panel_parquet": panel_parquet,
     "births_by_file": births_by_file,
+    "births_row_names": births_row_names,
     "blank_header_files": blank_header_files,
     "attributes_detected": attributes_detected,
     "events_csv": events_csv,
@@ -837,6 +862,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "correlation_p_value": correlation_p_value,
     "regression_band": band,
     "regression_band_limits": band_limits,
+    "place_and_year_effects": place_and_year_effects,
     "summary_stats": summary_stats,
     "median_of_prices": median_of_prices,
 }
