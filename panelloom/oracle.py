@@ -319,6 +319,14 @@ scores as (select unit, sum(dx * (dy - b * dx)) as s, sum(dx * dx) as xx from in
 select 'treated' as term, round(any_value(b), 6) as estimate,
   round(sqrt(sum(s * s) * any_value(clusters / (clusters - 1.0) * (n - 1.0) / (n - 1.0 - periods))) / sum(xx), 6) as std_error,
   any_value(n) as n, any_value(clusters) as clusters from scores, effect""",
+    "births_cohort": f"""with born as (
+  select {_list(STATES)}[c_nationkey + 1] as state, year(o_orderdate) * 12 + month(o_orderdate) - 1 as m
+  from orders join customer on o_custkey = c_custkey),
+ages as (select state, m + age as m from born, (select unnest(range(12)) as age)),
+months as (select unnest(range(min(m), max(m) + 1)) as m from born),
+counts as (select state, m, count(*) as n from ages group by state, m)
+select state, cast(m // 12 as integer) as "year", cast(m % 12 + 1 as integer) as month_number, coalesce(n, 0) as pop
+from (select distinct state from born) s cross join months left join counts using (state, m)""",
     "blank_header_files": f"""with {SHIPPED}
 select cast(unit as varchar) || ' - PLACE' as "_c0", {_blank_cells()}, "year" from shipped group by unit, "year" """,
     "attributes_detected": f"""with {ATTRIBUTES}

@@ -44,6 +44,7 @@ from panelloom.operators.grids import event_dates, expand_years, year_state_grid
 from panelloom.operators.joins import attach_events, full_join
 from panelloom.operators.reshape import arrange, fill_grid, pivot_longer
 from panelloom.plans import coverage, ingest, reconcile
+from panelloom.plans.cohort import cohort_population
 from panelloom.plans.panel import build_panel, monthly_base
 from panelloom.sources.delimited import (
     read_blank_header,
@@ -434,6 +435,12 @@ def births_row_names(spark, sf_dir):
     return read.withColumn("year", F.col("year").cast("int"))
 
 
+def births_cohort(spark, sf_dir):
+    """Orders of at most eleven full months of age, by state and month."""
+    orders = table(spark, sf_dir, "orders").join(states_of_customers(spark, sf_dir), "o_custkey")
+    return cohort_population(orders, ["state"], "o_orderdate", youngest=0, oldest=11)
+
+
 def births_grid(spark, sf_dir):
     """Number of orders in every cell of the year x state grid, for all listed states."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
@@ -838,6 +845,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "densify_grid": densify_grid,
     "year_state_grid": year_nation_grid,
     "births_grid": births_grid,
+    "births_cohort": births_cohort,
     "pivot_longer": series_pivot,
     "prefix_sum_by_year": prefix_sum_by_year,
     "prefix_sum_by_unit_year": prefix_sum_by_unit_year,
