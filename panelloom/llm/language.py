@@ -10,7 +10,6 @@ a language, and takes the codeword with the least. A narrow lead flags the text
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -18,6 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +26,17 @@ GRAMS = (1, 2, 3)
 DIM_BITS = 15
 CHUNK = 1 << 18  # characters whose n-grams are held at a time
 EXHAUSTIVE = 7  # languages up to which every split of them is a bit
-NO_LETTER = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
+NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str | None) -> str:
-    """Lower-cased words of letters with one space around each; empty if there is no letter."""
+    """Lower-cased words of letters and their marks with one space around each; empty if there is no letter.
+
+    Letters are Unicode's category L, as in the pipeline's ``\\p{L}``; digits and number signs (category N) are none.
+    """
     inner = NO_LETTER.sub(" ", (text or "").lower()).strip()
-    return f" {inner} " if inner else ""
+    return f" {inner} " if LETTER.search(inner) else ""
 
 
 def gram_buckets(words: str) -> Iterator[np.ndarray]:
