@@ -4,15 +4,16 @@ A page becomes a list of text lines, one for each block element. Pages of a host
 path; each is aligned with the nearest page before and after it that is no copy by a longest common
 subsequence of lines, and shared lines are deleted. Scripts, menus, adverts and the like, which the markup
 names, never give lines. An article element is evidence only: as two articles may quote the same passage, its
-shared lines go only where they frame the articles of both neighbours.
+shared lines go only where they frame the articles of both neighbours and of half of the host's pages.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -56,6 +57,9 @@ CLOSES = {
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
 MARKED, PLAIN, ARTICLE = 0, 1, 2  # kinds of lines
+TABLE_BITS = 1 << 24  # of an alignment's table; a larger one is halved
+FREQUENT = 64  # places of a line from which their bits are kept
+HOST_SHARE = 0.5  # of a host's pages with an article that a line must frame to go
 COPY = 0.8  # pages that share this much of the longer one's unmarked text are copies of one page
 BUCKETS = 1024  # that pages with the same lines are dealt to
 PIECE = 64  # pages of a run that ask for their neighbours together
@@ -169,11 +173,45 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     return [(t, ARTICLE if k == PLAIN and w == best else k) for t, k, w in found]
 
 
+def _masks(values: list[int]) -> Callable[[int], int]:
+    """The places of a value as bits of one number. Only those of frequent values are kept, so memory grows with the lines."""
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(values):
+        places.setdefault(x, []).append(j)
+    frequent = {}
+    for x, found in places.items():
+        if len(found) > FREQUENT:
+            bits = np.zeros(len(values), np.uint8)
+            bits[found] = 1
+            frequent[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return lambda x: frequent[x] if x in frequent else sum(1 << j for j in places.get(x, ()))
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each beginning of ``a`` a number whose bit j is 0 where b[j] makes its longest common subsequence longer."""
+    mask, all_ones = _masks(b), (1 << len(b)) - 1
+    row = all_ones
+    for x in a:
+        hits = row & mask(x)
+        row = ((row + hits) | (row - hits)) & all_ones
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with each beginning of ``b``."""
+    row = 0
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.concatenate(([0], np.cumsum(1 - bits[: len(b)].astype(np.int64))))
+
+
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``.
 
-    Row by row with the columns as bits of one number, which takes lines x lines / 64
-    steps and bits and stays small for pages of many thousand lines.
+    Lines that the other page has not are left out first. Small tables are walked back row by row, with the columns as bits
+    of one number; larger ones are halved where the two halves' lengths add up to the most, so that memory
+    grows with the lines and not with their square.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -182,16 +220,17 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     found = [*range(head), *range(len(a) - tail, len(a))]
-    rest, other = a[head : len(a) - tail], b[head : len(b) - tail]
-    where: dict[int, int] = {}
-    for j, x in enumerate(other):
-        where[x] = where.get(x, 0) | 1 << j
-    all_ones = (1 << len(other)) - 1
-    row, rows = all_ones, []
-    for x in rest:
-        hits = row & where.get(x, 0)
-        row = ((row + hits) | (row - hits)) & all_ones
-        rows.append(row)
+    mine, theirs = a[head : len(a) - tail], b[head : len(b) - tail]
+    both = set(mine) & set(theirs)
+    places = [i for i, x in enumerate(mine, head) if x in both]
+    rest, other = [a[i] for i in places], [x for x in theirs if x in both]
+    if len(rest) > 1 and len(rest) * len(other) > TABLE_BITS:
+        half = len(rest) // 2
+        before, after = _lengths(rest[:half], other), _lengths(rest[half:][::-1], other[::-1])
+        cut = int(np.argmax(before + after[::-1]))
+        found += [places[i] for i in common_lines(rest[:half], other[:cut])]
+        return found + [places[half + i] for i in common_lines(rest[half:], other[cut:])]
+    rows = list(_rows(rest, other))
     i, j = len(rest), len(other)
     while i and j:
         if rows[i - 1] >> (j - 1) & 1:
@@ -199,7 +238,7 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
         else:
             i -= 1
             if not i or rows[i - 1] >> (j - 1) & 1:
-                found.append(head + i)
+                found.append(places[i])
                 j -= 1
     return found
 
@@ -225,20 +264,24 @@ def _alike(a: list[int], b: list[int]) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def deleted(page: Lines, neighbours: list[Lines]) -> list[bool]:
-    """Which lines go: marked ones, plain ones shared with a neighbour, and the frame inside an article.
+STAYS, GOES, FRAME = 0, 1, 2  # what becomes of a line
+
 
-    A neighbour that is a copy tells nothing. A shared line of an article may be a quotation; it goes if it
+def deleted(page: Lines, neighbours: list[Lines]) -> list[int]:
+    """What becomes of the lines: marked ones go, plain ones that a neighbour shares too; the frame inside an article may.
+
+    A neighbour that is a copy tells nothing. A shared line of an article may be a quotation; it is a frame if it
     belongs to lines that begin, or end, the article of both neighbours as well, which are no copies of each other.
     """
     hashes, _, kinds = page
-    gone = [k == MARKED for k in kinds]
+    gone = [GOES if k == MARKED else STAYS for k in kinds]
     plain = {h for h, k in zip(hashes, kinds, strict=True) if k == PLAIN}
     neighbours = [o for o in neighbours if not is_copy(page, o)]
     for other in neighbours:
         if not plain.isdisjoint(other[0]):
             for i in common_lines(hashes, other[0]):
-                gone[i] = gone[i] or kinds[i] == PLAIN
+                if kinds[i] == PLAIN:
+                    gone[i] = GOES
     inner = [i for i, k in enumerate(kinds) if k == ARTICLE]
     if inner and len(neighbours) == 2 and not is_copy(*neighbours):
         own = [hashes[i] for i in inner]
@@ -246,7 +289,7 @@ def deleted(page: Lines, neighbours: list[Lines]) -> list[bool]:
         head = min(_alike(own, o) for o in others)
         tail = min(_alike(own[::-1], o[::-1]) for o in others)
         for i in inner[:head] + inner[len(inner) - tail :]:
-            gone[i] = True
+            gone[i] = FRAME
     return gone
 
 
@@ -268,7 +311,7 @@ def _decide(
     for columns in batches:
         rows = zip(*(c.to_pylist() for c in columns), strict=True)
         found = [deleted((h, s, k), [tuple(x.values()) for x in o or []]) for h, s, k, o in rows]
-        yield pa.array(found, pa.list_(pa.bool_()))
+        yield pa.array(found, pa.list_(pa.int32()))
 
 
 def _copies(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -310,6 +353,23 @@ def _runs(ranked: DataFrame) -> DataFrame:
     )
 
 
+def _with_host_frames(choice: DataFrame) -> DataFrame:
+    """(same, gone): which lines of a page go; a frame only if it frames half of its host's pages with an article.
+
+    Only lines that frame a page are counted, not all lines of the host.
+    """
+    framed = choice.where(F.exists("gone", lambda x: x == FRAME))
+    lines = F.array_distinct(F.filter("hashes", lambda x, i: F.get("gone", i) == FRAME))
+    framed = framed.select("same", "host", F.explode(lines).alias("line"))
+    amount = choice.where("inside").groupBy("host").agg(F.count("*").alias("pages"))
+    wide = framed.groupBy("host", "line").agg(F.count("*").alias("n")).join(amount, "host")
+    wide = wide.where(F.col("n") >= F.col("pages") * HOST_SHARE).select("host", "line")
+    wide = framed.join(wide, ["host", "line"]).groupBy("same").agg(F.collect_list("line").alias("frame"))
+    is_frame = lambda i: F.coalesce(F.array_contains("frame", F.get("hashes", i)), F.lit(False))
+    gone = F.transform("gone", lambda x, i: (x == GOES) | ((x == FRAME) & is_frame(i)))
+    return choice.join(wide.hint("merge"), "same", "left").select("same", gone.alias("gone"))
+
+
 def extract(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html"
 ) -> DataFrame:
@@ -321,7 +381,7 @@ def extract(
     once, to meet the decision on their page.
     """
     parse = F.arrow_udf(_parse, "lines array<string>, kinds array<int>")
-    decide = F.arrow_udf(_decide, "array<boolean>")
+    decide = F.arrow_udf(_decide, "array<int>")
     place = r"^(?:[a-zA-Z][^:/?#]*:)?(?://)?([^/?#]*)([^?#]*)"
     part = lambda i: F.regexp_extract(F.coalesce("url", F.lit("")), place, i)
     parsed = pages.select(
@@ -361,7 +421,13 @@ def extract(
     mine = ranked.join(runs, "rank").select("same", "host", "lines", "first", piece)
     choice = mine.join(
         beside.withColumnRenamed("other_host", "host"), ["first", "piece", "host"], "left"
-    ).select("same", decide("lines.hashes", "lines.sizes", "lines.kinds", "others").alias("gone"))
+    )
+    inside = F.exists("lines.kinds", lambda k: k == ARTICLE)
+    choice = choice.select(
+        "same", "host", "lines.hashes", inside.alias("inside"),
+        decide("lines.hashes", "lines.sizes", "lines.kinds", "others").alias("gone"),
+    )
+    choice = _with_host_frames(stored(choice, "pages-decided"))
     choice = some.select("same", "bucket").join(stored(choice, "pages-choice").hint("merge"), "same")
     choice = choice.hint("merge")  # a row for each page: never a broadcast
     # Lines that the markup alone rules out do not travel; their places stay.

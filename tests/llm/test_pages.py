@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 
@@ -26,6 +27,26 @@ def test_common_lines():
         assert all(any(a[i] == y for y in rest) for i in found)
 
 
+def test_common_lines_in_halves(monkeypatch):
+    monkeypatch.setattr(pages, "TABLE_BITS", 8)
+    monkeypatch.setattr(pages, "FREQUENT", 2)
+    test_common_lines()
+
+
+def test_common_lines_of_long_pages():
+    n = 100_000
+    a = list(range(n))
+    b = [x for i in range(0, n, 2) for x in (a[i + 1], a[i])]  # each pair of lines swapped
+    tracemalloc.start()
+    found = common_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(found)) == len(found) == n // 2
+    assert {i // 2 for i in found} == set(range(n // 2))
+    assert peak < 100 << 20
+    assert len(common_lines([1] * n, [2] + [1] * (n // 2))) == n // 2
+
+
 @pytest.mark.parametrize(
     "html, lines",
     [
@@ -105,6 +126,20 @@ def test_articles_are_evidence_only(spark):
     assert text[10] == f"Share this story\nStory {'number 0' * 5}, told at some length\nThanks for reading"
 
 
+def test_passages_of_few_pages_stay(spark):
+    """Two lines that begin three articles in a row are no frame of a host of twelve."""
+    rows = []
+    for i in range(12):
+        quoted = "<p>A passage</p><p>told by three</p>" if i in (4, 5, 6) else ""
+        rows.append((i, f"http://h.example/{i:02}", f"<article>{quoted}<p>{f'Story {i}. ' * 9}</p><p>Thanks for reading</p></article>"))
+    table = spark.createDataFrame([(*r, None, 1) for r in rows], SCHEMA)
+    text = {r.page_id: r.text for r in pages.extract(table).collect()}
+    for i in range(12):
+        own = [" ".join([f"Story {i}."] * 9)]
+        ends = ["Thanks for reading"] if i in (0, 11) else []  # with one neighbour it may be a quotation
+        assert text[i] == "\n".join((["A passage", "told by three"] if i in (4, 5, 6) else []) + own + ends)
+
+
 def test_copies_do_not_hide_the_frame(spark, monkeypatch):
     frame = "<div>Welcome to the site of all sites</div>{}<div>Written with care</div>"
     rows = []
