@@ -468,4 +468,8 @@ select step, round(x, 6) as x, round(fit, 6) as fit, round(se, 6) as se, round(f
   round(stddev_samp(l_extendedprice), 6) as sd, median(l_extendedprice) as median from lineitem
 union all
 select 'l_discount', round(avg(l_discount), 6), round(stddev_samp(l_discount), 6), median(l_discount) from lineitem""",
+    "median_sketches": f"""with {SHIPPED}
+select "year", 'l_extendedprice' as variable, count(l_extendedprice) as n, true as within from shipped group by 1
+union all
+select "year", 'l_quantity', count(l_quantity), true from shipped group by 1""",
 }

@@ -38,10 +38,11 @@ from panelloom.functions.scalars import (
     threshold_flag,
     to_number,
 )
+from panelloom.functions.sketches import merged_quantiles, quantile_sketches, rank_error
 from panelloom.functions.windows import calendar_index, row_numbers, running_sum_blocked
 from panelloom.operators.filters import complete_cases, keep_dates, text_after
 from panelloom.operators.grids import event_dates, expand_years, year_state_grid
-from panelloom.operators.joins import attach_events, full_join
+from panelloom.operators.joins import attach_events, broadcast_checked, full_join
 from panelloom.operators.reshape import arrange, fill_grid, pivot_longer
 from panelloom.plans import coverage, ingest, reconcile
 from panelloom.plans.cohort import cohort_population
@@ -728,6 +729,30 @@ def median_of_prices(spark, sf_dir):
     return stats.select("variable", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "median")
 
 
+SKETCH_K = 800
+
+
+def median_sketches(spark, sf_dir):
+    """Yearly medians from sketches stored by month, and whether their ranks are within the stated error."""
+    measures = ["l_extendedprice", "l_quantity"]
+    lines = shipped(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    write_table(quantile_sketches(lines, ["year", "month_number"], measures, SKETCH_K), path)
+    medians = merged_quantiles(spark.read.parquet(path), ["year"], measures)
+    # One row per year and measure, read by two branches.
+    medians = stage(medians, "medians")
+    values = lines.unpivot(["year"], measures, "variable", "value")
+    known = values.join(broadcast_checked(medians.select("year", "variable", "estimate")), ["year", "variable"])
+    ranks = known.groupBy("year", "variable").agg(
+        F.count_if(F.col("value") < F.col("estimate")).alias("below"),
+        F.count_if(F.col("value") <= F.col("estimate")).alias("upto"),
+    )
+    allowed = F.col("n") * (2 * rank_error(SKETCH_K))
+    half = F.col("n") / 2
+    within = (F.col("below") - allowed <= half) & (half <= F.col("upto") + allowed)
+    return medians.join(ranks, ["year", "variable"]).select("year", "variable", "n", within.alias("within"))
+
+
 def running_sum_na(spark, sf_dir):
     """Running cents per user; values of 200 and more are missing and end the sum."""
     rows = table(spark, sf_dir, "events").select(
@@ -873,4 +898,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "place_and_year_effects": place_and_year_effects,
     "summary_stats": summary_stats,
     "median_of_prices": median_of_prices,
+    "median_sketches": median_sketches,
 }
