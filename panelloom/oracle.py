@@ -270,6 +270,8 @@ _SUMMARY = " union all ".join(
 ORACLE: dict[str, str] = {
     "series_long": f"""with {FILED} select series, n as vacc_dose, "year", "month", unit from long""",
     "ingest_all": f"""with {FILED} select series, unit, "year", "month", n as doses from long""",
+    "ingest_incremental": f"""with {FILED} select n as vacc_vip_3_dose, "year", "month", unit, 1 as parsed
+from long where series = 'vacc_vip_3_dose'""",
     "respelled_fold": f"""with {RESPELLED} select * exclude (vip_at, vop_at) replace (unit + 110000 as unit) from base""",
     "respelled_panel": f"""with {_panel("busy", base=RESPELLED, doses="vacc_vip_3_dose, vacc_vop_3_dose, vip_at, vop_at", order="vip_at nulls last, vop_at")}
 select * exclude (vip_at, vop_at) from panel""",

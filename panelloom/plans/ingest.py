@@ -82,10 +82,10 @@ def series_long(
         ids = [label, POSITION] if order else [label]
         parts.append(numeric.select(*ids, F.lit(i).alias("_file"), values.alias("_values")))
     rows = reduce(DataFrame.unionByName, parts)
-    return _long(rows, periods, lambda: tables, name, label, duplicates, place, order)
+    return long_of_rows(rows, periods, lambda: tables, name, label, duplicates, place, order)
 
 
-def _long(
+def long_of_rows(
     rows: DataFrame,
     periods: list[list[tuple[int | None, str | None]]],
     tables: Callable[[], list[DataFrame]],
@@ -166,20 +166,13 @@ def _placed(header: list[str], label: str, file: str) -> tuple[int, list[int], l
     return names.index(label), cells, [(year_in(names[i]), month_in(names[i])) for i in cells]
 
 
-def ingest_series(
-    spark: SparkSession,
-    name: str,
-    path: str | Sequence[str],
-    label: str = "município",
-    duplicates: str = "auto",
-    place: str = "cod_mun",
-    order: str | None = None,
-) -> DataFrame:
-    """``series_long`` over the ``;`` files of a directory, or over the listed files, in one scan.
+def rows_of_files(
+    spark: SparkSession, tables: Sequence[Sequence[str]], label: str
+) -> tuple[DataFrame, list[list[tuple[int | None, str | None]]], list[Sequence[str]]]:
+    """(label, POSITION, _file, _values) of all tables in one scan, the periods of each table's cells, and the tables.
 
-    The driver reads the headers; a table of them tells each row which of its columns are the label and the cells.
+    Tables without a header are left out; ``_file`` counts the others.
     """
-    tables = files_of(spark, path)
     cells, headers = read_cells(spark, tables)
     read, places, periods = [], [], []
     for table, header in zip(tables, headers, strict=True):
@@ -194,19 +187,36 @@ def ingest_series(
     texts, numbers = F.array(*columns), F.array(*number_columns(columns))
     rows = cells.select(F.col("file").alias("_path"), texts.alias("_texts"), numbers.alias("_numbers"), position)
     rows = rows.join(broadcast_checked(layout), "_path", "left")
-    rows = rows.filter(holds(F.col("_file").isNotNull(), "ingest_series: a file without a header")).select(
+    rows = rows.filter(holds(F.col("_file").isNotNull(), "rows_of_files: a file without a header")).select(
         F.element_at("_texts", F.col("_label")).alias(label),
         POSITION,
         "_file",
         F.transform("_cells", lambda i: F.element_at("_numbers", i)).alias("_values"),
     )
+    return rows, periods, read
+
+
+def ingest_series(
+    spark: SparkSession,
+    name: str,
+    path: str | Sequence[str],
+    label: str = "município",
+    duplicates: str = "auto",
+    place: str = "cod_mun",
+    order: str | None = None,
+) -> DataFrame:
+    """``series_long`` over the ``;`` files of a directory, or over the listed files, in one scan.
+
+    The driver reads the headers; a table of them tells each row which of its columns are the label and the cells.
+    """
+    rows, periods, read = rows_of_files(spark, files_of(spark, path), label)
     if not order:
         rows = rows.drop(POSITION)
 
     def single() -> list[DataFrame]:
         return [read_delimited(spark, [plain_path(spark, f) for f in t], position=POSITION) for t in read]
 
-    return _long(rows, periods, single, name, label, duplicates, place, order)
+    return long_of_rows(rows, periods, single, name, label, duplicates, place, order)
 
 
 def ingest_all(

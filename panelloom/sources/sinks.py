@@ -54,7 +54,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.remove(paths)
         for path in paths:
-            _delete(spark, path)
+            delete_folder(spark, path)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -70,10 +70,10 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete this session's staged tables; DataFrames read from them end with it."""
-    _delete(spark, _session_folder(spark))
+    delete_folder(spark, _session_folder(spark))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

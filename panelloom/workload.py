@@ -46,6 +46,7 @@ from panelloom.operators.joins import attach_events, broadcast_checked, full_joi
 from panelloom.operators.reshape import arrange, fill_grid, pivot_longer
 from panelloom.plans import coverage, ingest, reconcile
 from panelloom.plans.cohort import cohort_population
+from panelloom.plans.incremental import refresh, stored_series
 from panelloom.plans.panel import build_panel, monthly_base
 from panelloom.sources.delimited import (
     read_blank_header,
@@ -291,6 +292,16 @@ def ingested_series(spark, sf_dir):
     return reduce(DataFrame.unionByName, tables)
 
 
+def incremental_series(spark, sf_dir):
+    """One series from a store that first knew all files but the last year's, and how many the second run parsed."""
+    files = wide_files(spark, sf_dir, ["A"])["A"]
+    store = scratch_path(spark, "store")
+    refresh(spark, files[:-1], store)
+    parsed = refresh(spark, files, store).parsed
+    long = stored_series(spark, store, "vip_3_dose", place=PLACE)
+    return long.withColumns({"vacc_vip_3_dose": F.col("vacc_vip_3_dose").cast("bigint"), "parsed": F.lit(parsed)})
+
+
 RESPELLED_ORDER = ["_order_vip_3_dose", "_order_vop_3_dose"]
 
 
@@ -837,6 +848,7 @@ def place_and_year_effects(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "series_long": series_from_files,
     "ingest_all": ingested_series,
+    "ingest_incremental": incremental_series,
     "respelled_fold": respelled_base,
     "respelled_panel": respelled_panel,
     "annual_long": annual_from_wide,

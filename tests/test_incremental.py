@@ -1,0 +1,95 @@
+"""A store that follows a folder of files."""
+
+import os
+
+import pytest
+from pyspark.errors import PySparkException
+
+from panelloom.plans import incremental
+from panelloom.plans.incremental import refresh, stored_series
+from panelloom.plans.ingest import ingest_series
+from tests.conftest import rows
+
+
+@pytest.fixture
+def folder(tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    return path
+
+
+def put(folder, year, *lines, months=("Jan", "Fev")):
+    header = ";".join(["Município", *(f"{year}/{m}" for m in months), "Total"])
+    (folder / f"{year}.csv").write_text("\n".join([header, *lines]) + "\n", encoding="latin-1")
+
+
+def state(store):
+    return {f: os.stat(f).st_mtime_ns for f in map(str, store.glob("rows/source=*/part-*"))}
+
+
+def agree(spark, folder, store):
+    whole = ingest_series(spark, "x", str(folder))
+    assert rows(stored_series(spark, str(store), "x")) == rows(whole)
+    return whole.count()
+
+
+def test_only_changed_files_are_parsed(spark, folder, tmp_path):
+    store = tmp_path / "store"
+    put(folder, 2016, "110001 A;1;2;3", "110002 B;3;-;3", "Total;4;2;6")
+    put(folder, 2017, "110001 A;5;6;11")
+    put(folder, 2018, "110003 Ç;7;8;15", months=("Mar",))
+    assert refresh(spark, str(folder), str(store)) == incremental.Refreshed(3, 0, 0)
+    first = state(store)
+    assert agree(spark, folder, store) == 3 * 5
+
+    assert refresh(spark, str(folder), str(store)) == incremental.Refreshed(0, 3, 0)
+    assert state(store) == first
+
+    # Another place in one file gives the other files missing cells, but only its own partition is written.
+    put(folder, 2017, "110001 A;5;6;11", "110009 New;1;1;2", "110002 B;9;9;18")
+    assert refresh(spark, str(folder), str(store)) == incremental.Refreshed(1, 2, 1)
+    second = state(store)
+    assert len(second.keys() & first.keys()) == 2 and all(first[f] == second[f] for f in second.keys() & first.keys())
+    assert len(second) == 3
+    assert agree(spark, folder, store) == 4 * 5
+
+    put(folder, 2019, "110001 A;1;1;2")
+    (folder / "2018.csv").unlink()
+    put(folder, 2016)  # a header and no line
+    assert refresh(spark, str(folder), str(store)) == incremental.Refreshed(2, 1, 2)
+    assert agree(spark, folder, store) == 3 * 6
+
+
+def test_no_rows_and_no_headers(spark, folder, tmp_path):
+    store = tmp_path / "store"
+    (folder / "empty.csv").write_text("")
+    assert refresh(spark, str(folder), str(store)) == incremental.Refreshed(1, 0, 0)
+    assert stored_series(spark, str(store), "x").count() == 0
+    put(folder, 2016, "110001 A;1;2;3", "110001 A;4;5;9")  # a repeated label
+    assert refresh(spark, str(folder), str(store)) == incremental.Refreshed(1, 1, 0)
+    assert agree(spark, folder, store) == 4
+    with pytest.raises((ValueError, PySparkException), match="repeats"):
+        stored_series(spark, str(store), "x", duplicates="raise")
+    for file in folder.glob("*"):
+        file.write_text("")
+    assert refresh(spark, str(folder), str(store)).parsed == 1
+    assert stored_series(spark, str(store), "x").count() == 0
+
+
+def test_a_run_that_dies_leaves_the_old_state(spark, folder, tmp_path, monkeypatch):
+    store = tmp_path / "store"
+    put(folder, 2016, "110001 A;1;2;3")
+    refresh(spark, str(folder), str(store))
+    old = rows(stored_series(spark, str(store), "x"))
+    put(folder, 2016, "110001 A;7;8;15")
+    put(folder, 2017, "110002 B;7;8;15")
+    with monkeypatch.context() as patch:
+        patch.setattr(incremental, "_manifests", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        patch.setattr(incremental, "_in_force", lambda *a: [])
+        with pytest.raises(RuntimeError, match="lost"):
+            refresh(spark, str(folder), str(store))
+    assert len(state(store)) == 3
+    assert rows(stored_series(spark, str(store), "x")) == old
+    assert refresh(spark, str(folder), str(store)).parsed == 2
+    assert agree(spark, folder, store) == 2 * 4
+    assert len(state(store)) == 2
