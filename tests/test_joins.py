@@ -209,3 +209,18 @@ def test_repeated_keys_fan_out_by_default(spark):
     ]
     with pytest.raises(Exception, match="repeats a key"):
         J.fold_full([a, b], duplicates="raise").collect()
+
+
+def test_full_join_carries_each_key_once(spark):
+    """A row that is shuffled and sorted holds its keys once, and one number for the missing ones."""
+    left = spark.range(8).selectExpr("if(id % 3 = 0, null, id) as k", "cast(id as int) as y", "string(id) as m", "id as a")
+    keyed, keys, own = J._with_keys(left, ["k", "y", "m"])
+    assert keyed.columns == [*keys, "a"] and len(keys) == 4
+    assert rows(keyed.select(*own, "a"), *left.columns) == rows(left)
+
+
+def test_full_join_of_many_and_nested_keys(spark):
+    names = [f"c{i}" for i in range(40)]
+    some = spark.range(41).select(*[F.when(F.col("id") != i, F.lit(i)).alias(n) for i, n in enumerate(names)], F.array("id").alias("l"))
+    both = J.full_join(some.withColumn("a", F.lit(1)), some.withColumn("b", F.lit(2)), [*names, "l"])
+    assert rows(both, "a", "b") == [(1, 2)] * 41 and rows(both, *names, "l") == rows(some)
