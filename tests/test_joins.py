@@ -211,6 +211,17 @@ def test_repeated_keys_fan_out_by_default(spark):
         J.fold_full([a, b], duplicates="raise").collect()
 
 
+def test_full_join_broadcasts_nothing_by_the_size_of_files(spark):
+    """By its compressed files a stored table looked small, and Spark sent the driver what did not fit it."""
+    left = spark.range(40).selectExpr("id % 9 as k", "cast(id % 2 as string) as m", "id as a")
+    right = spark.range(30).selectExpr("id % 12 as k", "cast(id % 2 as string) as m", "id as b")
+    for tables in ((left, right), (right, left)):
+        plan = J.full_join(*[J.stage(t) for t in tables])._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
+    plan = J.fold_full([left, right], duplicates="join")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_full_join_carries_each_key_once(spark):
     """A row that is shuffled and sorted holds its keys once, and one number for the missing ones."""
     left = spark.range(8).selectExpr("if(id % 3 = 0, null, id) as k", "cast(id as int) as y", "string(id) as m", "id as a")
