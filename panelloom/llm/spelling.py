@@ -5,7 +5,7 @@ that have their bigrams sorted, rare ones first, the one whose prefix of ``2 t +
 one of any ``t + 1`` disjoint bigrams of its prefix, and this bigram is in the other word's prefix. The
 disjoint bigrams chosen, by dynamic programming for the least total frequency, are a word's pivots.
 Only pivots are matched with prefixes, and only at places that the edits before and
-behind the bigram allow; the words so found are compared letter by letter.
+behind the bigram allow; of the words so found, those whose sets of letters differ little enough are compared letter by letter.
 """
 
 from __future__ import annotations
@@ -59,6 +59,14 @@ def prefix_and_pivots(
     return grams[:end], [inside[i] for i in chosen]
 
 
+def letter_bits(word: str) -> int:
+    """Which characters occur in a word, by code point modulo 63: an edit changes at most two of the bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 63
+    return bits
+
+
 def vocabulary(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -108,24 +116,25 @@ def _gram_counts(words: DataFrame) -> np.ndarray:
 
 
 def _with_grams(words: DataFrame, distance: int) -> DataFrame:
-    """Words with ``last`` (the order at which their prefix ends), ``prefix`` and ``pivots``."""
+    """Words with their letter ``bits``, ``last`` (the order at which their prefix ends), ``prefix`` and ``pivots``."""
     counts = _gram_counts(words)
     placed = pa.list_(pa.struct([("gram", pa.string()), ("place", pa.int32())]))
-    types = pa.schema([("word", pa.string()), ("n", pa.int64()), ("last", pa.int64()), ("prefix", placed), ("pivots", placed)])
+    types = pa.schema([("word", pa.string()), ("n", pa.int64()), ("bits", pa.int64()), ("last", pa.int64()), ("prefix", placed), ("pivots", placed)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, prefixes, pivots = [], [], []
-            for word in batch.column(0):
-                prefix, pivot = prefix_and_pivots(word.as_py(), counts, distance)
+            bits, last, prefixes, pivots = [], [], [], []
+            for word in batch.column(0).to_pylist():
+                prefix, pivot = prefix_and_pivots(word, counts, distance)
+                bits.append(letter_bits(word))
                 last.append(prefix[-1][0])
                 prefixes.append([{"gram": g, "place": i} for _, g, i in prefix])
                 pivots.append([{"gram": g, "place": i} for _, g, i in pivot])
-            made = [pa.array(x, f.type) for x, f in zip((last, prefixes, pivots), list(types)[2:], strict=True)]
+            made = [pa.array(x, f.type) for x, f in zip((bits, last, prefixes, pivots), list(types)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=types)
 
     places = "array<struct<gram string, place int>>"
-    out = f"word string, n long, last long, prefix {places}, pivots {places}"
+    out = f"word string, n long, bits long, last long, prefix {places}, pivots {places}"
     return words.select("word", "n").mapInArrow(run, out)
 
 
@@ -139,9 +148,9 @@ def near_words(words: DataFrame, distance: int = 1) -> DataFrame:
     grams = stored(_with_grams(words.where(long_enough), distance), "grams")
     # One number to sort and join by; two keys that share it cost a comparison in vain.
     meeting = F.xxhash64("gram", "place", "chars").alias("meeting")
-    key = [F.length("word").alias("chars"), "word", "n", "last"]
-    prefixes = grams.select(*key, F.explode("prefix").alias("g")).select("g.gram", "g.place", "chars", "word", "n", "last")
-    prefixes = prefixes.select(meeting, "word", "n", "last")
+    key = [F.length("word").alias("chars"), "word", "n", "bits", "last"]
+    prefixes = grams.select(*key, F.explode("prefix").alias("g")).select("g.gram", "g.place", "chars", "word", "n", "bits", "last")
+    prefixes = prefixes.select(meeting, "word", "n", "bits", "last")
     # A shift of the bigram needs as many edits before it, the rest of the difference in length as many behind it.
     moves = [
         (shift, longer)
@@ -157,10 +166,13 @@ def near_words(words: DataFrame, distance: int = 1) -> DataFrame:
         (F.col("chars") + F.col("m.longer")).alias("chars"),
         F.col("word").alias("near"),
         F.col("n").alias("near_n"),
+        F.col("bits").alias("near_bits"),
         F.col("last").alias("near_last"),
     )
-    pivots = pivots.select(meeting, "near", "near_n", "near_last")
-    met = prefixes.join(pivots, "meeting").where("near_last <= last and word != near")
+    pivots = pivots.select(meeting, "near", "near_n", "near_bits", "near_last")
+    # Most words that meet differ in more letters than the edits can change; the others are compared letter by letter.
+    alike = f"bit_count(bits ^ near_bits) <= {2 * distance}"
+    met = prefixes.join(pivots.hint("merge"), "meeting").where(f"near_last <= last and {alike} and word != near")
     edits = F.levenshtein("word", "near", distance)
     pairs = met.where(edits > 0).select("word", "n", "near", "near_n").distinct()
     turned = pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from panelloom.llm import spelling
-from panelloom.llm.spelling import near_words, prefix_and_pivots, variants, vocabulary
+from panelloom.llm.spelling import letter_bits, near_words, prefix_and_pivots, variants, vocabulary
 
 
 def edits(a, b):
@@ -120,3 +120,25 @@ def test_a_long_chain_of_forms(spark):
     words = {"a" * i + "b" * (40 - i): 2**i for i in range(40)}
     found = {r.word: r.root for r in variants(frame(spark, words)).collect()}
     assert set(found.values()) == {"a" * 39 + "b"}
+
+
+def test_letter_bits_of_edited_words():
+    """At most two bits an edit, so that only words that differ more are not compared letter by letter."""
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzàéÿŁ漢𝒳"
+    for _ in range(2000):
+        word = "".join(rng.choices(letters, k=rng.randint(4, 12)))
+        i, c = rng.randrange(len(word)), rng.choice(letters)
+        for other in (word[:i] + c + word[i:], word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 :]):
+            assert (letter_bits(word) ^ letter_bits(other)).bit_count() <= 2
+        assert 0 <= letter_bits(word) < 2**63
+
+
+def test_words_that_meet_are_sifted_and_never_broadcast(spark, monkeypatch):
+    """Letters are compared only where the sets of letters allow it; the join goes by merging."""
+    plans = []
+    keep = spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda df, name: plans.append((name, df)) or keep(df, name))
+    assert near_words(frame(spark, {"letter": 9, "better": 3, "lettuce": 4})).count() == 2
+    plan = dict(plans)["near-words"]._jdf.queryExecution().executedPlan().toString()
+    assert "bit_count" in plan and "BroadcastHashJoin" not in plan
