@@ -214,3 +214,20 @@ def test_order_when_a_file_repeats_a_label(spark, tmp_path):
     assert [(r.cod_mun, r.vacc_x) for r in long] == [
         (11, 1), (11, 5), (11, 1), (11, 6), (12, 2), (12, None), (11, 3), (11, 5), (11, 3), (11, 6), (13, None), (13, 4),
     ]
+
+
+def test_order_of_lines_is_joined_before_the_cells_and_never_broadcast(spark):
+    """A label's first line is as many rows as labels: by its compressed files Spark sent it to the driver."""
+    tables = [
+        spark.createDataFrame(lines, f"`município` string, _position long, `{year}jan` string, `{year}fev` string")
+        for year, lines in ((2001, [("2 b", 1, "3", "4"), ("1 a", 2, "5", None)]), (2002, [("1 a", 1, "6", "7"), ("3 c", 2, "8", "9")]))
+    ]
+    long = ingest.series_long(tables, "x", place="unit", order="at")
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= 1
+    found = [(r.unit, r.year, r.month, r.vacc_x) for r in long.orderBy("at").collect()]
+    assert found == [
+        (2, 2001, "jan", 3), (2, 2001, "fev", 4), (2, 2002, "jan", None), (2, 2002, "fev", None),
+        (1, 2001, "jan", 5), (1, 2001, "fev", None), (1, 2002, "jan", 6), (1, 2002, "fev", 7),
+        (3, 2001, "jan", None), (3, 2001, "fev", None), (3, 2002, "jan", 8), (3, 2002, "fev", 9),
+    ]
