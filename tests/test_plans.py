@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from panelloom import workload
 from panelloom.plans import coverage as C
 from panelloom.plans import ingest
 from panelloom.plans import panel as P
@@ -231,3 +232,27 @@ def test_order_of_lines_is_joined_before_the_cells_and_never_broadcast(spark):
         (1, 2001, "jan", 5), (1, 2001, "fev", None), (1, 2002, "jan", 6), (1, 2002, "fev", 7),
         (3, 2001, "jan", None), (3, 2001, "fev", None), (3, 2002, "jan", 8), (3, 2002, "fev", 9),
     ]
+
+
+def test_order_of_cells_holds_numbers_and_no_path(spark, tmp_path):
+    """Every cell carries its place, and a sort sends samples of it to the driver: a file's path there was most of both."""
+    parts = {"a/part-1.csv": ("Jan", "13 C;3"), "a/part-0.csv": ("Jan", "12 B;1", "11 A;2"), "b/part-0.csv": ("Fev", "14 D;4", "11 A;5")}
+    for name, (month, *lines) in parts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join([f"Município;2016/{month}", *lines]) + "\n", "latin-1")
+    long = ingest.ingest_series(spark, "x", [str(tmp_path / "a"), str(tmp_path / "b")], order="at")
+    assert "string" not in long.schema["at"].dataType.simpleString()
+    assert [(r.cod_mun, r.month, r.vacc_x) for r in long.orderBy("at").collect()] == [
+        (12, "jan", 1), (12, "fev", None), (11, "jan", 2), (11, "fev", 5), (13, "jan", 3), (13, "fev", None),
+        (14, "jan", None), (14, "fev", 4),
+    ]
+
+
+def test_sorted_files_sample_no_labels_to_the_driver(spark):
+    lines = spark.range(1000).select(F.concat(F.lit("p"), (F.col("id") * 7919 % 1000).cast("string")).alias("label"))
+    one = workload.sorted_parts(lines, 1000, "label")
+    assert "rangepartitioning" not in one._jdf.queryExecution().executedPlan().toString()
+    several = workload.sorted_parts(lines, 3 * workload.LINES_OF_PART - 1, "label")
+    assert (one.rdd.getNumPartitions(), several.rdd.getNumPartitions()) == (1, 3)
+    expected = sorted(f"p{i}" for i in range(1000))
+    assert [r.label for r in one.collect()] == expected and [r.label for r in several.collect()] == expected
